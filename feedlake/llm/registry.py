@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from feedlake.llm import mixing, sharding
+from feedlake.llm import mixing, quality, sharding, toxicity
 
-MODULES = (sharding, mixing)
+MODULES = (sharding, quality, toxicity, mixing)
 
 
 def queries():
