@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from feedlake.llm import mixing, quality, sharding, toxicity
+from feedlake.llm import decontamination, mixing, quality, sharding, toxicity
 
-MODULES = (sharding, quality, toxicity, mixing)
+MODULES = (sharding, quality, decontamination, toxicity, mixing)
 
 
 def queries():
