@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from feedlake.llm import decontamination, mixing, quality, sharding, toxicity
+from feedlake.llm import decontamination, mixing, quality, secrets, sharding, toxicity
 
-MODULES = (sharding, quality, decontamination, toxicity, mixing)
+MODULES = (sharding, quality, secrets, decontamination, toxicity, mixing)
 
 
 def queries():
