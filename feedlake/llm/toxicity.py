@@ -3,10 +3,10 @@
 A document is the set of its lower-cased words and of their leading STEMS characters (so that
 inflected forms share terms), hashed into BINS bins. The machine adds a weight
 for each bin present and, for each pair of bins present, the product of their factors, so that
-"insult with group mention" can weigh more than its two words. It is fitted on the driver over
-at most MAX_TRAIN labelled rows, of which only the hashed terms are read back; bins in fewer than
-MIN_ROWS of them are left out and the MAX_FEATURES with the largest chi-square are kept, which
-bounds the model that is broadcast. Scoring is one pass over the documents without a shuffle.
+"insult with group mention" can weigh more than its two words. It is fitted over
+at most MAX_TRAIN labelled rows. Spark hashes them and counts each bin by label; bins in fewer
+than MIN_ROWS rows are left out and the MAX_FEATURES with the largest chi-square are kept, which
+bounds the model that is broadcast and what the driver reads back to fit it. Scoring is one pass over the documents without a shuffle.
 
 Defined results: null and empty texts score by the bias alone; a null doc_id counts as held-in;
 repeated rows are scored each; without labels of both kinds every score is 0; extra columns are
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import read_table
+from feedlake.llm.common import cut_lineage, read_table
 from feedlake.llm.labelled import id_remainder, training_rows
 
 BINS = 1 << 20
@@ -72,13 +72,14 @@ def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class FactorizationMachine:
-    """lookup: bin to row of the weights, or -1."""
+    """chosen: the sorted bins that have weights."""
 
-    def __init__(self, lookup: np.ndarray, bias: float, weights: np.ndarray, factors: np.ndarray) -> None:
-        self.lookup, self.bias, self.weights, self.factors = lookup, bias, weights, factors
+    def __init__(self, chosen: np.ndarray, bias: float, weights: np.ndarray, factors: np.ndarray) -> None:
+        self.rows = {int(c): i for i, c in enumerate(chosen)}
+        self.bias, self.weights, self.factors = bias, weights, factors
 
     def features(self, word: str) -> list[int]:
-        return [int(r) for r in self.lookup[word_bins(word)] if r >= 0]
+        return [self.rows[c] for c in word_bins(word) if c in self.rows]
 
     def score(self, rows: list[int]) -> float:
         v = self.factors[rows]
@@ -87,28 +88,27 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, x)))))
 
 
-def fit_machine(terms: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> FactorizationMachine:
-    """Fits by AdaGrad on the log loss over mini-batches."""
+def choose_bins(hashed: DataFrame, rows: int, positive: int) -> np.ndarray:
+    """The sorted bins with the largest chi-square against the label (ties: the smaller bin)."""
+    rate, seen, hits = positive / rows, F.col("seen"), F.col("hits")
+    chi = F.pow(hits - seen * F.lit(rate), F.lit(2.0)) / (seen * F.lit(rate * (1 - rate)))
+    best = (
+        hashed.select("label", F.explode("terms").alias("bin"))
+        .groupBy("bin").agg(F.count("*").alias("seen"), F.sum("label").alias("hits"))
+        .where((seen >= min(MIN_ROWS, max(1, rows // 100))) & (chi > LEAST_CHI))
+        .orderBy(chi.desc(), "bin").limit(MAX_FEATURES).select("bin").collect()
+    )
+    return np.array(sorted(r["bin"] for r in best), np.int64)
+
+
+def fit_machine(chosen: np.ndarray, features: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> FactorizationMachine:
+    """Fits by AdaGrad on the log loss over mini-batches. features: rows of ``chosen``."""
     rng = np.random.default_rng(seed)
-    lookup = np.full(BINS, -1, np.int32)
-    n, positive = len(labels), float(labels.sum()) if len(labels) else 0.0
-    if positive in (0.0, float(n)):
-        return FactorizationMachine(lookup, -30.0, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
-    sizes = np.array([len(t) for t in terms])
-    flat = np.concatenate(terms)
-    owner = np.repeat(np.arange(n), sizes)
-    seen = np.bincount(flat, minlength=BINS)
-    hits = np.bincount(flat, weights=labels[owner], minlength=BINS)
-    rate = positive / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = (hits - seen * rate) ** 2 / (seen * rate * (1 - rate))
-    chi[seen < min(MIN_ROWS, max(1, n // 100))] = -1
-    best = np.argsort(-chi, kind="stable")[:MAX_FEATURES]
-    best = np.sort(best[chi[best] > LEAST_CHI])
-    lookup[best] = np.arange(len(best), dtype=np.int32)
-    rows = lookup[flat]
-    owner, rows = owner[rows >= 0], rows[rows >= 0]
-    starts = np.searchsorted(owner, np.arange(n + 1))
+    n, rate = len(labels), float(labels.mean())
+    sizes = np.array([len(f) for f in features])
+    rows = np.concatenate([np.asarray(f, np.int64) for f in features])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    best = chosen
     w = np.zeros(len(best))
     v = rng.normal(0, 0.02, (len(best), FACTORS))
     b = float(np.log(rate / (1 - rate)))
@@ -142,14 +142,27 @@ def fit_machine(terms: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> F
             w[used] -= step * dw / np.sqrt(gw[used])
             v[used] -= 0.25 * step * dv / np.sqrt(gv[used])
             b -= step * db / np.sqrt(gb)
-    return FactorizationMachine(lookup, b, w.astype(np.float32), v.astype(np.float32))
+    return FactorizationMachine(chosen, b, w.astype(np.float32), v.astype(np.float32))
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> FactorizationMachine:
     rows = training_rows(docs, labels, "toxic", 5, 0, most)
-    read = rows.mapInPandas(_hashed, "doc_id long, label int, terms array<int>").toPandas()
-    read = read.sort_values("doc_id", kind="stable")
-    return fit_machine([np.asarray(t, np.int32) for t in read["terms"]], read["label"].to_numpy(np.float64))
+    hashed = cut_lineage(rows.mapInPandas(_hashed, "doc_id long, label int, terms array<int>"))
+    sizes = hashed.agg(F.count("*").alias("n"), F.sum("label").alias("positive")).first()
+    n, positive = sizes["n"], sizes["positive"] or 0
+    if positive in (0, n):
+        return FactorizationMachine(np.zeros(0, np.int64), -30.0, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
+    chosen = choose_bins(hashed, n, positive)
+    shared = docs.sparkSession.sparkContext.broadcast(chosen)
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bins = shared.value
+        for batch in batches:
+            found = [np.searchsorted(bins, np.intersect1d(bins, t)).astype(np.int32) for t in batch["terms"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "features": found})
+
+    read = hashed.mapInPandas(kept, "doc_id long, label int, features array<int>").toPandas().sort_values("doc_id", kind="stable")
+    return fit_machine(chosen, list(read["features"]), read["label"].to_numpy(np.float64))
 
 
 def score_toxicity(docs: DataFrame, machine: FactorizationMachine, out: str = "score") -> DataFrame:
