@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from feedlake.llm import decontamination, jaccard, mixing, quality, secrets, sharding, toxicity
+from feedlake.llm import decontamination, jaccard, mixing, quality, secrets, sharding, substrings, toxicity
 
-MODULES = (jaccard, sharding, quality, secrets, decontamination, toxicity, mixing)
+MODULES = (jaccard, sharding, quality, secrets, substrings, decontamination, toxicity, mixing)
 
 
 def queries():
