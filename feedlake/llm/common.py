@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Fixed separators of words in the contracts: space and U+0009 to U+000D.
+#: Fixed separators of words: space and U+0009 to U+000D.
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
@@ -15,29 +15,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` into the shared folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, set on the context if it isn't yet.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local master without that setting
-    (tests) gets a temporary folder; on a cluster a missing setting is an error, because
-    executors can't see each other's local disks.
+    Only a local master without that setting (tests) gets a temporary folder; on a cluster a
+    missing setting is an error, because executors can't see each other's local disks.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir", None)
         if shared is None:
-            master = sc.master
-            if not master.startswith("local") or master.startswith("local-cluster"):
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="feedlake-checkpoint-")
         sc.setCheckpointDir(shared)
-    return df.checkpoint()
+    return sc.getCheckpointDir()
 
 
-def word_array(text: Column) -> Column:
-    """Words of a text, unchanged; null and blank texts have none."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{WORD_SEPARATORS}|{WORD_SEPARATORS}$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_SEPARATORS))
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` into the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def running_position(
