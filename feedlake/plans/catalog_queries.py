@@ -1,11 +1,15 @@
-"""Registered product-feed queries and their SQL twins."""
+"""Registered product-feed queries and their SQL twins, one pair a survey operator."""
 
 from __future__ import annotations
 
+from feedlake.plans import lookup_queries, normalize_queries, report_queries, upsert_queries
+
+GROUPS = (report_queries, lookup_queries, normalize_queries, upsert_queries)
+
 
 def queries():
-    return {}
+    return {name: query for group in GROUPS for name, query in group.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for group in GROUPS for name, sql in group.ORACLE_SQL.items()}
