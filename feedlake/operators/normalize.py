@@ -198,12 +198,12 @@ def clean_text(df: DataFrame) -> DataFrame:
 
 def split_attributes(c: Column) -> Column:
     """An attribute's values, split on commas and trimmed."""
-    return F.transform(F.split(c, ","), F.trim)
+    return F.transform(F.split(c, ","), lambda x: F.trim(x))
 
 
 def split_images(c: Column) -> Column:
     """Image links split on comma, bar or semicolon, trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(c, "[,|;]"), F.trim), lambda x: non_empty(x).isNotNull())
+    return F.filter(F.transform(F.split(c, "[,|;]"), lambda x: F.trim(x)), lambda x: non_empty(x).isNotNull())
 
 
 def with_images(df: DataFrame) -> DataFrame:
@@ -384,7 +384,7 @@ def split_name_colour(df: DataFrame) -> DataFrame:
 
 def normalize_category(df: DataFrame, brands: DataFrame) -> DataFrame:
     """A path 'A > B > Brand' without a last part that is a known brand (brands: brand, lower)."""
-    parts = F.filter(F.transform(F.split("category", ">"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split("category", ">"), lambda x: F.trim(x)), lambda p: p != "")
     df = df.withColumn("_parts", parts).withColumn("_last", F.lower(F.get(F.col("_parts"), F.size("_parts") - 1)))
     known = brands.select(F.col("brand").alias("_last"), F.lit(True).alias("_known")).distinct()
     joined = df.join(known, "_last", "left")
@@ -444,7 +444,7 @@ def with_variants(df: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     cleaned = F.transform(F.concat(*[F.coalesce(c, none) for c in colours], in_title), lambda x: F.initcap(F.trim(x)))
     sizes = [F.split(F.col(n), r"[,/|]") for n in ("size", "attr_size") if n in df.columns]
-    listed = F.array_distinct(F.filter(F.transform(F.concat(none, *[F.coalesce(c, none) for c in sizes]), F.trim), lambda x: x != ""))
+    listed = F.array_distinct(F.filter(F.transform(F.concat(none, *[F.coalesce(c, none) for c in sizes]), lambda x: F.trim(x)), lambda x: x != ""))
     ranked = F.transform(F.array_sort(F.transform(listed, size_rank)), lambda s: s["size"])
     return df.withColumn("all_colours", F.array_distinct(F.filter(cleaned, lambda x: x != ""))).withColumn("all_sizes", ranked)
 
