@@ -56,7 +56,7 @@ class WordHashes(dict):
     """Word to 64-bit hash, remembered; cleared when it gets large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return found

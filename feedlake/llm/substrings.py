@@ -38,6 +38,7 @@ from feedlake.llm.jaccard import WORD, WordHashes
 WINDOW, ANCHOR = 13, 7
 CHUNK_WORDS = 60_000
 DOCS_PER_BUCKET = 20_000
+OUT_ROWS = 512
 LAST_ID = (1 << 63) - 1
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -127,24 +128,31 @@ def _place_type(words: int):
 
 
 def _index_rows(chunk: Chunk, buckets: int) -> pd.DataFrame:
+    """Probes (a key, b place, c whether repeated in the chunk); blocks found once in the chunk,
+    which probe as well (d key, e place); and blocks repeated in it (f: keys, first and last owner).
+    """
     h = rolling(chunk.laid_out(), ANCHOR)
     whole = np.flatnonzero(chunk.left >= ANCHOR)
     keys = h[whole]
     first, at, repeated, again, of = fold(keys, whole)
-    aligned = whole[chunk.place[whole] % ANCHOR == 0]
+    key = keys[first]
+    once = ~repeated & (chunk.place[at] % ANCHOR == 0)
+    aligned = np.concatenate([at[repeated], again])
+    aligned = aligned[chunk.place[aligned] % ANCHOR == 0]
     order = np.argsort(h[aligned], kind="stable")
     block, owner = h[aligned][order], chunk.owner[aligned][order]
-    new = np.flatnonzero(np.concatenate([[True], np.diff(block) != 0]))
-    low, high = np.minimum.reduceat(owner, new), np.maximum.reduceat(owner, new)
-    probe = keys[first]
+    new = np.flatnonzero(np.concatenate([[True], np.diff(block) != 0])) if len(block) else np.zeros(0, np.int64)
+    low, high = (np.minimum.reduceat(owner, new), np.maximum.reduceat(owner, new)) if len(new) else (new, new)
     kind = _place_type(chunk.words)
     parts = {
-        "probe": (probe, [probe.astype(np.uint32), at.astype(kind), repeated.astype(np.uint8)]),
-        "block": (block[new], [block[new].astype(np.uint32), low.astype(np.uint32), high.astype(np.uint32)]),
+        "probe": (key[~once], [key[~once].astype(np.uint32), at[~once].astype(kind), repeated[~once].astype(np.uint8)]),
+        "once": (key[once], [key[once].astype(np.uint32), at[once].astype(kind)]),
+        "more": (block[new], [np.stack([block[new].astype(np.uint32), low.astype(np.uint32), high.astype(np.uint32)], 1)]),
     }
     rows = [_header(chunk, buckets, again, of)]
     for bucket, packed in _dealt(chunk, buckets, parts).items():
-        rows.append((bucket, int(chunk.name), False, kind is np.uint32, *packed.get("probe", [b""] * 3), *packed.get("block", [b""] * 3)))
+        arrays = [*packed.get("probe", [b""] * 3), *packed.get("once", [b""] * 2), *packed.get("more", [b""])]
+        rows.append((bucket, int(chunk.name), False, kind is np.uint32, *arrays))
     return _frame(rows)
 
 
@@ -193,15 +201,22 @@ def _probe_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     headers, rows = rows[rows["header"]], rows[~rows["header"]].reset_index(drop=True)
     if not len(rows):
         return headers
-    key, number = _joined(rows, "d", np.uint32)
-    low, high = _joined(rows, "e", np.uint32)[0], _joined(rows, "f", np.uint32)[0]
-    first, last = (number << 32) | low, (number << 32) | high
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    new = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0])) if len(key) else np.zeros(0, np.int64)
-    if not len(new):
+    once, once_number = _joined(rows, "d", np.uint32)
+    once_at = _places(rows, "e")
+    more, more_number = _joined(rows, "f", np.uint32)
+    more, more_number = more.reshape(-1, 3).astype(np.int64), more_number[::3]
+    key = np.concatenate([once, more[:, 0].astype(np.uint32)])
+    if not len(key):
         return headers
-    first, last, key = np.minimum.reduceat(first[order], new), np.maximum.reduceat(last[order], new), key[new]
+    single = once_number.astype(np.int64) << 32
+    first = np.concatenate([single, (more_number << 32) | more[:, 1]])
+    last = np.concatenate([single, (more_number << 32) | more[:, 2]])
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate([[True], np.diff(key[order]) != 0])
+    group = np.empty(len(key), np.int64)
+    group[order] = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    key, first, last = key[order][starts], np.minimum.reduceat(first[order], starts), np.maximum.reduceat(last[order], starts)
     probe, number = _joined(rows, "a", np.uint32)
     at, repeated = _places(rows, "b"), _joined(rows, "c", np.uint8)[0].astype(bool)
     found = np.minimum(np.searchsorted(key, probe), len(key) - 1)
@@ -210,7 +225,12 @@ def _probe_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     own = (first[found] == last[found]) & (first[found] >> 32 == number)
     owner = np.where(own, first[found] & 0xFFFFFFFF, -1).astype(np.int32)
     worth = ~own | repeated
-    found = _replies(rows, number[worth], at[worth], owner[worth])
+    shared = (first != last)[group[: len(once)]]  # blocks that another chunk has as well
+    number = np.concatenate([number[worth], once_number[shared]])
+    at = np.concatenate([at[worth], once_at[shared]])
+    owner = np.concatenate([owner[worth], np.full(int(shared.sum()), -1, np.int32)])
+    order = np.argsort(number, kind="stable")
+    found = _replies(rows, number[order], at[order], owner[order])
     return pd.concat([headers, found], ignore_index=True) if len(headers) else found
 
 
@@ -351,14 +371,15 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for doc_id, text, at in zip(batch["doc_id"], batch["text"], batch["at"]):
-                words = WORD.findall(text)
-                gone = covered(len(words), at)
-                kept = " ".join(w for w, g in zip(words, gone) if not g) if gone.any() else " ".join(words)
-                out.append((None if doc_id == LAST_ID else doc_id, len(words), int(gone.sum()), kept))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept"])
-            yield frame.astype({"doc_id": "Int64"})
+            for lo in range(0, len(batch), OUT_ROWS):
+                part, out = batch.iloc[lo : lo + OUT_ROWS], []
+                for doc_id, text, at in zip(part["doc_id"], part["text"], part["at"]):
+                    words = WORD.findall(text)
+                    gone = covered(len(words), at)
+                    kept = " ".join(w for w, g in zip(words, gone) if not g) if gone.any() else " ".join(words)
+                    out.append((None if doc_id == LAST_ID else doc_id, len(words), int(gone.sum()), kept))
+                frame = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept"])
+                yield frame.astype({"doc_id": "Int64"})
 
     rows, windows = repeated_windows(docs)
     return rows.join(windows, "uid", "left").mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept string")
