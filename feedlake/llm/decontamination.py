@@ -74,14 +74,18 @@ def _candidates(anchors: dict[int, list[int] | None]) -> Column:
     return F.expr(f"concat({', '.join(parts)})")
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each row of ``docs``: its columns but for text, then n_words, hit (sorted
-    positions of the words inside a benchmark window, from 1) and items (sorted item ids as text).
+def find_hits(docs: DataFrame, benchmark: DataFrame, all_rows: bool = True) -> DataFrame:
+    """A row for each row of ``docs`` (without ``all_rows``: each that has a candidate window): its
+    columns but for text, then n_words, hit (sorted positions of the words inside a benchmark
+    window, from 1) and items (sorted item ids as text).
+
+    The other columns of ``docs`` travel with every candidate: keep them few and short. Those that
+    clash with the new ones are left out.
     """
     grams = benchmark_windows(benchmark)
     anchored = grams.select("gram_words", F.xxhash64("first_word", "last_word").alias("anchor")).distinct()
     sizes = grams.agg(F.count("*").alias("n"), F.collect_set("gram_words").alias("lengths")).first()
-    kept = [c for c in docs.columns if c != "text"]
+    kept = [c for c in docs.columns if c not in ("text", "n_words", "hit", "items")]
     words = docs.select(
         *[F.col(c).alias(f"_d{i}") for i, c in enumerate(kept)],
         F.monotonically_increasing_id().alias("_row"),
@@ -99,7 +103,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for r in anchored.collect():
             anchors[r["gram_words"]].append(r["anchor"])
     rows = words.select(
-        "*", F.size("words").cast("long").alias("n_words"), F.explode_outer(_candidates(anchors)).alias("c")
+        "*", F.size("words").cast("long").alias("n_words"), (F.explode_outer if all_rows else F.explode)(_candidates(anchors)).alias("c")
     ).drop("words").select("*", "c.at", "c.len", F.coalesce(F.col("c.gram"), F.concat(F.lit("\n"), F.col("_row"))).alias("_gram"))
     table = grams.select(F.col("gram").alias("_gram"), "items")
     table = F.broadcast(table) if sizes["n"] <= MAX_BROADCAST else table
@@ -117,24 +121,28 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents") -> DataFrame:
     """``docs`` without contaminated documents, or (``remove="spans"``) with the hit words cut out
     of their texts; what stands between words stays.
+
+    Hits are found on (doc_id, hash of the text) alone and meet the documents again by these.
     """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.withColumn("_h", F.xxhash64(text))
+    slim = keyed.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_g"), "text")
+    found = find_hits(slim, benchmark, False).where(F.size("hit") > 0).groupBy("_id", "_g").agg(F.first("hit").alias("_hit"))
+    same = keyed["doc_id"].eqNullSafe(found["_id"]) & (keyed["_h"] == found["_g"])
     if remove == "documents":
-        marked = find_hits(docs.withColumn("_kept", F.struct(*docs.columns)).select("_kept", "text"), benchmark)
-        return marked.where(F.size("hit") == 0).select("_kept.*")
-    marked = find_hits(docs.withColumn("_kept", F.struct(*docs.columns)).select("_kept", "text"), benchmark)
-    text = F.coalesce(F.col("_kept.text"), F.lit(""))
-    spans = marked.select(
-        "_kept.*", "hit",
+        return keyed.join(found, same, "left_anti").select(*docs.columns)
+    spans = keyed.join(found, same, "left").select(
+        *docs.columns, "_hit",
         _words(text, SEPARATORS_ANY_CASE).alias("_w"),
-        F.regexp_extract_all(text, F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0)).alias("_g"),
+        F.regexp_extract_all(text, F.lit(SEPARATORS_ANY_CASE), F.lit(0)).alias("_gaps"),
         text.rlike(rf"^{SEPARATORS_ANY_CASE}").alias("_gap_first"),
     )
-    word = "if(array_contains(hit, i), '', get(_w, i - 1))"
+    word = "coalesce(if(array_contains(_hit, i), '', get(_w, i - 1)), '')"
     rebuilt = F.expr(
-        f"array_join(transform(sequence(1, greatest(size(_w), 1)), i -> if(_gap_first, concat(coalesce(get(_g, i - 1), ''), coalesce({word}, '')),"
-        f" concat(coalesce({word}, ''), coalesce(get(_g, i - 1), '')))), '') || if(_gap_first and size(_g) > size(_w), coalesce(get(_g, size(_w)), ''), '')"
+        f"array_join(transform(sequence(1, greatest(size(_w), 1)), i -> if(_gap_first, concat(coalesce(get(_gaps, i - 1), ''), {word}),"
+        f" concat({word}, coalesce(get(_gaps, i - 1), '')))), '') || if(_gap_first and size(_gaps) > size(_w), coalesce(get(_gaps, size(_w)), ''), '')"
     )
-    return spans.withColumn("text", F.when(F.size("hit") > 0, rebuilt).otherwise(F.col("text"))).select(*docs.columns)
+    return spans.withColumn("text", F.when(F.size("_hit") > 0, rebuilt).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
