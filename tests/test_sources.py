@@ -135,3 +135,36 @@ def test_streams(spark, tmp_path):
     now = F.timestamp_seconds(F.lit(1_700_000_100))
     assert sorted(r["run_id"] for r in jobs.stalled_runs(beats, now).collect()) == ["r2", "r4"]
     assert sum(r["rows"] for r in jobs.throughput(beats).collect()) == 203
+
+
+def test_templates_and_registration(spark):
+    feeds = spark.createDataFrame([(1, "t", {"id": "old"}), (2, None, {"id": "own"})], "feed_id int, template_id string, mapping map<string,string>")
+    templates = spark.createDataFrame([("t", {"id": "new", " ": "x"})], "template_id string, mapping map<string,string>")
+    assert {r["feed_id"]: r["mapping"] for r in mapping.apply_template(feeds, templates).collect()} == {1: {"id": "new"}, 2: {"id": "own"}}
+    listed = spark.createDataFrame([(1, "a", "http://x/f.xml.gz", "", "h"), (2, "b", "http://y", "csv", ""), (3, "", "http://z", "", "")], "feed_id long, name string, url string, format_hint string, network_hint string")
+    detected = spark.createDataFrame([(2, "n", 1.0)], "feed_id long, network string, score double")
+    sure = spark.createDataFrame([(1, 85.0), (2, 61.0)], "feed_id long, confidence double")
+    out = {r["feed_id"]: (r["format"], r["network"], r["confidence_label"]) for r in mapping.register_feeds(listed, detected, sure).collect()}
+    assert out == {1: ("xml", "h", "high"), 2: ("csv", "n", "mid")}
+
+
+def test_quick_sync_stream_and_hooks(spark, tmp_path):
+    from feedlake.operators.catalog import full_refresh
+
+    schema = "external_id string, feed_id int, feed_name string, product_name string, brand string, category string, colour string, price long, original_price long, in_stock int, image_url string, affiliate_link string, status string, last_updated timestamp"
+    stamp = "cast('2024-01-01' as timestamp)"
+    rows = spark.sql(f"SELECT * FROM VALUES ('a', 1, 'f', 'A', '', '', '', 5L, 0L, 1, 'i', 'l', 'active', {stamp}), ('b', 1, 'f', 'B', '', '', '', 6L, 0L, 1, 'i', 'l', 'active', {stamp}) AS t({', '.join(x.split()[0] for x in schema.split(', '))})")
+    base, src = str(tmp_path / "t"), tmp_path / "in"
+    src.mkdir()
+    tables.publish_snapshot(rows, base)
+    line = {"external_id": "a", "feed_id": 1, "price": 9, "in_stock": 0, "image_url": "i2", "affiliate_link": "l2", "original_price": 12, "last_updated": "2024-02-01T00:00:00"}
+    write(src / "1.json", json.dumps(line) + "\n" + json.dumps(line | {"external_id": "b", "price": 1}) + "\n" + json.dumps(line | {"external_id": "new"}) + "\n")
+    stream = spark.readStream.schema(schema).json(str(src))
+    jobs.stream_quick_sync(stream, spark.createDataFrame([("a",), ("new",)], "external_id string"), base, str(tmp_path / "cp")).awaitTermination()
+    assert sorted((r["external_id"], r["price"], r["product_name"]) for r in tables.read_snapshot(spark, base).collect()) == [("a", 9, "A"), ("b", 6, "B")]
+    told = []
+    feeds = spark.createDataFrame([(1,)], "feed_id int")
+    table, report = full_refresh(rows, rows.where("external_id = 'a'").withColumn("last_updated", F.to_timestamp(F.lit("2024-03-01"))), feeds, F.to_timestamp(F.lit("2024-02-15")), on_complete=lambda t: told.append(t.count()))
+    assert told == [2] and {r["external_id"]: r["status"] for r in table.collect()} == {"a": "active", "b": "unavailable"}  # exactly half may go
+    changed = tables.to_jsonld(rows.withColumn("currency", F.lit("EUR")), "feed_id", ["external_id"], transform=lambda n: n.withColumn("product_name", F.upper("product_name")).where("position = 1"))
+    assert len(json.loads(changed.first()["jsonld"])["itemListElement"]) == 1
