@@ -6,7 +6,7 @@ for each bin present and, for each pair of bins present, the product of their fa
 "insult with group mention" can weigh more than its two words. It is fitted over
 at most MAX_TRAIN labelled rows. Spark hashes them and counts each bin by label; bins in fewer
 than MIN_ROWS rows are left out and the MAX_FEATURES with the largest chi-square are kept, which
-bounds the model that is broadcast and what the driver reads back to fit it. Scoring is one pass over the documents without a shuffle.
+bounds the model that is broadcast and what one task reads to fit it. Scoring is one pass over the documents without a shuffle.
 
 Defined results: null and empty texts score by the bias alone; a null doc_id counts as held-in;
 repeated rows are scored each; without labels of both kinds every score is 0; extra columns are
@@ -161,8 +161,20 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
             found = [np.searchsorted(bins, np.intersect1d(bins, t)).astype(np.int32) for t in batch["terms"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "features": found})
 
-    read = hashed.mapInPandas(kept, "doc_id long, label int, features array<int>").toPandas().sort_values("doc_id", kind="stable")
-    return fit_machine(chosen, list(read["features"]), read["label"].to_numpy(np.float64))
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(batches, ignore_index=True).sort_values("doc_id", kind="stable")
+        m = fit_machine(shared.value, list(rows["features"]), rows["label"].to_numpy(np.float64))
+        yield pd.DataFrame({"bias": m.bias, "weight": m.weights.astype(np.float64), "factors": list(m.factors.astype(np.float64))})
+
+    if not len(chosen):
+        rate = positive / n
+        return FactorizationMachine(chosen, float(np.log(rate / (1 - rate))), np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
+    read = hashed.mapInPandas(kept, "doc_id long, label int, features array<int>")
+    # MAX_TRAIN rows of features at most: one task fits them, away from the driver
+    made = read.coalesce(1).mapInPandas(fit, "bias double, weight double, factors array<double>").collect()
+    shared.unpersist()
+    weights = np.array([r["weight"] for r in made], np.float32)
+    return FactorizationMachine(chosen, made[0]["bias"], weights, np.array([r["factors"] for r in made], np.float32))
 
 
 def score_toxicity(docs: DataFrame, machine: FactorizationMachine, out: str = "score") -> DataFrame:
