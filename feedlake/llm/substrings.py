@@ -117,16 +117,16 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["bucket", "chunk", "header", "wide", "a", "b", "c", "d", "e", "f"])
 
 
-def _header(chunk: Chunk, buckets: int, again: np.ndarray, of: np.ndarray) -> tuple:
-    name = int(chunk.name)
-    return (name % buckets, name, True, False, chunk.uids.tobytes(), chunk.ids.tobytes(), chunk.starts.tobytes(),
-            again.astype(np.uint32).tobytes(), of.astype(np.uint32).tobytes(), None)
-
-
 def _place_type(words: int):
     return np.uint16 if words <= 65_536 else np.uint32
 
 
+def _header(chunk: Chunk, buckets: int, again: np.ndarray, of: np.ndarray) -> tuple:
+    name, kind = int(chunk.name), _place_type(chunk.words)
+    return (name % buckets, name, True, kind is np.uint32, chunk.uids.tobytes(), chunk.ids.tobytes(), chunk.starts.tobytes(),
+            again.astype(kind).tobytes(), of.astype(kind).tobytes(), None)
+
+
 def _index_rows(chunk: Chunk, buckets: int) -> pd.DataFrame:
     """Probes (a key, b place, c whether repeated in the chunk); blocks found once in the chunk,
     which probe as well (d key, e place); and blocks repeated in it (f: keys, first and last owner).
@@ -237,7 +237,7 @@ def _probe_bucket(rows: pd.DataFrame) -> pd.DataFrame:
 def _header_of(rows: pd.DataFrame):
     head = rows[rows["header"]].iloc[0]
     uids, ids, starts = (np.frombuffer(head[c], np.int64) for c in "abc")
-    again, of = (np.frombuffer(head[c], np.uint32).astype(np.int64) for c in "de")
+    again, of = (np.frombuffer(head[c], np.uint32 if head["wide"] else np.uint16).astype(np.int64) for c in "de")
     order = np.argsort(of, kind="stable")
     return uids, ids, starts, again[order], of[order]
 
