@@ -31,7 +31,7 @@ def plan(s, d):
 
 def _documents(s, d):
     docs = s.read.parquet(f"{d}/documents.parquet")
-    return docs.select(F.col("doc_id").alias("query_id"), F.substring_index(F.regexp_replace("text", r"\s+", " "), " ", 40).alias("query"))
+    return docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _tokens(s, d):
