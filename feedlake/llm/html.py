@@ -7,8 +7,9 @@ taken for boilerplate because another page repeats it, which a suffix array alon
 quoted or copied articles. A page without such markup goes to its host's group, where the token
 streams of the pages are concatenated, a suffix array is built by prefix doubling, and the
 substrings of LONG tokens or more that occur on two pages or more are cut out; the runs left are
-the text. A host of many pages is cut into groups of a bounded number of pages. Hosts above the
-bound are at most MAX_HOSTS by its choice, so their table is broadcast.
+the text. On a host of more pages than a group may hold, the same windows of LONG tokens are compared
+by 64-bit key in Spark, so a repeat is found wherever its pages are. Hosts above the bound are at
+most MAX_HOSTS by its choice, so their table is broadcast.
 
 Defined results: null and empty html give an empty text; cut-off tags and elements end with the
 page; repeated rows are extracted each and count as one page where their url and id agree; a null
@@ -18,7 +19,7 @@ url is a host of its own; an empty table gives no rows; extra columns are ignore
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import numpy as np
@@ -192,25 +193,79 @@ def _main_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": pd.array(texts, "object")})
 
 
+def _page_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        blocks = pd.Series([page_blocks(h)[0] for h in batch["html"]], batch.index, object)
+        yield batch.assign(page_id=batch["page_id"].astype("Int64"), blocks=blocks)[["page_id", "url", "host", "page", "blocks"]]
+
+
+def _words(blocks: Iterable[str]) -> list[str]:
+    return [w for b in blocks for w in b.split(" ")]
+
+
+def _texts(rows: pd.DataFrame, texts: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({"page_id": rows["page_id"].astype("Int64"), "url": rows["url"], "text": pd.array(texts, "object")})
+
+
 def _host_text(rows: pd.DataFrame) -> pd.DataFrame:
-    """Texts of a group of one host's pages, without what their streams repeat."""
-    rows = rows.reset_index(drop=True)
-    names = (rows["page_id"].astype("string").fillna("") + " " + rows["url"].fillna("")).to_numpy()
+    """Texts of one host's pages, without what their streams repeat."""
     known: dict[str, int] = {}
     words, ids, pages = [], [], []
-    number = {name: k for k, name in enumerate(dict.fromkeys(names))}
-    for k, html in enumerate(rows["html"]):
-        own = [w for b in page_blocks(html)[0] for w in b.split(" ")]
+    number = {page: k for k, page in enumerate(dict.fromkeys(rows["page"]))}
+    for k, (page, blocks) in enumerate(zip(rows["page"], rows["blocks"])):
+        own = _words(blocks)
         words.append(own)
         ids += [known.setdefault(w, len(known)) for w in own]
         ids.append(-1 - k)  # ends the page, unlike any other token
-        pages += [number[names[k]]] * (len(own) + 1)
-    gone = repeated_tokens(np.array(ids, np.int64), np.array(pages, np.int64))
+        pages += [number[page]] * (len(own) + 1)
+    gone = repeated_tokens(np.array(ids, np.int64), np.array(pages, np.int64), LONG)
     texts, at = [], 0
     for own in words:
         texts.append(" ".join(w for w, g in zip(own, gone[at : at + len(own)]) if not g))
         at += len(own) + 1
-    return pd.DataFrame({"page_id": rows["page_id"].astype("Int64"), "url": rows["url"], "text": pd.array(texts, "object")})
+    return _texts(rows, texts)
+
+
+def _hashes(strings: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(strings, object), categorize=False)
+
+
+def window_keys(words: list[str], host: str) -> np.ndarray:
+    """A 64-bit key of the host and each window of LONG tokens."""
+    n = len(words) - LONG + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    hashed, made = _hashes(words), np.zeros(n, np.uint64)
+    for k in range(LONG):
+        made = made * np.uint64(0x9E3779B97F4A7C15) + hashed[k : k + n]
+    return (made * np.uint64(0xC2B2AE3D27D4EB4F) + _hashes([host])).view(np.int64)
+
+
+def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        windows = [np.unique(window_keys(_words(b), h)) for b, h in zip(batch["blocks"], batch["host"])]
+        yield pd.DataFrame({"page": batch["page"], "windows": pd.Series(windows, batch.index, object)})
+
+
+def _without_repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        texts = []
+        for host, blocks, keys in zip(batch["host"], batch["blocks"], batch["keys"]):
+            own, keys = _words(blocks), np.asarray([] if keys is None else keys, np.int64)
+            steps = np.zeros(len(own) + 1, np.int64)
+            starts = np.flatnonzero(np.isin(window_keys(own, host), keys))
+            np.add.at(steps, starts, 1)
+            np.add.at(steps, starts + LONG, -1)
+            texts.append(" ".join(w for w, g in zip(own, np.cumsum(steps)) if not g))
+        yield _texts(batch, texts)
+
+
+def _large_hosts_text(rows: DataFrame, schema: str) -> DataFrame:
+    """What ``_host_text`` gives, for hosts of any number of pages: windows are compared by key in Spark."""
+    windows = rows.mapInPandas(_keyed, "page long, windows array<long>").select("page", F.explode("windows").alias("key"))
+    repeated = windows.groupBy("key").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low <> high").select("key")
+    back = windows.join(repeated, "key").groupBy("page").agg(F.collect_set("key").alias("keys"))
+    return rows.join(back, "page", "left").mapInPandas(_without_repeats, schema)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -221,17 +276,16 @@ def extract_text(pages: DataFrame) -> DataFrame:
     marked_up = F.col("html").rlike(r"""(?i)<(article|main)\b|role\s*=\s*["']?main\b""")
     schema = "page_id long, url string, text string"
     direct = rows.where(marked_up).select("page_id", "url", "html").mapInPandas(_main_text, schema)
-    bare = rows.where(~marked_up)
+    bare = rows.where(~marked_up).withColumn("page", F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit(""))))
+    bare = cut_lineage(bare.mapInPandas(_page_blocks, "page_id long, url string, host string, page long, blocks array<string>"))
     sizes = cut_lineage(bare.groupBy("host").agg(F.count("*").alias("pages")))
     total = sizes.agg(F.sum("pages")).first()[0]
     if not total:
         return direct
     most = max(PAGES_PER_GROUP, -(-total // MAX_HOSTS))
-    large = F.broadcast(sizes.where(F.col("pages") > most))  # total / most rows at the utmost
-    grouped = bare.join(large, "host", "left").withColumn(
-        "part", F.pmod(F.xxhash64("page_id", "url"), F.ceil(F.coalesce("pages", F.lit(1)) / F.lit(most)).cast("long"))
-    )
-    return direct.unionByName(grouped.select("host", "part", "page_id", "url", "html").groupBy("host", "part").applyInPandas(_host_text, schema))
+    large = F.broadcast(sizes.where(F.col("pages") > most).select("host"))  # total / most rows at the utmost
+    small = bare.join(large, "host", "left_anti").groupBy("host").applyInPandas(_host_text, schema)
+    return direct.unionByName(small).unionByName(_large_hosts_text(bare.join(large, "host", "left_semi"), schema))
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
