@@ -6,8 +6,9 @@ element) is marked up gives that element's blocks; nothing outside counts, and n
 taken for boilerplate because another page repeats it, which a suffix array alone would do to
 quoted or copied articles. A page without such markup goes to its host's group, where the token
 streams of the pages are concatenated, a suffix array is built by prefix doubling, and the
-substrings of LONG tokens or more that occur on two pages or more are cut out; the runs left are
-the text. On a host of more pages than a group may hold, the same windows of LONG tokens are compared
+substrings of LONG tokens or more that occur on two pages or more are cut out, and shorter runs of
+whole blocks that enough pages have (``least_pages``), but no phrase inside a block; the rest is
+the text. On a host of more pages than a group may hold, the same windows and runs are compared
 by 64-bit key in Spark, so a repeat is found wherever its pages are. Hosts above the bound are at
 most MAX_HOSTS by its choice, so their table is broadcast.
 
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from feedlake.llm.common import cut_lineage, read_table
 
-LONG = 4
+#: Tokens of a repeat that is cut wherever it lies, and of whole blocks that are cut if enough pages have them.
+LONG, MIDDLE, SHORT = 30, 10, 4
 PAGES_PER_GROUP = 256
 MAX_HOSTS = 200_000
 
@@ -193,6 +195,23 @@ def _main_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": pd.array(texts, "object")})
 
 
+def block_runs(blocks: list[str]) -> Iterator[tuple[int, int, str]]:
+    """First token, end and text of the shortest run of whole blocks from each block that has SHORT
+    tokens or more, if it has fewer than LONG: menus of one-word items and notices, not phrases inside prose.
+    """
+    ends = np.cumsum([b.count(" ") + 1 for b in blocks]).tolist()
+    for i in range(len(blocks)):
+        start = ends[i - 1] if i else 0
+        j = next((j for j in range(i, min(len(blocks), i + SHORT)) if ends[j] - start >= SHORT), None)
+        if j is not None and ends[j] - start < LONG:
+            yield start, ends[j], "\n".join(blocks[i : j + 1])
+
+
+def least_pages(tokens: int, pages: int) -> int:
+    """On how many of a host's pages a run of whole blocks has to be: 3, or all of 2; a hundredth if it is under MIDDLE tokens."""
+    return max(2, min(3, pages), -(-pages // 100) if tokens < MIDDLE else 0)
+
+
 def _page_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         blocks = pd.Series([page_blocks(h)[0] for h in batch["html"]], batch.index, object)
@@ -219,6 +238,16 @@ def _host_text(rows: pd.DataFrame) -> pd.DataFrame:
         ids.append(-1 - k)  # ends the page, unlike any other token
         pages += [number[page]] * (len(own) + 1)
     gone = repeated_tokens(np.array(ids, np.int64), np.array(pages, np.int64), LONG)
+    on: dict[str, set[int]] = {}
+    for page, blocks in zip(rows["page"], rows["blocks"]):
+        for _, _, run in block_runs(list(blocks)):
+            on.setdefault(run, set()).add(page)
+    at = 0
+    for own, blocks in zip(words, rows["blocks"]):
+        for start, end, run in block_runs(list(blocks)):
+            if len(on[run]) >= least_pages(end - start, len(number)):
+                gone[at + start : at + end] = True
+        at += len(own) + 1
     texts, at = [], 0
     for own in words:
         texts.append(" ".join(w for w, g in zip(own, gone[at : at + len(own)]) if not g))
@@ -241,10 +270,27 @@ def window_keys(words: list[str], host: str) -> np.ndarray:
     return (made * np.uint64(0xC2B2AE3D27D4EB4F) + _hashes([host])).view(np.int64)
 
 
-def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def run_keys(runs: list[tuple[int, int, str]], host: str) -> np.ndarray:
+    """A 64-bit key of the host and each run of blocks, unlike those of windows."""
+    if not runs:
+        return np.zeros(0, np.int64)
+    return (_hashes([run for _, _, run in runs]) * np.uint64(0x165667B19E3779F9) + _hashes([f"{host} runs"])).view(np.int64)
+
+
+def _window_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        keys = [np.unique(window_keys(_words(b), h)) for b, h in zip(batch["blocks"], batch["host"])]
+        yield pd.DataFrame({"page": batch["page"], "keys": pd.Series(keys, batch.index, object)})
+
+
+def _run_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        windows = [np.unique(window_keys(_words(b), h)) for b, h in zip(batch["blocks"], batch["host"])]
-        yield pd.DataFrame({"page": batch["page"], "windows": pd.Series(windows, batch.index, object)})
+        found = [(np.zeros(0, np.int64),) * 3]
+        for page, host, blocks, pages in zip(batch["page"], batch["host"], batch["blocks"], batch["pages"]):
+            runs = list(block_runs(list(blocks)))
+            least = np.array([least_pages(end - start, pages) for start, end, _ in runs], np.int64)
+            found.append((np.full(len(runs), page, np.int64), run_keys(runs, host), least))
+        yield pd.DataFrame(dict(zip(("page", "key", "least"), map(np.concatenate, zip(*found))))).drop_duplicates()
 
 
 def _without_repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,15 +302,22 @@ def _without_repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             starts = np.flatnonzero(np.isin(window_keys(own, host), keys))
             np.add.at(steps, starts, 1)
             np.add.at(steps, starts + LONG, -1)
+            runs = list(block_runs(list(blocks)))
+            for k in np.flatnonzero(np.isin(run_keys(runs, host), keys)):
+                steps[runs[k][0]] += 1
+                steps[runs[k][1]] -= 1
             texts.append(" ".join(w for w, g in zip(own, np.cumsum(steps)) if not g))
         yield _texts(batch, texts)
 
 
 def _large_hosts_text(rows: DataFrame, schema: str) -> DataFrame:
-    """What ``_host_text`` gives, for hosts of any number of pages: windows are compared by key in Spark."""
-    windows = rows.mapInPandas(_keyed, "page long, windows array<long>").select("page", F.explode("windows").alias("key"))
+    """What ``_host_text`` gives, for hosts of any number of pages: windows and runs are compared by key in Spark."""
+    windows = rows.mapInPandas(_window_keys, "page long, keys array<long>").select("page", F.explode("keys").alias("key"))
+    runs = rows.mapInPandas(_run_keys, "page long, key long, least long")
     repeated = windows.groupBy("key").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low <> high").select("key")
-    back = windows.join(repeated, "key").groupBy("page").agg(F.collect_set("key").alias("keys"))
+    often = runs.distinct().groupBy("key").agg(F.count("*").alias("pages"), F.min("least").alias("least")).where("pages >= least").select("key")
+    found = windows.join(repeated, "key").unionByName(runs.select("page", "key").join(often, "key"))
+    back = found.groupBy("page").agg(F.collect_set("key").alias("keys"))
     return rows.join(back, "page", "left").mapInPandas(_without_repeats, schema)
 
 
@@ -278,14 +331,14 @@ def extract_text(pages: DataFrame) -> DataFrame:
     direct = rows.where(marked_up).select("page_id", "url", "html").mapInPandas(_main_text, schema)
     bare = rows.where(~marked_up).withColumn("page", F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit(""))))
     bare = cut_lineage(bare.mapInPandas(_page_blocks, "page_id long, url string, host string, page long, blocks array<string>"))
-    sizes = cut_lineage(bare.groupBy("host").agg(F.count("*").alias("pages")))
-    total = sizes.agg(F.sum("pages")).first()[0]
+    sizes = cut_lineage(bare.groupBy("host").agg(F.count("*").alias("rows"), F.countDistinct("page").alias("pages")))
+    total = sizes.agg(F.sum("rows")).first()[0]
     if not total:
         return direct
     most = max(PAGES_PER_GROUP, -(-total // MAX_HOSTS))
-    large = F.broadcast(sizes.where(F.col("pages") > most).select("host"))  # total / most rows at the utmost
+    large = F.broadcast(sizes.where(F.col("rows") > most).select("host", "pages"))  # total / most rows at the utmost
     small = bare.join(large, "host", "left_anti").groupBy("host").applyInPandas(_host_text, schema)
-    return direct.unionByName(small).unionByName(_large_hosts_text(bare.join(large, "host", "left_semi"), schema))
+    return direct.unionByName(small).unionByName(_large_hosts_text(bare.join(large, "host"), schema))
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,3 +24,23 @@ def test_large_hosts_give_what_small_ones_give(spark, monkeypatch):
     assert large == small
     assert not any("notice" in large[i] or "menu" in large[i] for i in range(30)) and len(large[3].split()) == 50
     assert "menu39" in large[40] and "notice0" in large[41] and large[42] == ""
+
+
+def test_phrases_inside_prose_stay(spark, monkeypatch):
+    rng = random.Random(6)
+    phrases = ["at the end of the day", "one of the most important things", "as far as I know it is"]
+    rows, prose = [], {}
+    for i in range(40):
+        word = lambda: f"w{rng.randrange(10**6)}"
+        prose[i] = " ".join(f"{word()} {word()} {p} {word()}." for p in rng.sample(phrases, 2) for _ in range(3))
+        menu = "".join(f"<li>{w}" for w in ("Home", "News", "Shop", "About", "Contact"))
+        rows.append((i, f"http://h/{i}", f"<div><ul>{menu}</ul></div><p>{prose[i]}</p>" + "<div>Closed on Sunday and Monday until the end of the month</div>" * (i < 3) + "<p>Shared by two pages only</p>" * (i < 2)))
+    want = {i: prose[i] + " Shared by two pages only" * (i < 2) for i in prose}
+    assert texts(spark, rows) == want
+    monkeypatch.setattr(html, "PAGES_PER_GROUP", 8)
+    assert texts(spark, rows) == want
+
+
+def test_short_blocks_need_a_share_of_the_host():
+    assert [html.least_pages(5, n) for n in (1, 2, 3, 6, 10_000)] == [2, 2, 3, 3, 100]
+    assert html.least_pages(12, 10_000) == 3
