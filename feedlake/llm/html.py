@@ -56,13 +56,25 @@ MARKED = frozenset(
     " menu navbar nav navigation breadcrumb breadcrumbs header masthead footer comment comments respond disqus share sharing social"
     " related newsletter subscribe signup popup modal overlay widget login pagination pager toolbar".split()
 )
+#: "site-header" is marked as "header" is; "comments-open" tells how a page is set, not what an element holds.
+WHOLE_SITE = frozenset("site main primary secondary top bottom global".split())
+FLAGS = frozenset("open opened closed on off none free enabled disabled active inactive allowed".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 
-def is_marked(attributes: str) -> bool:
+def is_mark(name: str) -> bool:
+    """Whether a class name or id is a mark, begins with one, or is one of the whole site's."""
+    parts = [p.lower() for p in PARTS.findall(name)]
+    if len(parts) > 1 and (parts[-1] in FLAGS or (parts[0] == "sidebar" and parts[-1] in ("left", "right"))):
+        return False
+    return bool(parts) and (parts[0] in MARKED or (len(parts) == 2 and parts[0] in WHOLE_SITE and parts[1] in MARKED))
+
+
+def is_marked(attributes: str, main: bool = False) -> bool:
+    """Whether an element is boilerplate by its attributes; class and id don't count for a main element."""
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and MARKED.intersection(p.lower() for p in PARTS.findall(value)):
+        if name in ("class", "id") and not main and any(map(is_mark, value.split())):
             return True
         if (name == "role" and value.lower() in ROLES) or (name == "aria-hidden" and value.lower() == "true"):
             return True
@@ -124,7 +136,7 @@ def page_blocks(html: str) -> tuple[list[str], bool]:
                     close(depth)
             end_block()
         main = name == "article" or name == "main" or bool(re.search(r"""role\s*=\s*["']?main\b""", m[4], re.I))
-        marked = name not in ("html", "body") and is_marked(m[4])
+        marked = name not in ("html", "body") and is_marked(m[4], main)
         if main and not marked:
             end_block()
             zone, dropped = ("article" if name == "article" else "main" if zone == "open" else zone), False
@@ -189,12 +201,6 @@ def repeated_tokens(tokens: np.ndarray, page: np.ndarray, long: int = LONG) -> n
     return np.cumsum(steps[:-1]) > 0
 
 
-def _main_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        texts = [" ".join(page_blocks(h)[0]) for h in batch["html"]]
-        yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": pd.array(texts, "object")})
-
-
 def block_runs(blocks: list[str]) -> Iterator[tuple[int, int, str]]:
     """First token, end and text of the shortest run of whole blocks from each block that has SHORT
     tokens or more, if it has fewer than LONG: menus of one-word items and notices, not phrases inside prose.
@@ -214,8 +220,9 @@ def least_pages(tokens: int, pages: int) -> int:
 
 def _page_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        blocks = pd.Series([page_blocks(h)[0] for h in batch["html"]], batch.index, object)
-        yield batch.assign(page_id=batch["page_id"].astype("Int64"), blocks=blocks)[["page_id", "url", "host", "page", "blocks"]]
+        read = [page_blocks(h) for h in batch["html"]]
+        blocks, main = pd.Series([b for b, _ in read], batch.index, object), np.array([m for _, m in read], bool)
+        yield batch.assign(page_id=batch["page_id"].astype("Int64"), blocks=blocks, main=main).drop(columns="html")
 
 
 def _words(blocks: Iterable[str]) -> list[str]:
@@ -326,11 +333,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     host = F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), html.alias("html"), F.lower(host).alias("host"))
-    marked_up = F.col("html").rlike(r"""(?i)<(article|main)\b|role\s*=\s*["']?main\b""")
+    rows = rows.withColumn("page", F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit(""))))
+    read = rows.mapInPandas(_page_blocks, "page_id long, url string, host string, page long, blocks array<string>, main boolean")
     schema = "page_id long, url string, text string"
-    direct = rows.where(marked_up).select("page_id", "url", "html").mapInPandas(_main_text, schema)
-    bare = rows.where(~marked_up).withColumn("page", F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit(""))))
-    bare = cut_lineage(bare.mapInPandas(_page_blocks, "page_id long, url string, host string, page long, blocks array<string>"))
+    direct = read.where("main").select("page_id", "url", F.array_join("blocks", " ").alias("text"))
+    bare = cut_lineage(read.where("NOT main").drop("main"))
     sizes = cut_lineage(bare.groupBy("host").agg(F.count("*").alias("rows"), F.countDistinct("page").alias("pages")))
     total = sizes.agg(F.sum("rows")).first()[0]
     if not total:

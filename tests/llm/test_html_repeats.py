@@ -44,3 +44,20 @@ def test_phrases_inside_prose_stay(spark, monkeypatch):
 def test_short_blocks_need_a_share_of_the_host():
     assert [html.least_pages(5, n) for n in (1, 2, 3, 6, 10_000)] == [2, 2, 3, 3, 100]
     assert html.least_pages(12, 10_000) == 3
+
+
+def test_class_marks_spare_main_elements_and_flags():
+    for tag in ("article class='post comments-open'", "article class='hentry category-social'", "main class='has-sidebar'", "div role=main class='menu'"):
+        assert html.page_blocks(f"<div>x</div><{tag}><p>all of it</p></{tag.split()[0]}>") == (["all of it"], True)
+    for name in ("no-sidebar", "content comments-closed", "sidebar-right", "category-social", "ad-free"):
+        assert html.page_blocks(f"<div id='content' class='{name}'>kept</div>") == (["kept"], False)
+    for name in ("ad", "box ads", "cookie-notice", "adBox", "site-header", "sidebar", "comments"):
+        assert html.page_blocks(f"<div class='{name}'>gone</div><p>kept</p>") == (["kept"], False)
+    assert html.page_blocks("<article hidden>no</article><article>yes</article>") == (["yes"], True)
+
+
+def test_pages_without_main_blocks_reach_the_suffix_array(spark):
+    menu = " ".join(f"item{k}" for k in range(12))
+    rows = [(i, f"http://h/{i}", f"<!-- <article> --><script>'<main>'</script><div>{menu}</div><p>own{i} text{i}</p>") for i in range(4)]
+    rows.append((9, "http://h/9", f"<article class='post comments-open'>{menu}</article>"))
+    assert texts(spark, rows) == {i: f"own{i} text{i}" for i in range(4)} | {9: menu}
