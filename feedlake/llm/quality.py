@@ -3,8 +3,9 @@
 A text is cut into blocks of BLOCK bytes, each compressed against both dictionaries, since in a
 long frame the text's own history would outweigh the dictionary. The feature is the difference of
 the summed sizes over the bytes of the text; a logistic curve fitted on labelled rows that built
-neither dictionary turns it into a calibrated score. The dictionaries come from at most MAX_TRAIN
-labelled rows and DICTIONARY_BYTES each; they and the two numbers of the curve are all that is
+neither dictionary, over the whole of each, turns it into a calibrated score. The dictionaries come
+from at most MAX_TRAIN labelled rows, of a long one TRAIN_BYTES in blocks spread over the whole text,
+and have DICTIONARY_BYTES each; they and the two numbers of the curve are all that is
 broadcast. Scoring is one pass over the documents without a shuffle.
 
 Defined results: null and empty texts have the difference 0 and so the curve's value there; a
@@ -88,34 +89,57 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float,
     return float(a), float(b)
 
 
-def fit_classifier(ids: list[int], texts: list[str], labels: np.ndarray) -> CompressionClassifier:
-    """Even ids (by hash) build the dictionaries, odd ones the curve."""
-    if not len(labels) or labels.min() == labels.max():
-        share = float(labels.mean()) if len(labels) else 0.5
-        return CompressionClassifier(b"", b"", 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    builds = np.array([zlib.crc32(f"curve {i}".encode()) % 2 == 0 for i in ids])
+def spread_blocks(text: str) -> list[bytes]:
+    """Blocks of the text for a dictionary: all of them, or TRAIN_BYTES of them spread evenly from its start to its end."""
+    every, most = blocks(text.encode("utf-8", "replace")), TRAIN_BYTES // BLOCK
+    return every if len(every) <= most else [every[i] for i in np.linspace(0, len(every) - 1, most).astype(int)]
+
+
+def builds_dictionary(doc_id: int) -> bool:
+    return zlib.crc32(f"curve {doc_id}".encode()) % 2 == 0
+
+
+def fit_dictionaries(ids: list[int], samples: list[list[bytes]], labels: np.ndarray) -> CompressionClassifier:
+    """Even ids (by hash) build the dictionaries."""
     dictionaries = []
     for kind in (1, 0):
-        chosen = [t for t, b, y in zip(texts, builds, labels) if b and y == kind] or [t for t, y in zip(texts, labels) if y == kind]
-        samples = [b for t in chosen for b in blocks(t.encode("utf-8", "replace")[:TRAIN_BYTES])]
+        chosen = [s for s, i, y in zip(samples, ids, labels) if builds_dictionary(i) and y == kind] or [s for s, y in zip(samples, labels) if y == kind]
+        own = [b for s in chosen for b in s]
         try:
-            dictionaries.append(zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes())
+            dictionaries.append(zstandard.train_dictionary(DICTIONARY_BYTES, own, level=LEVEL).as_bytes())
         except zstandard.ZstdError:  # too few samples to train on: their text itself serves
-            dictionaries.append(b"".join(samples)[-DICTIONARY_BYTES:])
-    made = CompressionClassifier(*dictionaries)
-    fits = [i for i, b in enumerate(builds) if not b]
-    if len({labels[i] for i in fits}) < 2:
-        fits = list(range(len(labels)))
-    x = np.array([made.difference(texts[i]) for i in fits])
-    made.slope, made.shift = fit_logistic(x, labels[fits])
-    return made
+            dictionaries.append(b"".join(own)[-DICTIONARY_BYTES:])
+    return CompressionClassifier(*dictionaries)
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> CompressionClassifier:
+    """Dictionaries from blocks of labelled texts, and a curve over the differences of whole ones (odd ids by hash)."""
     rows = training_rows(docs, labels, "quality", 4, 2, most)
-    read = rows.select("doc_id", F.substring("text", 1, TRAIN_BYTES).alias("text"), "label").toPandas()
+
+    @F.pandas_udf("array<binary>")
+    def spread(texts: pd.Series) -> pd.Series:
+        return texts.map(spread_blocks)
+
+    read = rows.select("doc_id", spread("text").alias("samples"), "label").toPandas()
     read = read.sort_values("doc_id", kind="stable")
-    return fit_classifier(read["doc_id"].tolist(), read["text"].tolist(), read["label"].to_numpy(np.float64))
+    ids, y = read["doc_id"].tolist(), read["label"].to_numpy(np.float64)
+    if not len(y) or y.min() == y.max():
+        share = float(y.mean()) if len(y) else 0.5
+        return CompressionClassifier(b"", b"", 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
+    made = fit_dictionaries(ids, [list(s) for s in read["samples"]], y)
+    odd = np.array([not builds_dictionary(i) for i in ids])
+    every = len(set(y[odd])) < 2
+    shared = docs.sparkSession.sparkContext.broadcast(made)
+
+    def differences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
+        for batch in batches:
+            own = batch[[every or not builds_dictionary(i) for i in batch["doc_id"]]]
+            yield pd.DataFrame({"doc_id": own["doc_id"], "x": own["text"].map(model.difference).astype(float), "y": own["label"].astype(float)})
+
+    found = rows.mapInPandas(differences, "doc_id long, x double, y double").toPandas().sort_values(["doc_id", "x"])
+    made.slope, made.shift = fit_logistic(found["x"].to_numpy(), found["y"].to_numpy())
+    return made
 
 
 def score_quality(docs: DataFrame, classifier: CompressionClassifier, out: str = "score") -> DataFrame:
