@@ -185,7 +185,7 @@ def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             s = shingle_set(text, known)
             nodes.append(set_node(s) if len(s) else None)
             bands.append(band_keys(min_hashes(s)) if len(s) else None)
-        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": pd.array(nodes, "Int64"), "bands": bands})
+        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_key": batch["text_key"], "node": pd.array(nodes, "Int64"), "bands": bands})
 
 
 def _with_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,8 +276,13 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_links for every row: the smallest doc_id reachable by links of
     similarity THRESHOLD or more, itself included, and how many other rows it links with directly.
     """
+    return _classed(docs).select("doc_id", "class_id", "n_links")
+
+
+def _classed(docs: DataFrame) -> DataFrame:
+    """The same with ``text_key``, the hash of the row's text, and ``part``: a node that names the class, null for a row without."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = cut_lineage(texts.mapInPandas(_described, "doc_id long, node long, bands array<long>"))
+    described = cut_lineage(texts.withColumn("text_key", F.xxhash64("text")).mapInPandas(_described, "doc_id long, text_key long, node long, bands array<long>"))
     listed = described.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     nodes = cut_lineage(
         listed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
@@ -314,19 +319,22 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     least = linked.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("class_id"))
     named = (
         nodes.select("node", "rep", "copies")
-        .join(linked.join(least, "component").select("node", "class_id"), "node", "left")
+        .join(linked.join(least, "component").select("node", "class_id", "component"), "node", "left")
         .join(counts, "node", "left")
-        .select("node", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .select("node", F.coalesce("component", "node").alias("part"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    found = listed.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "n_links")
+    found = listed.select("doc_id", "text_key", "node").join(named, "node").select("doc_id", "text_key", "part", "class_id", "n_links")
     alone = described.where(F.col("node").isNull() | F.col("doc_id").isNull())
-    return found.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    return found.unionByName(alone.select("doc_id", "text_key", F.lit(None).cast("long").alias("part"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class; rows without doc_id stay."""
-    firsts = jaccard_classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one row of each class; rows without doc_id stay, and rows of one doc_id are judged by text."""
+    heads = _classed(docs).where("doc_id = class_id").select("doc_id", F.col("text_key").alias("_text_key"), "part")
+    firsts = heads.where("part IS NOT NULL").groupBy("part", "doc_id").agg(F.min("_text_key").alias("_text_key"))
+    firsts = firsts.select("doc_id", "_text_key").unionByName(heads.where("part IS NULL").drop("part"))
+    keys = ["doc_id", "_text_key"]
+    kept = docs.withColumn("_text_key", F.xxhash64("text")).join(firsts, keys, "left_semi").dropDuplicates(keys)
     return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
