@@ -159,7 +159,7 @@ _FACETS = " UNION ALL ".join(
     WHERE (ok{f" OR query_id = {k}" if k else ""}) AND coalesce({n}, '') NOT IN ('', '0')) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, value) <= 50)"""
     for n, k in (("brand", 0), ("colour", 1), ("category", 2))
 )
-_SQL_TOKENS = """t AS (SELECT doc_id AS query_id, lower(trim(array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: true)[1:40], ' '))) AS x FROM documents),
+_SQL_TOKENS = """t AS (SELECT doc_id AS query_id, lower(trim(text)) AS x FROM documents),
   e AS (SELECT query_id, list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '') AS w FROM t),
   k AS (SELECT query_id, w, list_filter(w, lambda v: NOT list_contains([%s], v)) AS s FROM e),
   tokens AS (SELECT query_id, unnest(CASE WHEN len(s) > 0 THEN s ELSE w END) AS token FROM k)""" % ", ".join(f"'{w}'" for w in q.STOP_WORDS)
