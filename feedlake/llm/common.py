@@ -38,6 +38,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a key from which it is hot; there are at most as many hot keys as HOT_KEYS.
+HOT_ROWS, HOT_KEYS = 1_000, 20_000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key; ``count`` tells how many rows a key has or more),
+    without a hot task: keys of very many rows meet them by broadcast, the others in a shuffle.
+
+    A hot key has HOT_ROWS rows or more, and more than a HOT_KEYS-th of all, so that no more than
+    HOT_KEYS keys are broadcast. ``table`` is checkpointed, as it is read three times; null keys
+    don't match. ``how``: inner or left.
+    """
+    table = cut_lineage(table)
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) >= max(HOT_ROWS, -(-total // HOT_KEYS))
+    few = F.broadcast(table.where(hot).withColumn("_hot", F.lit(True)))
+    near = rows.join(few, key, "left")
+    found, rest = near.where(F.col("_hot")).drop("_hot"), near.where(F.col("_hot").isNull()).select(*rows.columns)
+    return found.unionByName(rest.join(table.where(~hot), key, how).select(*found.columns))
+
+
 def running_position(
     df: DataFrame, keys: list[str], spread: Column, order: list[str], buckets: int, measure: str | None, out: str
 ) -> DataFrame:
