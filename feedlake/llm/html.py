@@ -1,20 +1,28 @@
-"""HTML extraction: article markup where there is one, a suffix array over the host's pages else.
-
-A small scanner cuts a page into blocks and marks those in menus, headers, footers, sidebars,
-notices, adverts, forms and comments by element, role, class or id. A page whose article (or main
-element) is marked up gives that element's blocks; nothing outside counts, and nothing inside is
-taken for boilerplate because another page repeats it, which a suffix array alone would do to
-quoted or copied articles. A page without such markup goes to its host's group, where the token
-streams of the pages are concatenated, a suffix array is built by prefix doubling, and the
-substrings of LONG tokens or more that occur on two pages or more are cut out, and shorter runs of
-whole blocks that enough pages have (``least_pages``), but no phrase inside a block; the rest is
-the text. On a host of more pages than a group may hold, the same windows and runs are compared
-by 64-bit key in Spark, so a repeat is found wherever its pages are. Hosts above the bound are at
-most MAX_HOSTS by its choice, so their table is broadcast.
+"""HTML extraction by a suffix array over the host's pages, with article markup protected.
+
+A small scanner cuts a page into blocks. Each page's blocks, those in menus and footers as well,
+go into its host's group, where the token streams are concatenated and the suffix array is built
+by prefix doubling up to LONG tokens. It finds the substrings of LONG tokens or more that occur on
+two pages or more, and beside it runs of whole blocks below that length are counted by page
+(``least_pages``). What a block is decides what the repeats mean for it:
+
+- PROTECTED, inside a marked-up article (or main element): stays. Quoted and copied articles are
+  repeats too, and a suffix array alone would cut them.
+- SUSPECT, inside an article under a class or id that only begins like boilerplate ("share-price",
+  "comment-form"): goes if a repeat covers it, stays if it is the page's own.
+- OPEN, on a page without such markup: what repeats cover goes, the unique runs stay.
+- DROPPED, in a menu, footer, sidebar, form, advert or comments by element, role or whole class
+  name, or outside the article of a page that has one: goes, but its text counts as a repeat for others.
+
+A host of more than GROUP_CHARS characters of html doesn't fit a task. There the same windows are
+compared in Spark by 64-bit key: every window has an anchor, the ANCHOR tokens in it with the
+least hash, which the same window has everywhere; anchors on two pages or more are found first, and
+only windows around such an anchor are compared whole. So a repeat is found wherever its pages are.
 
 Defined results: null and empty html give an empty text; cut-off tags and elements end with the
-page; repeated rows are extracted each and count as one page where their url and id agree; a null
-url is a host of its own; an empty table gives no rows; extra columns are ignored.
+page; an article without text is none; repeated rows are extracted each and count as one page where
+their url and id agree; a null url is a host of its own; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +36,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import cut_lineage, read_table
+from feedlake.llm.common import cut_lineage, join_hot, read_table
 
 #: Tokens of a repeat that is cut wherever it lies, and of whole blocks that are cut if enough pages have them.
 LONG, MIDDLE, SHORT = 30, 10, 4
-PAGES_PER_GROUP = 256
-MAX_HOSTS = 200_000
+ANCHOR = 15
+GROUP_CHARS = 16_000_000
+#: Up to so many large hosts are broadcast by name.
+MAX_LISTED = 100_000
+DROPPED, SUSPECT, OPEN, PROTECTED = range(4)
 
 PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -43,13 +54,13 @@ PIECE = re.compile(
     r"|<[a-zA-Z][^>]*\Z",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
-DROPPED = frozenset("nav footer aside form menu button select dialog head".split())
+NOT_TEXT = frozenset("nav footer aside form menu button select dialog head".split())
 WITHIN_P = INLINE | {"br"}
 MARKED = frozenset(
     "ad ads advert advertisement advertising adverts banner sponsor sponsored promo promotion cookie cookies consent gdpr notice sidebar"
@@ -62,6 +73,14 @@ FLAGS = frozenset("open opened closed on off none free enabled disabled active i
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 
+def attributes_of(text: str) -> dict[str, str]:
+    """Attributes by lower-case name, the first of each; values without quotes."""
+    out: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), value.strip("\"'"))
+    return out
+
+
 def is_mark(name: str) -> bool:
     """Whether a class name or id is a mark, begins with one, or is one of the whole site's."""
     parts = [p.lower() for p in PARTS.findall(name)]
@@ -70,41 +89,50 @@ def is_mark(name: str) -> bool:
     return bool(parts) and (parts[0] in MARKED or (len(parts) == 2 and parts[0] in WHOLE_SITE and parts[1] in MARKED))
 
 
-def is_marked(attributes: str, main: bool = False) -> bool:
-    """Whether an element is boilerplate by its attributes; class and id don't count for a main element."""
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and not main and any(map(is_mark, value.split())):
-            return True
-        if (name == "role" and value.lower() in ROLES) or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True
-    return False
-
-
-def page_blocks(html: str) -> tuple[list[str], bool]:
-    """The main blocks and True, or, without an article or main element, all unmarked blocks and False."""
-    found: dict[str, list[str]] = {"article": [], "main": [], "open": []}
-    stack: list[tuple[str, str, bool]] = []  # element, zone inside it, whether dropped
-    zone, dropped, text, begun = "open", False, [], set()
+def marked_as(attributes: dict[str, str], main: bool = False, inside: bool = False) -> int:
+    """DROPPED, SUSPECT (``inside`` an article, by a name that only begins like a mark) or OPEN; class and
+    id don't count for a main element.
+    """
+    hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
+    if hidden or attributes.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
+        return DROPPED
+    names = [] if main else f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    if any(n.lower() in MARKED for n in names):
+        return DROPPED
+    if any(map(is_mark, names)):
+        return SUSPECT if inside else DROPPED
+    return OPEN
+
+
+def read_page(html: str) -> tuple[list[str], list[int]]:
+    """All blocks of text in page order and what each of them is."""
+    blocks: list[str] = []
+    kinds: list[int] = []
+    zones: list[str] = []
+    stack: list[tuple[str, str, int]] = []  # element, zone inside it, what its text is
+    zone, state, text, begun = "open", OPEN, [], set()
 
     def end_block() -> None:
         if text:
             words = unescape("".join(text)).split()
             if words:
-                found[zone].append(" ".join(words))
+                blocks.append(" ".join(words))
+                kinds.append(state)
+                zones.append(zone)
+                begun.add(zone if state else "")
             text.clear()
 
     def close(depth: int) -> None:
-        nonlocal zone, dropped
-        end_block()
+        nonlocal zone, state
+        below = stack[depth - 1] if depth else ("", "open", OPEN)
+        if below[1:] != (zone, state) or any(s[0] not in INLINE for s in stack[depth:]):
+            end_block()
         del stack[depth:]
-        _, zone, dropped = stack[-1] if stack else ("", "open", False)
+        _, zone, state = below
 
     at = 0
     for m in PIECE.finditer(html):
-        if m.start() > at and not dropped:
+        if m.start() > at:
             text.append(html[at : m.start()])
         at = m.end()
         name = m[3]
@@ -115,12 +143,8 @@ def page_blocks(html: str) -> tuple[list[str], bool]:
         name = name.lower()
         if m[2]:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None:
-                if name in INLINE and stack[depth][2] == dropped:
-                    if all(s[0] in INLINE for s in stack[depth:]):
-                        del stack[depth:]
-                else:
-                    close(depth)
+            if depth is not None and (name not in INLINE or all(s[0] in INLINE for s in stack[depth:])):
+                close(depth)
             continue
         if name in VOID:
             if name not in INLINE:
@@ -135,69 +159,74 @@ def page_blocks(html: str) -> tuple[list[str], bool]:
                 if depth is not None and stack[depth][0] == "li":
                     close(depth)
             end_block()
-        main = name == "article" or name == "main" or bool(re.search(r"""role\s*=\s*["']?main\b""", m[4], re.I))
-        marked = name not in ("html", "body") and is_marked(m[4], main)
-        if main and not marked:
+        attributes = attributes_of(m[4]) if m[4].strip(" /") else {}
+        main = name in ("article", "main") or attributes.get("role", "").lower() == "main"
+        mark = OPEN if name in ("html", "body") else marked_as(attributes, main, zone != "open")
+        if main and mark == OPEN:
             end_block()
-            zone, dropped = ("article" if name == "article" else "main" if zone == "open" else zone), False
-            begun.add(zone)
-        elif marked or name in DROPPED or (name == "header" and zone == "open"):
-            end_block()
-            dropped = True
+            zone, state = ("article" if name == "article" else "main" if zone == "open" else zone), OPEN
+        else:
+            if name in NOT_TEXT or (name == "header" and zone == "open"):
+                mark = DROPPED
+            if mark < state:
+                end_block()
+                state = mark
         if m[4].endswith("/") and name not in INLINE:
+            _, zone, state = stack[-1] if stack else ("", "open", OPEN)
             continue
-        stack.append((name, zone, dropped))
-    if at < len(html) and not dropped:
+        stack.append((name, zone, state))
+    if at < len(html):
         text.append(html[at:])
     end_block()
-    for kind in ("article", "main"):
-        if kind in begun:
-            return found[kind], True
-    return found["open"], False
+    own = next((kind for kind in ("article", "main") if kind in begun), None)
+    if own is None:
+        return blocks, [max(k, OPEN) if k else DROPPED for k in kinds]
+    return blocks, [(PROTECTED if k == OPEN else k) if z == own else DROPPED for k, z in zip(kinds, zones)]
 
 
-def repeated_tokens(tokens: np.ndarray, page: np.ndarray, long: int = LONG) -> np.ndarray:
-    """Which tokens lie in a substring of ``long`` tokens or more that occurs on two pages or more.
+def page_blocks(html: str) -> tuple[list[str], bool]:
+    """The blocks that markup keeps, and whether an article (or main element) holds them."""
+    blocks, kinds = read_page(html)
+    return [b for b, k in zip(blocks, kinds) if k != DROPPED], PROTECTED in kinds or SUSPECT in kinds
+
 
-    The suffix array comes from prefix doubling: suffixes ranked by their first 2**k tokens, until
-    every rank is single. A suffix shares ``long`` tokens with a neighbour in the array if their
-    common prefix, read off the ranks kept from each doubling, is that long.
+def suffix_order(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array by the first ``depth`` tokens, and for each suffix in it whether its first
+    ``depth`` tokens differ from those of the one before.
+
+    Prefix doubling: suffixes are ranked by their first 2**k tokens, two ranks at a distance make
+    the rank of twice the length, and the last step overlaps the two halves to end at ``depth``.
     """
-    n = len(tokens)
-    covered = np.zeros(n, bool)
-    if n < long:
-        return covered
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    ranks, width = [rank], 1
+    n, width = len(tokens), 1
+    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
     while True:
-        second = np.full(n, -1, np.int64)
-        second[: max(0, n - width)] = rank[width:]
-        order = np.lexsort((second, rank))
-        new = np.concatenate([[0], (np.diff(rank[order]) != 0) | (np.diff(second[order]) != 0)])
-        rank = np.empty(n, np.int64)
+        step = min(width, depth - width)
+        second = np.zeros(n, np.int64)
+        if step:
+            second[: max(0, n - step)] = rank[step:]
+        key = rank * np.int64(n + 2) + second
+        order = np.argsort(key, kind="stable")
+        new = np.concatenate([[True], np.diff(key[order]) != 0])
+        if width + step >= depth:
+            return order, new
         rank[order] = np.cumsum(new)
-        ranks.append(rank)
-        width *= 2
-        if rank.max() == n - 1 or width >= n:
-            break
-    common = np.zeros(n, np.int64)  # of each suffix in the array with the one before
-    a, b = order[1:].copy(), order[:-1].copy()
-    for k in range(len(ranks) - 1, -1, -1):
-        ok = (a < n) & (b < n)
-        same = np.zeros(n - 1, bool)
-        same[ok] = ranks[k][a[ok]] == ranks[k][b[ok]]
-        common[1:][same] += 1 << k
-        a[same] += 1 << k
-        b[same] += 1 << k
-    run = np.cumsum(common < long)  # neighbours that share ``long`` tokens
+        width += step
+
+
+def repeated_tokens(tokens: np.ndarray, page: np.ndarray, long: int = LONG) -> np.ndarray:
+    """Which tokens lie in a substring of ``long`` tokens or more that occurs on two pages or more."""
+    n = len(tokens)
+    if n < long:
+        return np.zeros(n, bool)
+    order, new = suffix_order(tokens, long)
+    first = np.flatnonzero(new)
     pages = page[order]
-    low, high = np.full(run[-1] + 1, n), np.full(run[-1] + 1, -1)
-    np.minimum.at(low, run, pages)
-    np.maximum.at(high, run, pages)
-    starts = order[(low != high)[run]]
+    apart = np.minimum.reduceat(pages, first) != np.maximum.reduceat(pages, first)
+    starts = order[apart[np.cumsum(new) - 1]]
+    starts = starts[starts <= n - long]
     steps = np.zeros(n + 1, np.int64)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, np.minimum(starts + long, n), -1)
+    steps[starts] += 1
+    steps[starts + long] -= 1
     return np.cumsum(steps[:-1]) > 0
 
 
@@ -218,11 +247,44 @@ def least_pages(tokens: int, pages: int) -> int:
     return max(2, min(3, pages), -(-pages // 100) if tokens < MIDDLE else 0)
 
 
+class Page:
+    """A page's streams: ``kept`` of what may stay, ``rest`` of what goes; ``open`` tells which tokens of ``kept`` may go."""
+
+    def __init__(self, blocks: Iterable[str], kinds: str) -> None:
+        self.blocks = [(b, int(k)) for b, k in zip(blocks, kinds)]
+        own = [(b, k) for b, k in self.blocks if k != DROPPED]
+        self.kept, self.rest = _words(b for b, _ in own), _words(b for b, k in self.blocks if k == DROPPED)
+        sizes = [b.count(" ") + 1 for b, _ in own]
+        self.kinds = np.repeat(np.array([k for _, k in own], np.int8), sizes)
+        self.open = self.kinds != PROTECTED
+
+    def runs(self) -> Iterator[tuple[int, int, str, int]]:
+        """First token in ``kept``, end and text of each run of whole unprotected blocks, and what it is."""
+        at, part, begin = 0, [], 0
+        for block, kind in [*((b, k) for b, k in self.blocks if k != DROPPED), ("", PROTECTED)]:
+            if kind == PROTECTED or (part and part[-1][1] != kind):
+                yield from ((begin + s, begin + e, run, part[0][1]) for s, e, run in block_runs([b for b, _ in part]))
+                part, begin = [], at
+            if kind != PROTECTED:
+                part.append((block, kind))
+            at += block.count(" ") + 1
+            if kind == PROTECTED:
+                begin = at
+
+    def run_texts(self) -> set[str]:
+        """The runs that count for others: those of unprotected blocks and those of dropped ones."""
+        return {run for _, _, run, _ in self.runs()} | {run for _, _, run in block_runs([b for b, k in self.blocks if k == DROPPED])}
+
+    def text(self, gone: np.ndarray) -> str:
+        gone = gone & self.open
+        return " ".join(w for w, g in zip(self.kept, gone) if not g) if gone.any() else " ".join(self.kept)
+
+
 def _page_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        read = [page_blocks(h) for h in batch["html"]]
-        blocks, main = pd.Series([b for b, _ in read], batch.index, object), np.array([m for _, m in read], bool)
-        yield batch.assign(page_id=batch["page_id"].astype("Int64"), blocks=blocks, main=main).drop(columns="html")
+        read = [read_page(h) for h in batch["html"]]
+        blocks, kinds = pd.Series([b for b, _ in read], batch.index, object), ["".join(map(str, k)) for _, k in read]
+        yield batch.assign(page_id=batch["page_id"].astype("Int64"), blocks=blocks, kinds=kinds).drop(columns="html")
 
 
 def _words(blocks: Iterable[str]) -> list[str]:
@@ -236,96 +298,150 @@ def _texts(rows: pd.DataFrame, texts: list[str]) -> pd.DataFrame:
 def _host_text(rows: pd.DataFrame) -> pd.DataFrame:
     """Texts of one host's pages, without what their streams repeat."""
     known: dict[str, int] = {}
-    words, ids, pages = [], [], []
+    read, ids, sizes = [Page(b, k) for b, k in zip(rows["blocks"], rows["kinds"])], [], []
     number = {page: k for k, page in enumerate(dict.fromkeys(rows["page"]))}
-    for k, (page, blocks) in enumerate(zip(rows["page"], rows["blocks"])):
-        own = _words(blocks)
-        words.append(own)
-        ids += [known.setdefault(w, len(known)) for w in own]
-        ids.append(-1 - k)  # ends the page, unlike any other token
-        pages += [number[page]] * (len(own) + 1)
-    gone = repeated_tokens(np.array(ids, np.int64), np.array(pages, np.int64), LONG)
+    for k, page in enumerate(read):
+        for stream in (page.kept, page.rest):
+            ids.append(np.fromiter((known.setdefault(w, len(known)) for w in stream), np.int32, len(stream)))
+            ids.append(np.array([-1 - 2 * k - (stream is page.rest)], np.int32))  # ends the stream, unlike any other token
+        sizes.append(len(page.kept) + len(page.rest) + 2)
+    del known
+    tokens = np.concatenate(ids)
+    gone = repeated_tokens(tokens, np.repeat([number[p] for p in rows["page"]], sizes), LONG)
     on: dict[str, set[int]] = {}
-    for page, blocks in zip(rows["page"], rows["blocks"]):
-        for _, _, run in block_runs(list(blocks)):
-            on.setdefault(run, set()).add(page)
-    at = 0
-    for own, blocks in zip(words, rows["blocks"]):
-        for start, end, run in block_runs(list(blocks)):
-            if len(on[run]) >= least_pages(end - start, len(number)):
-                gone[at + start : at + end] = True
-        at += len(own) + 1
+    for name, page in zip(rows["page"], read):
+        for run in page.run_texts():
+            on.setdefault(run, set()).add(name)
     texts, at = [], 0
-    for own in words:
-        texts.append(" ".join(w for w, g in zip(own, gone[at : at + len(own)]) if not g))
-        at += len(own) + 1
+    for page, size in zip(read, sizes):
+        own = gone[at : at + len(page.kept)]
+        for start, end, run, kind in page.runs():
+            if len(on[run]) >= (2 if kind == SUSPECT else least_pages(end - start, len(number))):
+                own[start:end] = True
+        texts.append(page.text(own))
+        at += size
     return _texts(rows, texts)
 
 
 def _hashes(strings: list[str]) -> np.ndarray:
-    return pd.util.hash_array(np.array(strings, object), categorize=False)
+    return pd.util.hash_array(np.array(strings, object), categorize=False) if strings else np.zeros(0, np.uint64)
 
 
-def window_keys(words: list[str], host: str) -> np.ndarray:
-    """A 64-bit key of the host and each window of LONG tokens."""
-    n = len(words) - LONG + 1
+def gram_keys(hashed: np.ndarray, size: int, host: int) -> np.ndarray:
+    """A 64-bit key of the host and each ``size`` tokens, given the tokens' hashes."""
+    n = len(hashed) - size + 1
     if n < 1:
-        return np.zeros(0, np.int64)
-    hashed, made = _hashes(words), np.zeros(n, np.uint64)
-    for k in range(LONG):
+        return np.zeros(0, np.uint64)
+    made = np.full(n, np.uint64(size))
+    for k in range(size):
         made = made * np.uint64(0x9E3779B97F4A7C15) + hashed[k : k + n]
-    return (made * np.uint64(0xC2B2AE3D27D4EB4F) + _hashes([host])).view(np.int64)
+    made = made * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(host)
+    made ^= made >> np.uint64(31)
+    made *= np.uint64(0xD6E8FEB86659FD93)
+    return made ^ (made >> np.uint64(32))
 
 
-def run_keys(runs: list[tuple[int, int, str]], host: str) -> np.ndarray:
-    """A 64-bit key of the host and each run of blocks, unlike those of windows."""
-    if not runs:
-        return np.zeros(0, np.int64)
-    return (_hashes([run for _, _, run in runs]) * np.uint64(0x165667B19E3779F9) + _hashes([f"{host} runs"])).view(np.int64)
+def windows_of(page: Page, host: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For the kept stream, then the other: keys of its windows of LONG tokens, of their anchors, and
+    whether a token of the window may go.
+    """
+    for stream, may_go in ((page.kept, page.open), (page.rest, None)):
+        hashed = _hashes(stream)
+        keys, grams = gram_keys(hashed, LONG, host), gram_keys(hashed, ANCHOR, host)
+        if not len(keys):
+            yield keys, keys, np.zeros(0, bool)
+            continue
+        anchors = np.lib.stride_tricks.sliding_window_view(grams, LONG - ANCHOR + 1).min(1)
+        wanted = np.zeros(len(keys), bool) if may_go is None else np.lib.stride_tricks.sliding_window_view(may_go, LONG).any(1)
+        yield keys, anchors, wanted
 
 
-def _window_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _host_number(host: str) -> int:
+    return int(_hashes([host])[0])
+
+
+def run_keys(runs: Iterable[str], host: int) -> np.ndarray:
+    """A 64-bit key of the host and each run of blocks."""
+    return (_hashes(list(runs)) * np.uint64(0x165667B19E3779F9) + np.uint64(host)).view(np.int64)
+
+
+def _pages(batch: pd.DataFrame) -> Iterator[tuple[int, int, Page]]:
+    for page, host, blocks, kinds in zip(batch["page"], batch["host"], batch["blocks"], batch["kinds"]):
+        yield page, _host_number(host), Page(blocks, kinds)
+
+
+def _distinct(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys that are wanted at least once, and the others."""
+    found, row = np.unique(keys, return_inverse=True)
+    some = np.bincount(row, weights=wanted, minlength=len(found)) > 0
+    return found[some].view(np.int64), found[~some].view(np.int64)
+
+
+def _page_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(page, wanted, others: distinct anchors; runs, least, more: distinct runs). ``least`` goes with ``runs``;
+    ``more`` only count for others.
+    """
     for batch in batches:
-        keys = [np.unique(window_keys(_words(b), h)) for b, h in zip(batch["blocks"], batch["host"])]
-        yield pd.DataFrame({"page": batch["page"], "keys": pd.Series(keys, batch.index, object)})
+        out = []
+        for (name, host, page), pages in zip(_pages(batch), batch["pages"]):
+            (_, a, wa), (_, b, wb) = windows_of(page, host)
+            least = {run: 2 if kind == SUSPECT else least_pages(end - start, pages) for start, end, run, kind in page.runs()}
+            more = sorted(page.run_texts() - set(least))
+            out.append((name, *_distinct(np.concatenate([a, b]), np.concatenate([wa, wb])), run_keys(least, host), np.array([*least.values()], np.int64), run_keys(more, host)))
+        yield pd.DataFrame(out, columns=["page", "wanted", "others", "runs", "least", "more"])
 
 
-def _run_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _window_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(page, wanted, others) of the distinct windows of a page around one of its ``anchors``."""
     for batch in batches:
-        found = [(np.zeros(0, np.int64),) * 3]
-        for page, host, blocks, pages in zip(batch["page"], batch["host"], batch["blocks"], batch["pages"]):
-            runs = list(block_runs(list(blocks)))
-            least = np.array([least_pages(end - start, pages) for start, end, _ in runs], np.int64)
-            found.append((np.full(len(runs), page, np.int64), run_keys(runs, host), least))
-        yield pd.DataFrame(dict(zip(("page", "key", "least"), map(np.concatenate, zip(*found))))).drop_duplicates()
+        out = []
+        for (name, host, page), anchors in zip(_pages(batch), batch["anchors"]):
+            (ka, aa, wa), (kb, ab, wb) = windows_of(page, host)
+            near = np.isin(np.concatenate([aa, ab]).view(np.int64), np.asarray(anchors, np.int64))
+            out.append((name, *_distinct(np.concatenate([ka, kb])[near], np.concatenate([wa, wb])[near])))
+        yield pd.DataFrame(out, columns=["page", "wanted", "others"])
 
 
 def _without_repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts = []
-        for host, blocks, keys in zip(batch["host"], batch["blocks"], batch["keys"]):
-            own, keys = _words(blocks), np.asarray([] if keys is None else keys, np.int64)
-            steps = np.zeros(len(own) + 1, np.int64)
-            starts = np.flatnonzero(np.isin(window_keys(own, host), keys))
-            np.add.at(steps, starts, 1)
+        for (_, host, page), windows, runs in zip(_pages(batch), batch["windows"], batch["runs"]):
+            steps = np.zeros(len(page.kept) + 1, np.int64)
+            keys = gram_keys(_hashes(page.kept), LONG, host).view(np.int64)
+            starts = np.flatnonzero(np.isin(keys, np.asarray([] if windows is None else windows, np.int64)))
+            steps[starts] += 1
             np.add.at(steps, starts + LONG, -1)
-            runs = list(block_runs(list(blocks)))
-            for k in np.flatnonzero(np.isin(run_keys(runs, host), keys)):
-                steps[runs[k][0]] += 1
-                steps[runs[k][1]] -= 1
-            texts.append(" ".join(w for w, g in zip(own, np.cumsum(steps)) if not g))
+            own = list(page.runs())
+            for k in np.flatnonzero(np.isin(run_keys([r[2] for r in own], host), np.asarray([] if runs is None else runs, np.int64))):
+                steps[own[k][0]] += 1
+                steps[own[k][1]] -= 1
+            texts.append(page.text(np.cumsum(steps[:-1]) > 0))
         yield _texts(batch, texts)
 
 
+def _repeated(keys: DataFrame) -> DataFrame:
+    """(page, keys): the keys of each page that two pages or more have and that some page wants."""
+    every = keys.select("page", F.explode("wanted").alias("key"), F.lit(True).alias("wanted")).unionByName(
+        keys.select("page", F.explode("others").alias("key"), F.lit(False).alias("wanted"))
+    )
+    seen = every.groupBy("key").agg(F.min("page").alias("low"), F.max("page").alias("high"), F.max("wanted").alias("some"), F.count("*").alias("n"))
+    found = seen.where("low <> high AND some").select("key", "n")
+    return join_hot(every.select("page", "key"), found, "key", "n").groupBy("page").agg(F.collect_set("key").alias("keys"))
+
+
 def _large_hosts_text(rows: DataFrame, schema: str) -> DataFrame:
     """What ``_host_text`` gives, for hosts of any number of pages: windows and runs are compared by key in Spark."""
-    windows = rows.mapInPandas(_window_keys, "page long, keys array<long>").select("page", F.explode("keys").alias("key"))
-    runs = rows.mapInPandas(_run_keys, "page long, key long, least long")
-    repeated = windows.groupBy("key").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low <> high").select("key")
-    often = runs.distinct().groupBy("key").agg(F.count("*").alias("pages"), F.min("least").alias("least")).where("pages >= least").select("key")
-    found = windows.join(repeated, "key").unionByName(runs.select("page", "key").join(often, "key"))
-    back = found.groupBy("page").agg(F.collect_set("key").alias("keys"))
-    return rows.join(back, "page", "left").mapInPandas(_without_repeats, schema)
+    keys = cut_lineage(rows.mapInPandas(
+        _page_keys, "page long, wanted array<long>, others array<long>, runs array<long>, least array<long>, more array<long>"
+    ))
+    near = _repeated(keys).withColumnRenamed("keys", "anchors")
+    windows = cut_lineage(rows.join(near, "page").mapInPandas(_window_keys, "page long, wanted array<long>, others array<long>"))
+    long = _repeated(windows).withColumnRenamed("keys", "windows")
+    own = keys.select("page", F.explode(F.arrays_zip("runs", "least")).alias("r")).select("page", F.col("r.runs").alias("key"), F.col("r.least").alias("least")).distinct()
+    runs = own.unionByName(keys.select("page", F.explode("more").alias("key"), F.lit(None).cast("long").alias("least")).distinct())
+    often = runs.groupBy("key").agg(F.countDistinct("page").alias("n"), F.min("least").alias("_least")).where("n >= _least").drop("_least")
+    short = join_hot(own.select("page", "key"), often, "key", "n").groupBy("page").agg(F.collect_set("key").alias("runs"))
+    return rows.join(long, "page", "left").join(short, "page", "left").mapInPandas(_without_repeats, schema)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -334,18 +450,21 @@ def extract_text(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), html.alias("html"), F.lower(host).alias("host"))
     rows = rows.withColumn("page", F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit(""))))
-    read = rows.mapInPandas(_page_blocks, "page_id long, url string, host string, page long, blocks array<string>, main boolean")
+    hosts = rows.groupBy("host").agg(F.count("*").alias("rows"), F.sum(F.length("html")).alias("chars"))
+    large = cut_lineage(hosts.where(F.col("chars") > GROUP_CHARS).select("host", "rows"))
+    n_large = large.count()
     schema = "page_id long, url string, text string"
-    direct = read.where("main").select("page_id", "url", F.array_join("blocks", " ").alias("text"))
-    bare = cut_lineage(read.where("NOT main").drop("main"))
-    sizes = cut_lineage(bare.groupBy("host").agg(F.count("*").alias("rows"), F.countDistinct("page").alias("pages")))
-    total = sizes.agg(F.sum("rows")).first()[0]
-    if not total:
-        return direct
-    most = max(PAGES_PER_GROUP, -(-total // MAX_HOSTS))
-    large = F.broadcast(sizes.where(F.col("rows") > most).select("host", "pages"))  # total / most rows at the utmost
-    small = bare.join(large, "host", "left_anti").groupBy("host").applyInPandas(_host_text, schema)
-    return direct.unionByName(small).unionByName(_large_hosts_text(bare.join(large, "host"), schema))
+    parsed = "page_id long, url string, host string, page long, blocks array<string>, kinds string"
+    listed = F.broadcast(large) if n_large <= MAX_LISTED else large
+    small = rows.join(listed, "host", "left_anti").mapInPandas(_page_blocks, parsed).groupBy("host").applyInPandas(_host_text, schema)
+    if not n_large:
+        return small
+    # the pages of large hosts, with how many their host has
+    own = rows.join(listed.drop("rows"), "host", "left_semi") if n_large <= MAX_LISTED else join_hot(rows, large, "host", "rows").drop("rows")
+    counted = own.groupBy("host").agg(F.countDistinct("page").alias("pages"))
+    own = own.join(F.broadcast(counted), "host") if n_large <= MAX_LISTED else join_hot(own, counted, "host", "pages")
+    own = own.mapInPandas(_page_blocks, parsed + ", pages long")
+    return small.unionByName(_large_hosts_text(own, schema))
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:

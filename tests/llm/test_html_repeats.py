@@ -19,7 +19,7 @@ def test_large_hosts_give_what_small_ones_give(spark, monkeypatch):
         rows.append((i, f"http://h/{i}", f"<p>{own}</p>" + f"<div>{notice}</div>" * (i in (3, 17, 22)) + f"<div>{menu} end</div>" * (i % 2)))
     rows += [(40, "http://other/", f"<p>{menu}</p>"), (41, None, f"<p>{notice}</p>"), (3, *rows[3][1:]), (42, "http://h/e", "")]
     small = texts(spark, rows)
-    monkeypatch.setattr(html, "PAGES_PER_GROUP", 4)
+    monkeypatch.setattr(html, "GROUP_CHARS", 1_500)
     large = texts(spark, rows)
     assert large == small
     assert not any("notice" in large[i] or "menu" in large[i] for i in range(30)) and len(large[3].split()) == 50
@@ -37,7 +37,7 @@ def test_phrases_inside_prose_stay(spark, monkeypatch):
         rows.append((i, f"http://h/{i}", f"<div><ul>{menu}</ul></div><p>{prose[i]}</p>" + "<div>Closed on Sunday and Monday until the end of the month</div>" * (i < 3) + "<p>Shared by two pages only</p>" * (i < 2)))
     want = {i: prose[i] + " Shared by two pages only" * (i < 2) for i in prose}
     assert texts(spark, rows) == want
-    monkeypatch.setattr(html, "PAGES_PER_GROUP", 8)
+    monkeypatch.setattr(html, "GROUP_CHARS", 1_000)
     assert texts(spark, rows) == want
 
 
@@ -61,3 +61,86 @@ def test_pages_without_main_blocks_reach_the_suffix_array(spark):
     rows = [(i, f"http://h/{i}", f"<!-- <article> --><script>'<main>'</script><div>{menu}</div><p>own{i} text{i}</p>") for i in range(4)]
     rows.append((9, "http://h/9", f"<article class='post comments-open'>{menu}</article>"))
     assert texts(spark, rows) == {i: f"own{i} text{i}" for i in range(4)} | {9: menu}
+
+
+def kept(page):
+    blocks, kinds = html.read_page(page)
+    return " ".join(b for b, k in zip(blocks, kinds) if k >= html.OPEN)
+
+
+def test_attributes_are_read_one_by_one():
+    assert kept('<article><p>see <a href="/tags/hidden-falls">the falls</a> now</p></article>') == "see the falls now"
+    assert kept('<p title="hidden gems of Rome">Main para</p><p data-hidden="no">a</p><a href="/p?id=share">b</a>') == "Main para a b"
+    assert kept("<p CLASS=ad>x</p><p id='comments'>y</p><p style='color:red;display : none'>z</p><p hidden=''>w</p><p aria-hidden=\"true\">v</p>t") == "t"
+
+
+def test_closing_an_inline_element_restores_what_was_before():
+    assert kept("<article><p>one <span class=ad>buy</span> two <b>three</b> four</p></article>") == "one two three four"
+    assert kept("<p>a <span hidden>b <i>c</i></span>d</p>") == "a d"
+    assert kept("<p>one<b>two</b>three</p>") == "onetwothree"
+
+
+def test_an_article_without_text_is_none():
+    assert kept("<main><article></article><p>text of main</p></main>") == "text of main"
+    assert kept("<article> </article><p>text</p>") == "text"
+
+
+def test_cut_off_and_long_pages():
+    assert kept("<article><p>a<b>b</article><p>c") == "ab"
+    assert kept("<p>x</p><!-- never closed <p>y</p>") == "x"
+    assert kept("<p>x <a href='") == "x"
+    assert len(kept("<div>" * 3_000 + "<p>deep words</p>" * 20_000).split()) == 40_000
+
+
+def test_suspects_in_articles_go_only_if_they_repeat(spark, monkeypatch):
+    share = "<div class='share-box'>Share it with all your friends today</div>"
+    rows = [(i, f"http://h/{i}", f"<nav>menu of the site</nav><article><p>own{i} words{i}</p><div class='share-price'>cost {i} per share now</div>{share}<p>the same quote in every article</p></article>") for i in range(5)]
+    rows += [(9, "http://other/", f"<article>alone{share}</article>"), (10, "http://h/x", "<div>menu of the site</div><p>bare page of its own</p>"), (11, "http://h/y", "")]
+    want = {i: f"own{i} words{i} cost {i} per share now the same quote in every article" for i in range(5)}
+    want |= {9: "alone Share it with all your friends today", 10: "bare page of its own", 11: ""}
+    assert texts(spark, rows) == want
+    monkeypatch.setattr(html, "GROUP_CHARS", 0)
+    assert texts(spark, rows) == want
+
+
+def brute(pages, long):
+    """Open tokens that no window of ``long`` tokens shared with another page covers."""
+    seen = {}
+    for i, streams in pages.items():
+        for words in streams:
+            for s in range(len(words) - long + 1):
+                seen.setdefault(tuple(words[s : s + long]), set()).add(i)
+    out = {}
+    for i, (words, _) in pages.items():
+        gone = [False] * len(words)
+        for s in range(len(words) - long + 1):
+            if len(seen[tuple(words[s : s + long])]) > 1:
+                gone[s : s + long] = [True] * long
+        out[i] = " ".join(w for w, g in zip(words, gone) if not g)
+    return out
+
+
+def test_long_repeats_match_brute_force_on_small_and_large_hosts(spark, monkeypatch):
+    rng = random.Random(11)
+    passages = [[f"p{k}w{rng.randrange(9)}" for _ in range(n)] for k, n in enumerate((14, 29, 30, 31, 45, 80))]
+    rows, pages = [], {}
+    for i in range(30):
+        streams = []
+        for _ in range(2):
+            words = []
+            for _ in range(4):
+                words += rng.choice(passages) if rng.random() < 0.4 else [f"u{rng.randrange(4)}" for _ in range(12)]
+            streams.append(words)
+        rows.append((i, f"http://h/{i}", f"<div>{' '.join(streams[0])}</div><nav>{' '.join(streams[1])}</nav>"))
+        pages[i] = streams
+    want = brute(pages, html.LONG)
+    assert any(want.values()) and want != {i: ' '.join(s[0]) for i, s in pages.items()}
+    assert texts(spark, rows) == want
+    monkeypatch.setattr(html, "GROUP_CHARS", 0)
+    assert texts(spark, rows) == want
+
+
+def test_null_urls_and_clashing_columns(spark):
+    rows = [(i, None, f"<p>page {i}</p><div>{'the same words on all pages here ' * 6}</div>", "x", "y") for i in range(3)] + [(None, "http://h/", None, "x", "y")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, blocks string, kinds string")
+    assert sorted(r["text"] for r in html.extract_text(df).collect()) == ["", "page 0", "page 1", "page 2"]
