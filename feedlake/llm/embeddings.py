@@ -4,8 +4,9 @@
    than SHARD_MOST members gets centroids from a bounded sample of its own (SAMPLE members at most,
    in one task a cell), and its members enter the cells of their ``overlap`` nearest centroids.
    Vectors of different lengths begin in different cells. A cell whose centroids all lie closer
-   than MERGED is dense: it is split no further, but cut into blocks of BLOCK members, and each
-   pair of blocks is a task.
+   than MERGED is dense: it is split no further, nor are cells below one that has fewer than
+   SPREAD * ``overlap`` centroids left. Such shards of any size are cut into blocks of BLOCK members,
+   and each pair of blocks is a task.
 2. Each task builds a graph by inserting its members in batches: a beam search from the medoid over
    the graph so far gives the candidates, robust pruning with ALPHA keeps a few of them, reverse
    edges are added and pruned in turn. The adjacency lists of a member are united over its tasks.
@@ -44,6 +45,7 @@ SAMPLE = 8_192
 PER_SHARD = 800
 SHARD_MOST = 1_600
 FAN_OUT = 256
+SPREAD = 4
 LEVELS = 8
 MERGED = 0.95
 OVERLAP = 2
@@ -327,8 +329,8 @@ def _split(placed: DataFrame, cells: DataFrame, overlap: int) -> DataFrame:
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node")
-        k = int(min(len(rows), FAN_OUT, max(2, rows["size"].iloc[0] // PER_SHARD)))
-        centers = choose_centroids(unit(rows["embedding"]), k)
+        k = int(max(SPREAD * overlap, min(FAN_OUT, overlap * rows["size"].iloc[0] // PER_SHARD)))
+        centers = choose_centroids(unit(rows["embedding"]), min(k, len(rows)))
         return pd.DataFrame({"cell": [rows["cell"].iloc[0]], "centers": [centers.tobytes()]})
 
     centers = sample.select("cell", "size", "node", "embedding").groupBy("cell").applyInPandas(fit, "cell long, centers binary")
@@ -347,11 +349,11 @@ def _split(placed: DataFrame, cells: DataFrame, overlap: int) -> DataFrame:
         c = np.frombuffer(made["centers"].iloc[0], np.float64).reshape(-1, x.shape[1])
         if len(c) == 1:
             return out.assign(cell=cell, whole=True)
-        top = min(overlap, len(c))
+        top, last = min(overlap, len(c)), len(c) < SPREAD * overlap
         best = np.argpartition(-(x @ c.T), top - 1, axis=1)[:, :top]
         names = pd.util.hash_array(np.arange(len(c), dtype=np.uint64) + np.uint64(np.int64(cell).view(np.uint64))).view(np.int64)
         out = out.loc[out.index.repeat(top)].reset_index(drop=True)
-        return out.assign(cell=names[best.ravel()], whole=False)
+        return out.assign(cell=names[best.ravel()], whole=last)
 
     found = members.groupBy("cell", "salt").cogroup(dealt.groupBy("_cell", "_salt")).applyInPandas(
         assign, "node long, copies long, embedding array<double>, cell long, whole boolean"

@@ -58,7 +58,7 @@ def test_shards_from_the_top_down(spark, monkeypatch):
     dense = rng.normal(size=12)
     vectors = [*clusters(rng, 60, 12), *(dense + rng.normal(scale=0.01, size=(50, 12))), *[dense] * 20]
     rows = list(enumerate(vectors))
-    for name, value in (("SHARD_MOST", 24), ("PER_SHARD", 12), ("FAN_OUT", 3), ("BLOCK", 16), ("CHUNK", 40), ("LEVELS", 4)):
+    for name, value in (("SHARD_MOST", 24), ("PER_SHARD", 12), ("FAN_OUT", 8), ("BLOCK", 16), ("CHUNK", 40), ("LEVELS", 4)):
         monkeypatch.setattr(embeddings, name, value)
     monkeypatch.setattr("feedlake.llm.common.HOT_ROWS", 10)
     seen = []
