@@ -7,8 +7,10 @@ looks random is a live-looking credential. Candidates are the matches of the thr
 a span of kind ``reuse`` when its value is a live-looking credential somewhere in the corpus and
 the token lies in no base span. Values travel as SHA-256 only.
 
-Counting is partial before it shuffles, so a value in a third of all rows is no hot task; the
-verdicts come back in an ordinary join on the hash, which adaptive execution can split.
+The candidates of all rows are worked out once and checkpointed. Counting is partial before it
+shuffles, and the verdicts of very frequent values come back by broadcast, the others in a shuffle,
+so a value in a third of all rows is no hot task. The work on a text grows with its length: the
+places of its matches are running sums taken in two levels.
 
 Defined results: a null text is empty; a null owner is not counted as an owner (a value with
 none is neither copied nor live); repeated rows are reported each and count as one repository;
@@ -20,41 +22,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import read_table
+from feedlake.llm.common import cut_lineage, join_hot, read_table
 
 #: Fixed patterns: kind, pattern, group of the value, least characters of that group.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-BASE = (("assign", ASSIGN, 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24))
+#: The last two say the least length in the pattern: a run is taken whole, so the same spans are left.
+BASE = (("assign", ASSIGN, 2, 6), ("access", r"AKIA[A-Z0-9]{16,}", 0, 20), ("hex", r"[0-9a-f]{24,}", 0, 24))
 BARE_LEAST = 16
 BARE = rf"[A-Za-z0-9+/_.=-]{{{BARE_LEAST},}}"
 COPIED_OWNERS = 3
 LIVE_DISTINCT = 8
+PART = 512
 SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string,value:string>>"
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body's lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running_sums(values: Column) -> Column:
+    """Sums of an array of longs up to each of its elements: within chunks of PART, then over the chunks'
+    sums, since appending to one array would copy it for every element.
+    """
+    none, nothing = F.array().cast("array<bigint>"), F.lit(0).cast("long")
+    sums = lambda part: F.aggregate(part, none, lambda done, x: F.array_append(done, F.coalesce(F.get(done, F.size(done) - 1), nothing) + x))
+    numbers = lambda v: F.sequence(F.lit(0), F.floor((F.size(v) - 1) / PART).cast("int"))
+    chunks = lambda v: F.transform(numbers(v), lambda k: sums(F.slice(v, k * PART + 1, F.lit(PART))))
+    ends = lambda parts: sums(F.transform(parts, lambda c: F.element_at(c, -1)))
+    moved = lambda parts, before: F.flatten(F.transform(parts, lambda c, k: bound(F.coalesce(F.get(before, k - 1), nothing), lambda o: F.transform(c, lambda x: x + o))))
+    return bound(values, lambda v: F.when(F.size(v) > 0, bound(chunks(v), lambda parts: bound(ends(parts), lambda before: moved(parts, before)))).otherwise(none))
+
+
 def spans_of(text: Column, kind: str, kind_no: int, pattern: str, group: int, least: int) -> Column:
     """Leftmost non-overlapping matches with their places in code points, failing ones dropped.
 
     The text between matches (split) and the matches themselves alternate, so the places are
     running sums of their lengths.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    lengths = F.transform(
-        F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.greatest(F.size(matches), F.lit(1))).alias("g"), matches.alias("m")),
-        lambda x: F.struct(F.length(x["g"]).alias("g"), F.length(x["m"]).alias("m")),
-    )
-    ends = F.aggregate(
-        lengths, F.array().cast("array<int>"),
-        lambda done, x: F.array_append(done, F.coalesce(F.get(done, F.size(done) - 1), F.lit(0)) + x["g"] + x["m"]),
-    )
-    spans = F.transform(
-        F.arrays_zip(ends.alias("e"), matches.alias("m"), values.alias("v")),
-        lambda x: F.struct(
-            (x["e"] - F.length(x["m"])).cast("int").alias("start"), F.lit(kind_no).alias("kind_no"), x["e"].cast("int").alias("end"),
-            F.lit(kind).alias("kind"), x["v"].alias("value"),
-        ),
-    )
+
+    def placed(matches: Column) -> Column:
+        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
+        lengths = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), matches, lambda g, m: (F.length(g) + F.length(m)).cast("long"))
+        return F.transform(
+            F.arrays_zip(running_sums(lengths).alias("e"), matches.alias("m"), values.alias("v")),
+            lambda x: F.struct(
+                (x["e"] - F.length(x["m"])).cast("int").alias("start"), F.lit(kind_no).alias("kind_no"), x["e"].cast("int").alias("end"),
+                F.lit(kind).alias("kind"), x["v"].alias("value"),
+            ),
+        )
+
+    spans = bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
     return F.filter(spans, lambda s: F.length(s["value"]) >= least).cast(SPAN)
 
 
@@ -94,19 +112,21 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
         F.sha2(F.coalesce(F.col("s.value"), F.concat(F.lit("\n"), F.col("_row").cast("string"))), 256).alias("_hash"),
         looks_random(F.col("s.value")).alias("_random"),
     )
+    rows = cut_lineage(rows)
     counted = (
         rows.where(F.col("kind").isNotNull())
         .groupBy("_hash")
         .agg(
             F.countDistinct("_owner").alias("owners"), F.countDistinct("_repository").alias("repositories"),
             F.max(F.col("kind_no") < len(BASE)).alias("_named"), F.max("_random").alias("_live"),
+            F.count("*").alias("_rows"),
         )
         .select(
-            "_hash", "owners", "repositories", "_named",
+            "_hash", "owners", "repositories", "_named", "_rows",
             F.when(F.col("owners") >= COPIED_OWNERS, "copied").when(F.col("_live") & (F.col("owners") == 1) & F.col("_named"), "live").otherwise("unclear").alias("verdict"),
         )
     )
-    joined = rows.join(counted, "_hash", "left")
+    joined = join_hot(rows, counted, "_hash", "_rows", "left")
     span = F.when(
         F.col("kind").isNotNull() & ((F.col("kind_no") < len(BASE)) | (F.col("verdict") == "live")),
         F.struct("start", "kind_no", "end", "kind", F.col("_hash").alias("value_sha256"), "owners", "repositories", "verdict"),
