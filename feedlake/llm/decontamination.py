@@ -1,16 +1,18 @@
 """Benchmark decontamination with a broadcast hash set of normalised test n-grams.
 
-Main path, DataFrame functions only: each benchmark item gives its windows of NGRAM words (a
-shorter item is one window). A window's anchor is the hash of its first and last word; the set of
-anchors goes into the plan as a literal hash set, so a document finds its few candidate positions
-in one scan of its word array, without a row for each of its words. Candidates are then verified
-by joining the whole window against the benchmark's windows. Both the anchor set and the window
-table belong to the benchmark, not to the corpus, and their sizes are counted first: up to
-MAX_ANCHORS and MAX_BROADCAST they are broadcast; beyond, every window of every document becomes a
-row and meets the benchmark in a shuffled join, which is exact as well.
+DataFrame functions only: each benchmark item gives its windows of NGRAM words (a shorter item is
+one window). A window's anchor is the 64-bit hash of its length, first and last word; the set of
+anchors is broadcast, and every window of a document probes it in the scan. What it lets through
+is verified by joining the whole window against the benchmark's windows.
+
+Sizes are counted before anything is broadcast. A pass broadcasts MAX_ANCHORS anchors at most; a
+benchmark with more is searched in several passes over the documents, each with its share of the
+anchors. The table of whole windows is broadcast up to MAX_BROADCAST windows, and is beyond that
+joined in a shuffle, in SALTS copies, so that one passage in very many documents is no hot task.
 
 Defined results: null and blank texts have no words and no hits; an item without words is never
-hit; repeated document rows are reported each; repeated items of one id count once; an empty
+hit; the windows of an item whose item_id is null count for the hit words, but the item isn't
+listed; repeated document rows are reported each; repeated items of one id count once; an empty
 benchmark hits nothing; extra columns are ignored (or kept, by ``decontaminate``).
 """
 
@@ -19,11 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import read_table
+from feedlake.llm.common import cut_lineage, read_table
 
 NGRAM = 10
-MAX_ANCHORS = 100_000
-MAX_BROADCAST = 500_000
+MAX_ANCHORS = 2_000_000
+MAX_BROADCAST = 200_000
+SALTS = 16
 #: Fixed: what separates words once A-Z are lower-cased, and the same for text as it stands.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEPARATORS_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -62,16 +65,26 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(anchors: dict[int, list[int] | None]) -> Column:
-    """array<struct<at, len, gram>> of a document's windows whose anchor is known (None: all)."""
-    parts = []
-    for length, known in sorted(anchors.items()):
-        starts = f"if(size(words) >= {length}, sequence(1, size(words) - {length - 1}), array())"
-        if known is not None:
-            listed = ", ".join(f"{h}L" if h != -(1 << 63) else "(-9223372036854775807L - 1L)" for h in known)
-            starts = f"filter({starts}, i -> xxhash64(get(words, i - 1), get(words, i + {length - 2})) IN ({listed}))"
-        parts.append(f"transform({starts}, i -> struct(i AS at, {length} AS len, array_join(slice(words, i, {length}), ' ') AS gram))")
-    return F.expr(f"concat({', '.join(parts)})")
+def _anchors(lengths: list[int]) -> Column:
+    """Of a document's ``words``: 0, then the anchors of its windows, by length and start."""
+    parts = [
+        f"if(size(words) >= {n}, transform(sequence(1, size(words) - {n - 1}), i -> xxhash64({n}, get(words, i - 1), get(words, i + {n - 2}))), array())"
+        for n in lengths
+    ]
+    return F.expr(f"concat(array(0L), {', '.join(parts)})")
+
+
+def _place(lengths: list[int]) -> tuple[Column, Column]:
+    """Start (from 1) and length of the window whose anchor stands at ``pos`` (from 1) in ``_anchors``."""
+    at, before = None, F.lit(0)
+    length = None
+    for n in lengths:
+        count = F.greatest(F.size("words") - (n - 1), F.lit(0))
+        here = F.col("pos") <= before + count
+        at = F.when(here, F.col("pos") - before) if at is None else at.when(here, F.col("pos") - before)
+        length = F.when(here, n) if length is None else length.when(here, n)
+        before = before + count
+    return at, length
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, all_rows: bool = True) -> DataFrame:
@@ -82,32 +95,40 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, all_rows: bool = True) -> D
     The other columns of ``docs`` travel with every candidate: keep them few and short. Those that
     clash with the new ones are left out.
     """
-    grams = benchmark_windows(benchmark)
-    anchored = grams.select("gram_words", F.xxhash64("first_word", "last_word").alias("anchor")).distinct()
+    grams = cut_lineage(benchmark_windows(benchmark))
     sizes = grams.agg(F.count("*").alias("n"), F.collect_set("gram_words").alias("lengths")).first()
     kept = [c for c in docs.columns if c not in ("text", "n_words", "hit", "items")]
-    words = docs.select(
-        *[F.col(c).alias(f"_d{i}") for i, c in enumerate(kept)],
-        F.monotonically_increasing_id().alias("_row"),
-        normalised_words(F.col("text")).alias("words"),
-    )
+    named = docs.select(*[F.col(c).alias(f"_d{i}") for i, c in enumerate(kept)], F.monotonically_increasing_id().alias("_row"), "text")
     carried = [F.first(f"_d{i}").alias(c) for i, c in enumerate(kept)]
     if not sizes["n"]:
-        return words.select(
-            *[F.col(f"_d{i}").alias(c) for i, c in enumerate(kept)], F.size("words").cast("long").alias("n_words"),
+        return named.select(
+            *[F.col(f"_d{i}").alias(c) for i, c in enumerate(kept)], F.size(normalised_words(F.col("text"))).cast("long").alias("n_words"),
             F.array().cast("array<int>").alias("hit"), F.array().cast("array<string>").alias("items"),
         )
-    small = sizes["n"] <= MAX_ANCHORS
-    anchors: dict[int, list[int] | None] = {n: [] if small else None for n in sizes["lengths"]}
-    if small:
-        for r in anchored.collect():
-            anchors[r["gram_words"]].append(r["anchor"])
-    rows = words.select(
-        "*", F.size("words").cast("long").alias("n_words"), (F.explode_outer if all_rows else F.explode)(_candidates(anchors)).alias("c")
-    ).drop("words").select("*", "c.at", "c.len", F.coalesce(F.col("c.gram"), F.concat(F.lit("\n"), F.col("_row"))).alias("_gram"))
+    lengths = sorted(sizes["lengths"], reverse=True)
+    anchored = grams.select(F.xxhash64("gram_words", "first_word", "last_word").alias("anchor")).distinct()
+    passes = -(-sizes["n"] // MAX_ANCHORS)
+    if passes > 1:  # rows keep their numbers from pass to pass
+        named = cut_lineage(named)
+    rows = None
+    for k in range(passes):
+        words = named.select("*", normalised_words(F.col("text")).alias("words")).drop("text")
+        every = words.select("*", F.size("words").cast("long").alias("n_words"), F.posexplode(_anchors(lengths)).alias("pos", "anchor"))
+        known = F.broadcast(anchored.where(F.pmod("anchor", F.lit(passes)) == k).withColumn("_known", F.lit(True)))
+        own = (F.col("pos") == 0) & F.lit(all_rows and k == 0)
+        near = every.join(known, "anchor", "left").where((F.col("_known") & (F.col("pos") > 0)) | own)
+        at, length = _place(lengths)
+        near = near.select(*[c for c in named.columns if c != "text"], "n_words", F.when(F.col("pos") > 0, at).alias("at"), F.when(F.col("pos") > 0, length).alias("len"), "words")
+        near = near.withColumn("_gram", F.when(F.col("at") > 0, F.array_join(F.slice("words", F.col("at"), F.col("len")), " "))).drop("words")
+        rows = near if rows is None else rows.unionByName(near)
     table = grams.select(F.col("gram").alias("_gram"), "items")
-    table = F.broadcast(table) if sizes["n"] <= MAX_BROADCAST else table
-    found = rows.drop("c").join(table, "_gram", "left")
+    if sizes["n"] <= MAX_BROADCAST:
+        found = rows.join(F.broadcast(table), "_gram", "left")
+    else:
+        # a row without candidates gets a key of its own, or they would all meet in one task
+        salted = rows.withColumn("_salt", F.pmod("_row", F.lit(SALTS))).withColumn("_gram", F.coalesce("_gram", F.concat(F.lit("\n"), F.col("_row"))))
+        copies = table.withColumn("_salt", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])))
+        found = salted.join(copies, ["_gram", "_salt"], "left").drop("_salt")
     inside = F.when(F.col("items").isNotNull(), F.sequence(F.col("at"), F.col("at") + F.col("len") - 1))
     return (
         found.groupBy("_row")

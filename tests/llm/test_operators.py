@@ -301,7 +301,7 @@ def test_decontamination_beyond_the_bound(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(1, "w0 w1"), (2, "w3")], "item_id long, text string")
     few = docs.where(F.length("text") < 2_000)
     near = sorted((r["doc_id"], list(r["hit"])) for r in decontamination.find_hits(few.select("doc_id", "text"), bench).collect())
-    monkeypatch.setattr(decontamination, "MAX_ANCHORS", 0)
+    monkeypatch.setattr(decontamination, "MAX_ANCHORS", 1)
     monkeypatch.setattr(decontamination, "MAX_BROADCAST", 0)
     assert near == sorted((r["doc_id"], list(r["hit"])) for r in decontamination.find_hits(few.select("doc_id", "text"), bench).collect())
 
