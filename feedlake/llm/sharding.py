@@ -1,17 +1,20 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-The packing itself needs only how many groups there are of each size, not the groups. Sizes
-are kept exactly up to 2**MANTISSA_BITS bytes and to that many leading bits above, so the table
-of size classes has at most MANTISSA_BITS-bounded rows however large the corpus is (about
-100,000 for sizes up to 2**40). That table alone goes to the driver, where best fit decreasing
+The packing itself needs only how many groups there are of each size, not the groups. Groups
+are classed by the MANTISSA_BITS leading bits of their size, so the table of classes is bounded
+however large the corpus is (2**MANTISSA_BITS rows for each doubling of the size, a million for
+sizes up to 2**40). A class is packed as groups of its largest size if the capacity is fixed, so
+no shard exceeds it, and of its mean size if the number of shards is, so their sums come out
+right. That table alone goes to the driver, where best fit decreasing
 runs over it through a balanced tree of remaining capacities; its answer, runs of "the next k
 groups of this class enter this bin", is bounded the same way and is broadcast. Groups find
 their run by their rank within the class, which is counted in buckets, so neither a hot class
 nor a hot group meets in one task.
 
 Defined results: a null text counts as empty (size 1); equal texts are one group and share a
-shard; ties in size are broken by the group's hash; an empty table gives no rows; columns other
-than those read are ignored.
+shard; ties in size are broken by the group's hash; null doc_ids are rows like others, first among
+their shard's slots of a bucket; an empty table gives no rows; columns other than those read are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from feedlake.llm.common import bucket_count, cut_lineage, read_table, running_position
 
-MANTISSA_BITS = 12
+MANTISSA_BITS = 15
 SHARDS = 8
 
 
@@ -128,9 +131,9 @@ def equal_bins(classes: list[tuple[int, int]], n_bins: int) -> list[tuple[int, i
 
 
 def _size_class(size):
-    """Sizes below 2**MANTISSA_BITS as they are, others to their MANTISSA_BITS leading bits."""
-    shift = F.greatest(F.lit(0), F.floor(F.log2(size.cast("double"))).cast("int") - (MANTISSA_BITS - 1))
-    return F.when(size < (1 << MANTISSA_BITS), size).otherwise(F.expr("1L") * F.call_function("shiftleft", F.call_function("shiftright", size, shift), shift))
+    """A size by its MANTISSA_BITS leading bits."""
+    shift = F.greatest(F.lit(0), F.length(F.bin(size)) - MANTISSA_BITS)
+    return F.call_function("shiftleft", F.call_function("shiftright", size, shift), shift)
 
 
 def assign_bins(
@@ -139,14 +142,15 @@ def assign_bins(
     """Adds ``bin`` to ``groups`` (group_key string, group_size long, one row a group).
 
     Give ``n_bins`` for that many near equal bins, or ``capacity`` for the fewest bins of a
-    fixed capacity that best fit decreasing finds.
+    fixed capacity that best fit decreasing finds. Only a group above the capacity exceeds it, alone
+    in its bin.
     """
     spark = groups.sparkSession
     classed = cut_lineage(groups.withColumn("size_class", _size_class(F.col("group_size"))))
-    table = classed.groupBy("size_class").agg(F.count("*").alias("n"), F.sum("group_size").alias("b")).collect()
-    mean = {r["size_class"]: -(-r["b"] // r["n"]) for r in table}
-    back = {m: c for c, m in mean.items()}  # a class's mean lies inside the class
-    sizes = [(mean[r["size_class"]], r["n"]) for r in table]
+    table = classed.groupBy("size_class").agg(F.count("*").alias("n"), F.sum("group_size").alias("b"), F.max("group_size").alias("most")).collect()
+    packed = {r["size_class"]: -(-r["b"] // r["n"]) if n_bins else r["most"] for r in table}
+    back = {size: c for c, size in packed.items()}  # mean and largest size lie inside the class
+    sizes = [(packed[r["size_class"]], r["n"]) for r in table]
     runs = equal_bins(sizes, n_bins) if n_bins else best_fit_decreasing(sizes, capacity)[1]
     taken: dict[int, int] = {}
     rows = []
