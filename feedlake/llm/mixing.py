@@ -19,6 +19,8 @@ doc_id; repeated rows of one doc_id are separate rows; an empty table gives no r
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +52,6 @@ def _curves(shares: DataFrame, alphas: list[float]) -> list[dict]:
 
 
 def _ln(x: float) -> float:
-    import math
-
     return math.log(x)
 
 
@@ -93,7 +93,7 @@ def mix_sources(
     seed: int = 1,
 ) -> DataFrame:
     """All columns of ``docs``, a row for each time a document is dealt, plus mix_tokens,
-    mix_pass, mix_weight, mix_alpha and mix_block.
+    mix_pass, mix_weight, mix_alpha and mix_block, which replace input columns of these names.
 
     ``entropy_share``: target entropy as a share of the uniform one. ``budget_ratio``: token
     budget in corpora. ``upsample_only``: spend what it takes for every source to be passed over
@@ -111,8 +111,10 @@ def mix_sources(
     sources = cut_lineage(light.groupBy("_source").agg(F.sum("_tokens").alias("_total"), F.count("*").alias("_docs")))
     whole = sources.agg(F.sum("_total").alias("t"), F.sum("_docs").alias("n"), F.count("*").alias("k")).first()
     added = ["mix_tokens long", "mix_pass int", "mix_weight double", "mix_alpha double", "mix_block long"]
+    names = [x.split()[0] for x in added]
+    kept_columns = [c for c in docs.columns if c not in names]
     if not whole["n"]:
-        return docs.select("*", *[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in added])
+        return docs.select(*kept_columns, *[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in added])
     total = whole["t"]
     shares = sources.withColumn("share", F.col("_total") / F.lit(float(total)))
     best = solve_temperature(shares, entropy_share and entropy_share * _ln(whole["k"]), repetition, upsample_only, budget_ratio)
@@ -144,7 +146,7 @@ def mix_sources(
         )
     )
     same = (row_hash == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    return docs.join(kept, same).select(*docs.columns, *[x.split()[0] for x in added])
+    return docs.drop(*names).join(kept, same).select(*kept_columns, *names)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
