@@ -10,7 +10,8 @@ broadcast. Scoring is one pass over the documents without a shuffle.
 
 Defined results: null and empty texts have the difference 0 and so the curve's value there; a
 null doc_id counts as held-in; repeated rows are scored each; without labels of both kinds every
-score is the share of good labels (0.5 without labels); extra columns are ignored.
+score is the share of good labels (0.5 without labels); an input column of the score's name is
+replaced; other extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ than MIN_ROWS rows are left out and the MAX_FEATURES with the largest chi-square
 bounds the model that is broadcast and what one task reads to fit it. Scoring is one pass over the documents without a shuffle.
 
 Defined results: null and empty texts score by the bias alone; a null doc_id counts as held-in;
-repeated rows are scored each; without labels of both kinds every score is 0; extra columns are
+repeated rows are scored each; without labels of both kinds every score is the share of toxic
+labels (0 without labels); an input column of the score's name is replaced; other extra columns are
 ignored.
 """
 
@@ -151,7 +152,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
     sizes = hashed.agg(F.count("*").alias("n"), F.sum("label").alias("positive")).first()
     n, positive = sizes["n"], sizes["positive"] or 0
     if positive in (0, n):
-        return FactorizationMachine(np.zeros(0, np.int64), -30.0, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
+        return FactorizationMachine(np.zeros(0, np.int64), 30.0 if n and positive else -30.0, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
     chosen = choose_bins(hashed, n, positive)
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
 
