@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import connected_components, cut_lineage, read_table
+from feedlake.llm.common import connected_components, cut_lineage, join_hot, read_table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -321,9 +321,9 @@ def _classed(docs: DataFrame) -> DataFrame:
         nodes.select("node", "rep", "copies")
         .join(linked.join(least, "component").select("node", "class_id", "component"), "node", "left")
         .join(counts, "node", "left")
-        .select("node", F.coalesce("component", "node").alias("part"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .select("node", "copies", F.coalesce("component", "node").alias("part"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    found = listed.select("doc_id", "text_key", "node").join(named, "node").select("doc_id", "text_key", "part", "class_id", "n_links")
+    found = join_hot(listed.select("doc_id", "text_key", "node"), named, "node", "copies").select("doc_id", "text_key", "part", "class_id", "n_links")
     alone = described.where(F.col("node").isNull() | F.col("doc_id").isNull())
     return found.unionByName(alone.select("doc_id", "text_key", F.lit(None).cast("long").alias("part"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
