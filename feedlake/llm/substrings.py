@@ -7,7 +7,7 @@ which the other document is cut, since 2 * ANCHOR - 1 <= WINDOW. So:
    ANCHOR words probe the index. Hashes are dealt over buckets by value; a probe that meets a
    block of another document is a hit.
 2. Extend. Around its hits a document extends to every window of WINDOW words that holds one;
-   these windows are compared whole (by 64-bit hash beside the bucket), and overlapping ones make
+   these windows are compared whole (by 96 bits of two hashes), and overlapping ones make
    up the maximal repeats. A window goes where its words also start in a smaller doc_id.
 3. Remove. The words covered by such windows are cut from the document.
 
@@ -36,20 +36,22 @@ from feedlake.llm.common import read_table
 from feedlake.llm.jaccard import WORD, WordHashes
 
 WINDOW, ANCHOR = 13, 7
-CHUNK_WORDS = 60_000
+#: A chunk's words: 1,024 for each bucket, so that its rows are well filled, between these bounds.
+CHUNK_WORDS, MOST_WORDS = 60_000, 4_000_000
 DOCS_PER_BUCKET = 20_000
 OUT_ROWS = 512
 LAST_ID = (1 << 63) - 1
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_OTHER_STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def rolling(h: np.ndarray, width: int) -> np.ndarray:
+def rolling(h: np.ndarray, width: int, step: np.uint64 = _STEP) -> np.ndarray:
     """Hashes of the windows of ``width`` word hashes, at each start; the last starts are junk."""
     out = np.zeros(len(h), np.uint64)
     for i in range(width):
-        out[: len(h) - i] = out[: len(h) - i] * _STEP + h[i:]
+        out[: len(h) - i] = out[: len(h) - i] * step + h[i:]
     out ^= out >> np.uint64(32)
     out *= _MIX
     out ^= out >> np.uint64(29)
@@ -81,12 +83,20 @@ class Chunk:
         return np.concatenate(self.hashes)
 
 
-def fold(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _changes(keys: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+    """Where sorted keys differ from the one before."""
+    if not len(keys):
+        return np.zeros(0, bool)
+    new = np.diff(keys) != 0
+    return np.concatenate([[True], new if more is None else new | (np.diff(more) != 0)])
+
+
+def fold(keys: np.ndarray, at: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order of their first places: (rows of ``keys``, first places, whether
-    repeated), and for each repeat its place and its key's first place.
+    repeated), and for each repeat its place and its key's first place. ``more`` are further bits of the keys.
     """
-    order = np.argsort(keys, kind="stable")
-    new = np.concatenate([[True], np.diff(keys[order]) != 0]) if len(keys) else np.zeros(0, bool)
+    order = np.argsort(keys, kind="stable") if more is None else np.lexsort((more, keys))
+    new = _changes(keys[order], None if more is None else more[order])
     group = np.cumsum(new) - 1
     firsts = order[new]
     more = ~new
@@ -97,7 +107,7 @@ def fold(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _dealt(chunk: Chunk, buckets: int, parts: dict[str, tuple[np.ndarray, list[np.ndarray]]]) -> dict[int, dict]:
-    """bucket -> name -> packed arrays, for parts given as (hashes, arrays in the same order)."""
+    """bucket -> name -> packed arrays (flags as bits), for parts given as (hashes, arrays in the same order)."""
     rows: dict[int, dict] = {}
     for name, (hashes, arrays) in parts.items():
         where = ((hashes >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
@@ -106,7 +116,7 @@ def _dealt(chunk: Chunk, buckets: int, parts: dict[str, tuple[np.ndarray, list[n
         cuts = np.flatnonzero(np.diff(where)) + 1
         edges = np.concatenate([[0], cuts, [len(where)]]) if len(where) else [0]
         for lo, hi in zip(edges[:-1], edges[1:]):
-            rows.setdefault(int(where[lo]), {})[name] = [a[order[lo:hi]].tobytes() for a in arrays]
+            rows.setdefault(int(where[lo]), {})[name] = [(np.packbits(a[order[lo:hi]]) if a.dtype == bool else a[order[lo:hi]]).tobytes() for a in arrays]
     return rows
 
 
@@ -145,7 +155,7 @@ def _index_rows(chunk: Chunk, buckets: int) -> pd.DataFrame:
     low, high = (np.minimum.reduceat(owner, new), np.maximum.reduceat(owner, new)) if len(new) else (new, new)
     kind = _place_type(chunk.words)
     parts = {
-        "probe": (key[~once], [key[~once].astype(np.uint32), at[~once].astype(kind), repeated[~once].astype(np.uint8)]),
+        "probe": (key[~once], [key[~once].astype(np.uint32), at[~once].astype(kind), repeated[~once]]),
         "once": (key[once], [key[once].astype(np.uint32), at[once].astype(kind)]),
         "more": (block[new], [np.stack([block[new].astype(np.uint32), low.astype(np.uint32), high.astype(np.uint32)], 1)]),
     }
@@ -182,6 +192,12 @@ def _places(rows: pd.DataFrame, column: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, np.uint32 if w else np.uint16).astype(np.uint32) for x, w in zip(rows[column], rows["wide"])])
 
 
+def _flags(rows: pd.DataFrame, column: str, number: np.ndarray) -> np.ndarray:
+    """A column of packed flags end to end; ``number`` tells the row of each."""
+    sizes = np.bincount(number, minlength=len(rows))
+    return np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(rows[column], sizes)]).astype(bool)
+
+
 def _replies(rows: pd.DataFrame, number: np.ndarray, *arrays: np.ndarray) -> pd.DataFrame:
     """One row a chunk with the arrays' values for it; ``number`` is sorted."""
     out = []
@@ -218,7 +234,7 @@ def _probe_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     starts = np.flatnonzero(new)
     key, first, last = key[order][starts], np.minimum.reduceat(first[order], starts), np.maximum.reduceat(last[order], starts)
     probe, number = _joined(rows, "a", np.uint32)
-    at, repeated = _places(rows, "b"), _joined(rows, "c", np.uint8)[0].astype(bool)
+    at, repeated = _places(rows, "b"), _flags(rows, "c", number)
     found = np.minimum(np.searchsorted(key, probe), len(key) - 1)
     hit = key[found] == probe
     found, number, at, repeated = found[hit], number[hit], at[hit], repeated[hit]
@@ -271,7 +287,8 @@ def _resolve_hits(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _window_rows(chunk: Chunk, buckets: int) -> pd.DataFrame:
-    h = rolling(chunk.laid_out(), WINDOW)
+    hashes = chunk.laid_out()
+    h, other = rolling(hashes, WINDOW), (rolling(hashes, WINDOW, _OTHER_STEP) >> np.uint64(32)).astype(np.uint32)
     steps = np.zeros(chunk.words + 1, np.int32)
     for start, size, at in zip(chunk.starts[:-1], chunk.sizes, chunk.marks):
         hits = np.frombuffer(at, np.int32)
@@ -280,8 +297,8 @@ def _window_rows(chunk: Chunk, buckets: int) -> pd.DataFrame:
         np.add.at(steps, start + lo[fits], 1)
         np.add.at(steps, start + hi[fits] + 1, -1)
     whole = np.flatnonzero(np.cumsum(steps[:-1]) > 0)
-    keys = h[whole]
-    first, at, repeated, again, of = fold(keys, whole)
+    keys, more = h[whole], other[whole]
+    first, at, repeated, again, of = fold(keys, whole, more)
     ids = chunk.ids[chunk.owner]
     least = ids[at].copy()
     if len(again):
@@ -290,10 +307,12 @@ def _window_rows(chunk: Chunk, buckets: int) -> pd.DataFrame:
         np.minimum.at(least, row_of[of], ids[again])
     kind = _place_type(chunk.words)
     key = keys[first]
-    parts = {"window": (key, [key, at.astype(kind), repeated.astype(np.uint8), least])}
+    parts = {"window": (key, [key, at.astype(kind), repeated, more[first], least])}
     rows = [_header(chunk, buckets, again, of)]
     for bucket, packed in _dealt(chunk, buckets, parts).items():
-        rows.append((bucket, int(chunk.name), False, kind is np.uint32, *packed["window"], None, None))
+        *arrays, leasts = packed["window"]
+        table, number = np.unique(np.frombuffer(leasts, np.int64), return_inverse=True)
+        rows.append((bucket, int(chunk.name), False, kind is np.uint32, *arrays, number.astype(kind).tobytes(), table.tobytes()))
     return _frame(rows)
 
 
@@ -305,9 +324,12 @@ def _window_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     if not len(rows):
         return headers
     key, number = _joined(rows, "a", np.uint64)
-    at, repeated, least = _places(rows, "b"), _joined(rows, "c", np.uint8)[0].astype(bool), _joined(rows, "d", np.int64)[0]
-    order = np.argsort(key, kind="stable")
-    new = np.concatenate([[True], np.diff(key[order]) != 0])
+    at, repeated, more = _places(rows, "b"), _flags(rows, "c", number), _joined(rows, "d", np.uint32)[0]
+    sizes = [len(x) // 8 for x in rows["f"]]
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    least = _joined(rows, "f", np.int64)[0][starts[number] + _places(rows, "e")]
+    order = np.lexsort((more, key))
+    new = _changes(key[order], more[order])
     best = np.empty(len(key), np.int64)
     best[order] = np.minimum.reduceat(least[order], np.flatnonzero(new))[np.cumsum(new) - 1]
     worth = (best < least) | repeated
@@ -342,7 +364,7 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(partitions, -(-docs.count() // DOCS_PER_BUCKET))
-    most_words = max(CHUNK_WORDS, 1_024 * buckets)
+    most_words = min(MOST_WORDS, max(CHUNK_WORDS, 1_024 * buckets))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.xxhash64("doc_id", text).alias("uid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), text.alias("text")
