@@ -131,6 +131,23 @@ def _place_type(words: int):
     return np.uint16 if words <= 65_536 else np.uint32
 
 
+def _in_planes(values: np.ndarray, kind) -> bytes:
+    """Small numbers of ``kind``, all first bytes, then all second ones and so on: higher bytes are mostly 0 and
+    take no space once the shuffle is compressed.
+    """
+    return np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes()
+
+
+def _from_planes(packed: bytes, wide: bool) -> np.ndarray:
+    kind = np.uint32 if wide else np.uint16
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel().astype(np.int64)
+
+
+def _steps(places: bytes, kind) -> bytes:
+    """Ascending places by their differences."""
+    return _in_planes(np.diff(np.frombuffer(places, kind), prepend=kind(0)), kind)
+
+
 def _header(chunk: Chunk, buckets: int, again: np.ndarray, of: np.ndarray) -> tuple:
     name, kind = int(chunk.name), _place_type(chunk.words)
     return (name % buckets, name, True, kind is np.uint32, chunk.uids.tobytes(), chunk.ids.tobytes(), chunk.starts.tobytes(),
@@ -162,6 +179,7 @@ def _index_rows(chunk: Chunk, buckets: int) -> pd.DataFrame:
     rows = [_header(chunk, buckets, again, of)]
     for bucket, packed in _dealt(chunk, buckets, parts).items():
         arrays = [*packed.get("probe", [b""] * 3), *packed.get("once", [b""] * 2), *packed.get("more", [b""])]
+        arrays[1], arrays[4] = _steps(arrays[1], kind), _steps(arrays[4], kind)
         rows.append((bucket, int(chunk.name), False, kind is np.uint32, *arrays))
     return _frame(rows)
 
@@ -189,7 +207,7 @@ def _joined(rows: pd.DataFrame, column: str, kind) -> tuple[np.ndarray, np.ndarr
 
 
 def _places(rows: pd.DataFrame, column: str) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, np.uint32 if w else np.uint16).astype(np.uint32) for x, w in zip(rows[column], rows["wide"])])
+    return np.concatenate([np.cumsum(_from_planes(x, w)) for x, w in zip(rows[column], rows["wide"])]).astype(np.uint32)
 
 
 def _flags(rows: pd.DataFrame, column: str, number: np.ndarray) -> np.ndarray:
@@ -311,8 +329,9 @@ def _window_rows(chunk: Chunk, buckets: int) -> pd.DataFrame:
     rows = [_header(chunk, buckets, again, of)]
     for bucket, packed in _dealt(chunk, buckets, parts).items():
         *arrays, leasts = packed["window"]
+        arrays[1] = _steps(arrays[1], kind)
         table, number = np.unique(np.frombuffer(leasts, np.int64), return_inverse=True)
-        rows.append((bucket, int(chunk.name), False, kind is np.uint32, *arrays, number.astype(kind).tobytes(), table.tobytes()))
+        rows.append((bucket, int(chunk.name), False, kind is np.uint32, *arrays, _in_planes(number, kind), table.tobytes()))
     return _frame(rows)
 
 
@@ -327,7 +346,7 @@ def _window_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     at, repeated, more = _places(rows, "b"), _flags(rows, "c", number), _joined(rows, "d", np.uint32)[0]
     sizes = [len(x) // 8 for x in rows["f"]]
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    least = _joined(rows, "f", np.int64)[0][starts[number] + _places(rows, "e")]
+    least = _joined(rows, "f", np.int64)[0][starts[number] + np.concatenate([_from_planes(x, w) for x, w in zip(rows["e"], rows["wide"])])]
     order = np.lexsort((more, key))
     new = _changes(key[order], more[order])
     best = np.empty(len(key), np.int64)
