@@ -6,8 +6,6 @@ sinks' part (``feedlake.sources.tables``). The key of a product is (external_id,
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +20,9 @@ ORPHAN_LIMIT = 0.5
 
 
 def dedup_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """One row per key, the last in ``order``."""
-    window = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
+    """One row per key, the last in ``order``; ties go by a hash of the row, so a run repeats the last one."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    window = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order], F.xxhash64(*plain))
     return df.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
 
 
@@ -36,8 +35,10 @@ def dedup_by_image(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def upsert(target: DataFrame, updates: DataFrame, key: list[str] = KEY, order: list[str] | None = None) -> DataFrame:
-    """U3 (U14 with key external_id): updates replace whole rows, new keys are added, none removed."""
-    new = dedup_last(updates, key, order) if order else updates.dropDuplicates(key)
+    """U3 (U14 with key external_id): updates replace whole rows, new keys are added, none removed. Of several
+    updates of a key the last in ``order`` counts (last_updated, where it is a column, if none is given).
+    """
+    new = dedup_last(updates, key, order or [c for c in ("last_updated",) if c in updates.columns])
     return target.join(new.select(*key), key, "left_anti").select(*target.columns).unionByName(new.select(*target.columns))
 
 
@@ -60,11 +61,11 @@ def restrict_to_ids(rows: DataFrame, ids: DataFrame, feed_order: str | None = No
 def quick_sync(target: DataFrame, updates: DataFrame, ids: DataFrame | None = None, match: list[str] = KEY) -> DataFrame:
     """Price, stock, picture, link and time brought up to date; nothing inserted or marked.
 
-    ``match=["external_id"]`` updates every feed's row of an id.
+    ``match=["external_id"]`` updates every feed's row of an id. Of several updates the last one counts.
     """
     if ids is not None:
         updates = restrict_to_ids(updates, ids)
-    new = updates.dropDuplicates(match).select(*match, F.lit(1).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in SYNCED])
+    new = dedup_last(updates, match, ["last_updated"]).select(*match, F.lit(1).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in SYNCED])
     joined = target.join(new, match, "left")
     return joined.select(*[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in SYNCED else F.col(c) for c in target.columns])
 
@@ -200,21 +201,17 @@ def midrun_total(run_log: DataFrame, feeds: DataFrame, products: DataFrame) -> D
 
 
 def full_refresh(
-    target: DataFrame, rows: DataFrame, feeds: DataFrame, start: Column, all_ok: bool = True, order: list[str] | None = None,
-    on_complete: Callable[[DataFrame], DataFrame] | None = None,
+    target: DataFrame, rows: DataFrame, feeds: DataFrame, start: Column, all_ok: bool = True, order: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """U16: (table, orphan report) after a full run: dedup, upsert, unconfigured feeds out, orphans
-    marked, search text filled. ``on_complete`` (X3) takes the new table.
+    marked, search text filled. The hook of X3 belongs to ``publish_snapshot``, which makes the table seen.
     """
     from feedlake.operators.normalize import with_search_text
 
     new = dedup_last(rows, KEY, order or ["last_updated"])
     merged = drop_unconfigured(upsert(target, new), feeds)
     table, report = mark_orphans(merged, rows, feeds, start, all_ok)
-    table = with_search_text(table)
-    if on_complete is not None:
-        on_complete(table)
-    return table, report
+    return with_search_text(table), report
 
 
 def refresh_feed(target: DataFrame, rows: DataFrame, feed_id: int, order: list[str] | None = None) -> DataFrame:

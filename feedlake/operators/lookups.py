@@ -96,29 +96,30 @@ def colour_siblings(products: DataFrame, ids: DataFrame) -> DataFrame:
     """
     rows = _colour_rows(products)
     mine = rows.join(ids.select("feed_id", "external_id").distinct(), ["feed_id", "external_id"], "left_semi").select(
-        F.col("feed_id").alias("_feed"), F.col("external_id").alias("for_id"), F.col("product_name").alias("my_name"),
-        F.col("grp").alias("my_grp"), F.col("base").alias("my_base"), F.col("own").alias("my_own"), F.col("shade").alias("my_shade"),
+        "feed_id", F.col("external_id").alias("for_id"), "product_name", "grp", "base", "own", "shade"
     )
 
-    def side(rank: int, key: str, other: str, colour: str, me: DataFrame) -> DataFrame:
-        pairs = me.join(rows, (F.col("_feed") == F.col("feed_id")) & (F.col(key) == F.col(other)))
-        return pairs.where(F.col(colour).isNotNull()).select(
-            F.lit(rank).alias("strategy"), "feed_id", "for_id", "external_id", "in_stock", F.col(colour).alias("colour"), F.col(f"my_{colour}").alias("mine")
+    def groups(key: str, colour: str, out: str) -> DataFrame:
+        """The shown row of each colour of a group of two colours or more, as one array a group; a colour is one row
+        before that, so what is gathered grows with the colours, not with the products.
+        """
+        shown = F.min(F.struct(F.when(F.col("in_stock") == 1, 0).otherwise(1).alias("stock"), F.col("external_id")))["external_id"].alias("external_id")
+        each = rows.where(F.col(key).isNotNull() & F.col(colour).isNotNull()).groupBy("feed_id", key, F.col(colour).alias("colour")).agg(shown)
+        listed = each.groupBy("feed_id", key).agg(F.collect_list(F.struct("colour", "external_id")).alias(out))
+        return listed.where(F.size(out) >= 2)
+
+    found = mine.join(groups("grp", "own", "_0"), ["feed_id", "grp"], "left")
+    loose = found.where("grp IS NULL").drop("_0").join(groups("product_name", "own", "_1"), ["feed_id", "product_name"], "left")
+    loose = loose.join(groups("base", "shade", "_2").where(F.length("base") >= 4), ["feed_id", "base"], "left")
+    chosen = found.where("_0 IS NOT NULL").select("feed_id", "for_id", F.lit(0).alias("strategy"), F.col("own").alias("mine"), F.col("_0").alias("colours")).unionByName(
+        loose.where("_1 IS NOT NULL OR _2 IS NOT NULL").select(
+            "feed_id", "for_id", F.when(F.col("_1").isNotNull(), 1).otherwise(2).alias("strategy"),
+            F.when(F.col("_1").isNotNull(), F.col("own")).otherwise(F.col("shade")).alias("mine"), F.coalesce("_1", "_2").alias("colours"),
         )
-
-    grouped = mine.where("my_grp IS NOT NULL")
-    every = side(0, "my_grp", "grp", "own", grouped)
-    loose = mine.where("my_grp IS NULL")
-    every = every.unionByName(side(1, "my_name", "product_name", "own", loose)).unionByName(side(2, "my_base", "base", "shade", loose.where(F.length("my_base") >= 4)))
-    wide = every.groupBy("strategy", "feed_id", "for_id").agg(F.countDistinct("colour").alias("colours")).where("colours >= 2")
-    best = wide.groupBy("feed_id", "for_id").agg(F.min("strategy").alias("strategy"))
-    chosen = every.join(best, ["strategy", "feed_id", "for_id"])
-    one = Window.partitionBy("feed_id", "for_id", "colour").orderBy(F.when(F.col("in_stock") == 1, 0).otherwise(1), "external_id")
-    listed = Window.partitionBy("feed_id", "for_id").orderBy(F.when(F.col("colour").eqNullSafe(F.col("mine")), 0).otherwise(1), "colour")
-    return (
-        chosen.withColumn("_n", F.row_number().over(one)).where("_n = 1")
-        .withColumn("position", F.row_number().over(listed)).select("feed_id", "for_id", "strategy", "position", "external_id", "colour")
     )
+    order = F.transform("colours", lambda c: F.struct(F.when(c["colour"].eqNullSafe(F.col("mine")), 0).otherwise(1).alias("other"), c["colour"].alias("colour"), c["external_id"].alias("external_id")))
+    each = chosen.select("feed_id", "for_id", "strategy", F.posexplode(F.array_sort(order)).alias("n", "c"))
+    return each.select("feed_id", "for_id", "strategy", (F.col("n") + 1).alias("position"), "c.external_id", "c.colour")
 
 
 def extract_refs(posts: DataFrame, marker: str, shortcode: str | None = None) -> DataFrame:
@@ -143,12 +144,18 @@ def extract_refs(posts: DataFrame, marker: str, shortcode: str | None = None) ->
     return found.withColumn("product_id", F.trim("product_id")).where(~blank(F.col("product_id"))).distinct()
 
 
+def _best_of(products: DataFrame, refs: DataFrame, *names: str) -> DataFrame:
+    """product_id and the named columns of the best row (active first, smallest feed_id) of each referenced id."""
+    used = products.join(refs.select(F.col("product_id").alias("external_id")).distinct(), "external_id", "left_semi")
+    first = F.min_by(F.struct(*names), F.struct(F.when(F.col("status") == ACTIVE, 0).otherwise(1), F.col("feed_id"))).alias("b")
+    return used.groupBy(F.col("external_id").alias("product_id")).agg(first).select("product_id", "b.*")
+
+
 def resolve_cards(refs: DataFrame, products: DataFrame) -> DataFrame:
     """State of each selected product: resolved, unavailable, missing, or fallback to what the
     block stored (stored_title) where the catalog has no row.
     """
-    order = Window.partitionBy("external_id").orderBy(*active_first("feed_id"))
-    best = products.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(F.col("external_id").alias("product_id"), "status", "product_name")
+    best = _best_of(products, refs, "status", "product_name")
     state = (
         F.when(F.col("status") == ACTIVE, "resolved").when(F.col("status").isNotNull(), "unavailable")
         .when(non_empty(F.col("stored_title")).isNotNull(), "fallback").otherwise("missing")
@@ -158,9 +165,8 @@ def resolve_cards(refs: DataFrame, products: DataFrame) -> DataFrame:
 
 def refresh_refs(refs: DataFrame, products: DataFrame) -> DataFrame:
     """Stored selections with current values where the catalog has them, else the old ones."""
-    order = Window.partitionBy("external_id").orderBy(*active_first("feed_id"))
-    best = products.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(
-        F.col("external_id").alias("product_id"), F.col("product_name").alias("_title"), F.when(~zero(F.col("price")), F.col("price")).alias("_price")
+    best = _best_of(products, refs, "product_name", "price").select(
+        "product_id", F.col("product_name").alias("_title"), F.when(~zero(F.col("price")), F.col("price")).alias("_price")
     )
     return refs.join(best, "product_id", "left").select(
         "post_id", "product_id", F.coalesce(non_empty(F.col("_title")), F.col("stored_title")).alias("title"), F.coalesce("_price", "stored_price").alias("price")

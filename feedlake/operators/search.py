@@ -42,6 +42,7 @@ SYNONYM_SETS = (
     ("men", "man", "herren", "mann", "männer", "herr", "male", "gentleman", "gentlemen"),
     ("girls", "girl", "mädchen"), ("boys", "boy", "junge", "jungen"), ("red", "rot"), ("blue", "blau"), ("heel", "heels", "pumps"), ("slide", "slides", "badelatschen"),
 )
+#: How prices and sales are put in a query, German and English.
 _UNIT = r"\s*(?:€|eur|euro|\$|usd|gbp|£)?\b"
 RANGE = rf"(?i)(\d{{1,5}})\s*(?:-|–|—|to|bis)\s*(\d{{1,5}}){_UNIT}"
 MOST = rf"(?i)(?:^|\s)(?:unter|under|max\.?|bis|<=?)\s*(\d{{1,5}}){_UNIT}"
@@ -139,7 +140,7 @@ def split_gender(expanded: DataFrame) -> DataFrame:
     row = F.struct("pos", "token", "stemmed", "synonyms", (is_male | is_female).alias("gender"))
     per = expanded.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("t"), F.max(is_male).alias("male"), F.max(is_female).alias("female"))
     plain = F.filter("t", lambda x: ~x["gender"])
-    return per.select("query_id", "male", "female", F.when(F.size(plain) > 0, plain).otherwise(F.col("t")).alias("scoring"), ((F.size(plain) > 0) & (F.col("male") | F.col("female"))).alias("gendered"))
+    return per.select("query_id", "male", "female", F.col("t").alias("every"), F.when(F.size(plain) > 0, plain).otherwise(F.col("t")).alias("scoring"), ((F.size(plain) > 0) & (F.col("male") | F.col("female"))).alias("gendered"))
 
 
 def _bare(token: Column) -> Column:
@@ -220,13 +221,18 @@ def filter_products(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("status") == ACTIVE) & listed("brand", F.col("q_brand")) & listed("colour", F.col("q_colour")) & subtree & low & high & sale & stock)
 
 
-def filter_gender(cands: DataFrame) -> DataFrame:
-    """Q13: rows that name only the other gender go; if that leaves a query without rows, none go."""
+def _wrong_gender() -> Column:
+    """Whether a row names only the gender that its query doesn't ask for."""
     words = words_of(F.col("search_text"))
     has = lambda terms: F.arrays_overlap(words, F.array(*[F.lit(t) for t in terms]))
     male, female = has(MALE_TERMS), has(FEMALE_TERMS)
     wrong = F.when(F.col("male") & ~F.col("female"), female & ~male).when(F.col("female") & ~F.col("male"), male & ~female).otherwise(False)
-    marked = cands.withColumn("_ok", ~F.coalesce(wrong, F.lit(False)))
+    return F.coalesce(wrong, F.lit(False))
+
+
+def filter_gender(cands: DataFrame) -> DataFrame:
+    """Q13: rows that name only the other gender go; if that leaves a query without rows, none go."""
+    marked = cands.withColumn("_ok", ~_wrong_gender())
     some = marked.groupBy("query_id").agg(F.max("_ok").alias("_some"))
     return marked.join(some, "query_id").where(F.col("_ok") | ~F.col("_some")).drop("_ok", "_some")
 
@@ -407,6 +413,54 @@ def search_simple(q: DataFrame, products: DataFrame) -> DataFrame:
     return plain.unionByName(one)
 
 
+#: Points of Q26 by where all tokens are found, and for each token.
+ALL_IN_NAME, ALL_WITH_SYNONYMS, NAME_AND_BRAND, SOME_IN_NAME, ELSEWHERE = 1000, 800, 600, 400, 200
+PER_NAME, PER_BRAND, PER_SYNONYM, PER_DESCRIPTION = 100, 75, 50, 10
+
+
+def search_weighted(plan: DataFrame, products: DataFrame, limit: int = 50) -> DataFrame:
+    """Q26: query_id, place, feed_id, external_id and points: every token, or a synonym of one word, must be a whole
+    word of some field. A token counts once: in the name, else in the brand, else as a synonym in the name, else
+    elsewhere. Rows that name only the other gender go.
+
+    Product words meet the words asked for in one join, so queries are never looped over.
+    """
+    rows = with_text(products.where(F.col("status") == ACTIVE))
+    wanted = plan.select("query_id", F.size(F.array_distinct("tokens")).alias("_n"), "male", "female", F.explode(F.array_distinct("tokens")).alias("token"))
+    synonyms = plan.select("query_id", F.explode("every").alias("x")).select("query_id", F.col("x.token").alias("token"), F.explode("x.synonyms").alias("word")).distinct()
+    asked = wanted.select("query_id", "_n", "male", "female", "token", F.col("token").alias("word"), F.lit(True).alias("_own")).unionByName(
+        wanted.join(synonyms, ["query_id", "token"]).select("query_id", "_n", "male", "female", "token", "word", F.lit(False).alias("_own"))
+    )
+    fields = [f for f in ("product_name", "brand", "colour", "category", "feed_name", "description") if f in products.columns]
+    of = lambda f: F.transform(F.array_distinct(words_of(F.col(f))), lambda w: F.struct(F.lit(f).alias("field"), w.alias("word")))
+    words = F.flatten(F.array(*[of(f) for f in fields]))
+    hits = rows.select(*PKEY, F.explode(words).alias("w")).select(*PKEY, "w.field", "w.word").join(asked, "word")
+    there = lambda field, own: F.max((F.col("field") == field) & (F.col("_own") == own))
+    per = hits.groupBy("query_id", *PKEY, "token").agg(
+        F.first("_n").alias("_n"), F.first("male").alias("male"), F.first("female").alias("female"), there("product_name", True).alias("a"),
+        there("brand", True).alias("b"), there("product_name", False).alias("c"), F.max(F.col("field") == "description").alias("d"),
+    )
+    count = lambda c: F.count_if(c)
+    a, b, c = F.col("a"), ~F.col("a") & F.col("b"), ~F.col("a") & ~F.col("b") & F.col("c")
+    found = per.groupBy("query_id", *PKEY).agg(
+        F.first("_n").alias("_n"), F.first("male").alias("male"), F.first("female").alias("female"), F.count("*").alias("_found"),
+        count(a).alias("_a"), count(b).alias("_b"), count(c).alias("_c"), count(~a & ~b & ~c & F.col("d")).alias("_d"),
+    ).where(F.col("_found") == F.col("_n"))
+    found = found.join(rows.select(*PKEY, "search_text"), PKEY).where(~_wrong_gender())
+    base = (
+        F.when(F.col("_a") == F.col("_n"), ALL_IN_NAME).when(F.col("_a") + F.col("_c") == F.col("_n"), ALL_WITH_SYNONYMS)
+        .when((F.col("_a") > 0) & (F.col("_b") > 0), NAME_AND_BRAND).when(F.col("_a") + F.col("_c") > 0, SOME_IN_NAME).otherwise(ELSEWHERE)
+    )
+    points = base + F.col("_a") * PER_NAME + F.col("_b") * PER_BRAND + F.col("_c") * PER_SYNONYM + F.col("_d") * PER_DESCRIPTION + 100
+    scored = found.select("query_id", *PKEY, points.cast("long").alias("points"))
+    # the best of parts first, so that no task sorts all rows of a common word
+    part = F.pmod(F.xxhash64(*PKEY), F.lit(64))
+    few = Window.partitionBy("query_id", part).orderBy(F.desc("points"), "external_id", "feed_id")
+    last = Window.partitionBy("query_id").orderBy(F.desc("points"), "external_id", "feed_id")
+    best = scored.withColumn("_k", F.row_number().over(few)).where(F.col("_k") <= limit).drop("_k")
+    return best.withColumn("place", F.row_number().over(last)).where(F.col("place") <= limit)
+
+
 def tier(s: Column) -> Column:
     """Q27: T1 to T4."""
     return F.when(s >= 10000, "T1").when(s >= 500, "T2").when(s >= 100, "T3").otherwise("T4")

@@ -59,7 +59,7 @@ def _siblings(s, d):
 QUERIES = {
     "j1_resolve": lambda s, d: lookups.resolve(ids(s, d), products(s, d)).select("external_id", "feed_id", "status", "product_name", "price"),
     "j2_fetch": lambda s, d: lookups.fetch(ids(s, d), products(s, d)).select("external_id", "feed_id", "status", "price"),
-    "j3_resolve_multi": lambda s, d: lookups.resolve_multi(ids(s, d), [products(s, d).select("external_id", "feed_id", "product_name", "status").where("feed_id > 40"), second_source(s, d)]),
+    "j3_resolve_multi": lambda s, d: lookups.resolve_multi(ids(s, d), [products(s, d).select("external_id", "feed_id", "product_name", "status"), second_source(s, d)]),
     "j4_available_sizes": lambda s, d: lookups.available_sizes(products(s, d)).withColumn("sizes", F.array_join("sizes", "|")),
     "j5_j8_colour_siblings": _siblings,
     "j9_extract_refs": lambda s, d: lookups.extract_refs(posts(s, d), "shop/cards"),
@@ -73,7 +73,7 @@ ORACLE_SQL = {
     "j1_resolve": with_views(f"SELECT external_id, feed_id, status, product_name, price FROM ({_BEST}) WHERE external_id IN (SELECT product_id FROM refs)", "products", "refs"),
     "j2_fetch": with_views("SELECT external_id, feed_id, status, price FROM products WHERE external_id IN (SELECT product_id FROM refs)", "products", "refs"),
     "j3_resolve_multi": with_views(
-        """WITH u AS (SELECT external_id, feed_id, product_name, status, 0 AS source_rank FROM products WHERE feed_id > 40
+        """WITH u AS (SELECT external_id, feed_id, product_name, status, 0 AS source_rank FROM products
           UNION ALL SELECT external_id, feed_id, product_name, status, 1 FROM updates)
         SELECT * FROM u WHERE external_id IN (SELECT product_id FROM refs)
         QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY source_rank, CASE WHEN status = 'active' THEN 0 ELSE 1 END, feed_id) = 1""", "products", "refs", "updates"),

@@ -94,6 +94,7 @@ QUERIES = {
     "q21_facets": lambda s, d: q.facets(_candidates(s, d)),
     "q23_did_you_mean": _typos,
     "q24_search": lambda s, d: _searched(s, d).select("query_id", "place", "feed_id", "external_id", "score", "tier"),
+    "q26_search_weighted": lambda s, d: q.search_weighted(plan(s, d), products(s, d)),
     "q25_search_simple": lambda s, d: q.search_simple(asked(s), products(s, d)).select("query_id", "feed_id", "external_id"),
 }
 
@@ -159,6 +160,18 @@ _FACETS = " UNION ALL ".join(
     WHERE (ok{f" OR query_id = {k}" if k else ""}) AND coalesce({n}, '') NOT IN ('', '0')) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, value) <= 50)"""
     for n, k in (("brand", 0), ("colour", 1), ("category", 2))
 )
+#: Q26 by hand: the tokens as they are asked for, with synonyms of one word.
+_WEIGHTED = [(k, t, w, w == t) for k, tokens in {1: ("red", "plate"), 2: ("hot",), 3: ("blue", "widget"), 4: ("small", "ring"), 5: ("plaet",), 6: ("large", "damen"), 7: ("old", "ring")}.items()
+             for t in tokens for w in sorted({t, *(x for g in q.SYNONYM_SETS if t in g for x in g)})]
+_SQL_WEIGHTED = f"""asked(query_id, token, word, own) AS (VALUES {', '.join(f"({k}, '{t}', '{w}', {str(o).lower()})" for k, t, w, o in _WEIGHTED)}),
+  n AS (SELECT query_id, count(DISTINCT token) AS n FROM asked GROUP BY query_id),
+  f AS (SELECT feed_id, external_id, unnest(['product_name', 'brand', 'colour', 'category', 'feed_name']) AS field,
+    unnest([coalesce(product_name, ''), coalesce(brand, ''), coalesce(colour, ''), coalesce(category, ''), coalesce(feed_name, '')]) AS value FROM products WHERE status = 'active'),
+  h AS (SELECT query_id, feed_id, external_id, token, max((field = 'product_name' AND own)::INT) AS a, max((field = 'brand' AND own)::INT) AS b, max((field = 'product_name' AND NOT own)::INT) AS c
+    FROM f JOIN asked ON regexp_matches(lower(value), '(^|[^a-z0-9])' || word || '([^a-z0-9]|$)') GROUP BY ALL),
+  g AS (SELECT query_id, feed_id, external_id, n, sum(a) AS a, sum(CASE WHEN a = 0 THEN b ELSE 0 END) AS b, sum(CASE WHEN a = 0 AND b = 0 THEN c ELSE 0 END) AS c
+    FROM h JOIN n USING (query_id) GROUP BY ALL HAVING count(*) = n),
+  p AS (SELECT query_id, feed_id, external_id, (CASE WHEN a = n THEN 1000 WHEN a + c = n THEN 800 WHEN a > 0 AND b > 0 THEN 600 WHEN a + c > 0 THEN 400 ELSE 200 END + a * 100 + b * 75 + c * 50 + 100)::BIGINT AS points FROM g)"""
 _SQL_TOKENS = """t AS (SELECT doc_id AS query_id, lower(trim(text)) AS x FROM documents),
   e AS (SELECT query_id, list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '') AS w FROM t),
   k AS (SELECT query_id, w, list_filter(w, lambda v: NOT list_contains([%s], v)) AS s FROM e),
@@ -195,6 +208,8 @@ ORACLE_SQL = {
     "q24_search": with_views(
         f"""WITH {_DEDUP} SELECT query_id, place, feed_id, external_id, score::INT AS score, CASE WHEN score >= 10000 THEN 'T1' WHEN score >= 500 THEN 'T2' WHEN score >= 100 THEN 'T3' ELSE 'T4' END AS tier
         FROM ({_PAGED}) WHERE place <= 40""", "products"),
+    "q26_search_weighted": with_views(
+        f"WITH {_SQL_WEIGHTED} SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY points DESC, external_id, feed_id))::INT AS place FROM p) WHERE place <= 50", "products"),
     "q25_search_simple": with_views(
         """WITH a(query_id, text) AS (VALUES (1, 'red plate'), (2, 'hot'), (3, 'blue widget under 950'), (4, '"small ring"'), (5, 'plaet'), (6, 'large damen sale'), (7, 'old ring 900 - 1000 eur')),
         h AS (SELECT a.query_id, p.* FROM products p JOIN a ON p.status = 'active' AND (contains(lower(coalesce(product_name, '')), text) OR contains(lower(coalesce(brand, '')), text) OR contains(lower(coalesce(category, '')), text) OR contains(lower(coalesce(feed_name, '')), text)))

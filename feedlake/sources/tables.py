@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,16 +22,21 @@ def write_products(df: DataFrame, path: str) -> None:
 
 
 def current_version(spark: SparkSession, base: str) -> int | None:
+    """None only if there is no pointer yet; any other failure to read it is an error."""
     try:
-        return spark.read.text(f"{base}/{POINTER}").agg(F.max(F.col("value").cast("int"))).first()[0]
-    except Exception:
-        return None
+        pointer = spark.read.text(f"{base}/{POINTER}")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return pointer.agg(F.max(F.col("value").cast("int"))).first()[0]
 
 
-def publish_snapshot(df: DataFrame, base: str) -> int:
+def publish_snapshot(df: DataFrame, base: str, on_complete: Callable[[DataFrame], object] | None = None) -> int:
     """Write the next version beside the current one, refuse an empty one, then move the pointer.
 
     The pointer file is written last and only added to, so a reader sees the old or the new version.
+    ``on_complete`` (X3) takes the published table once readers see it.
     """
     spark = df.sparkSession
     version = (current_version(spark, base) or 0) + 1
@@ -38,6 +44,8 @@ def publish_snapshot(df: DataFrame, base: str) -> int:
     if spark.read.parquet(f"{base}/v={version}").isEmpty():
         raise ValueError("an empty snapshot is not published")
     spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("append").text(f"{base}/{POINTER}")
+    if on_complete is not None:
+        on_complete(spark.read.parquet(f"{base}/v={version}"))
     return version
 
 

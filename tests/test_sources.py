@@ -164,7 +164,8 @@ def test_quick_sync_stream_and_hooks(spark, tmp_path):
     assert sorted((r["external_id"], r["price"], r["product_name"]) for r in tables.read_snapshot(spark, base).collect()) == [("a", 9, "A"), ("b", 6, "B")]
     told = []
     feeds = spark.createDataFrame([(1,)], "feed_id int")
-    table, report = full_refresh(rows, rows.where("external_id = 'a'").withColumn("last_updated", F.to_timestamp(F.lit("2024-03-01"))), feeds, F.to_timestamp(F.lit("2024-02-15")), on_complete=lambda t: told.append(t.count()))
-    assert told == [2] and {r["external_id"]: r["status"] for r in table.collect()} == {"a": "active", "b": "unavailable"}  # exactly half may go
+    table, report = full_refresh(rows, rows.where("external_id = 'a'").withColumn("last_updated", F.to_timestamp(F.lit("2024-03-01"))), feeds, F.to_timestamp(F.lit("2024-02-15")))
+    tables.publish_snapshot(table, str(tmp_path / "hooked"), on_complete=lambda t: told.append(t.count() + tables.current_version(spark, str(tmp_path / "hooked"))))
+    assert told == [3] and {r["external_id"]: r["status"] for r in table.collect()} == {"a": "active", "b": "unavailable"}  # exactly half may go
     changed = tables.to_jsonld(rows.withColumn("currency", F.lit("EUR")), "feed_id", ["external_id"], transform=lambda n: n.withColumn("product_name", F.upper("product_name")).where("position = 1"))
     assert len(json.loads(changed.first()["jsonld"])["itemListElement"]) == 1
