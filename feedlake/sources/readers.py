@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import gzip
+import io
+import uuid
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -121,6 +124,31 @@ def format_from_url(url: Column) -> Column:
     return F.when(word.isin("jsonl", "ndjson"), "json_lines").when(word.isin("csv", "tsv", "ssv", "psv", "xml", "json"), word)
 
 
+def recover_xml(spark: SparkSession, paths: str | list[str], row_tag: str, schema: str | None = None) -> DataFrame:
+    """A4: the whole items of files that no parser takes: they are cut out of the text by their tags and
+    parsed one by one; those that still don't parse are dropped. Without a schema, the first items tell it.
+    """
+    texts = spark.read.text(paths, wholetext=True)
+    items = texts.select(F.explode(F.regexp_extract_all("value", F.lit(rf"(?s)<{row_tag}(?:\s[^>]*)?>.*?</{row_tag}\s*>"), F.lit(0))).alias("item"))
+    if schema is None:
+        seen = [r["item"] for r in items.limit(20).collect()]
+        if not seen:
+            return spark.createDataFrame([], "item string")
+        parsed = [T.StructType.fromDDL(spark.range(1).select(F.schema_of_xml(F.lit(x))).first()[0]) for x in seen if _is_xml(x)]
+        names = dict.fromkeys(f.name for s in parsed for f in s.fields)
+        schema = ", ".join(f"`{n}` string" for n in names)
+    read = items.select(F.from_xml("item", f"{schema}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"}).alias("x")).select("x.*")
+    return read.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def _is_xml(text: str) -> bool:
+    try:
+        ElementTree.fromstring(text)
+    except ElementTree.ParseError:
+        return False
+    return True
+
+
 def gunzip_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, text) of files that are gzip by their magic bytes, whatever their suffix; others as they are."""
 
@@ -132,19 +160,54 @@ def gunzip_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(opened, "path string, text string")
 
 
-def ingest_feeds(spark: SparkSession, feeds: list[dict], mappings: dict[int, dict[str, str]]) -> tuple[DataFrame | None, list[tuple[int, str]]]:
-    """A10: every registered feed read, mapped and tagged with feed_id and feed_name; a feed that
-    can't be read goes to the errors and the others go on. ``feeds``: a registry of tens of records
-    with feed_id, name, path and format.
+def unpacked(spark: SparkSession, path: str, folder: str) -> str:
+    """The path itself, or, for gzip by its magic bytes under another suffix, a copy of the lines below ``folder``."""
+    files = spark.read.format("binaryFile").load(path)
+    packed = files.where((F.hex(F.substring("content", 1, 2)) == "1F8B") & ~F.col("path").endswith(".gz"))
+    if packed.isEmpty():
+        return path
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for content in b["content"]:
+                with io.TextIOWrapper(gzip.GzipFile(fileobj=io.BytesIO(content)), "utf-8", "replace", newline="\n") as text:
+                    while some := text.readlines(1 << 20):
+                        yield pd.DataFrame({"value": [x.removesuffix("\n") for x in some]})
+
+    staged = f"{folder}/{uuid.uuid4().hex}"
+    packed.select("content").mapInPandas(lines, "value string").write.text(staged)
+    return staged
+
+
+def read_feed(spark: SparkSession, path: str, fmt: str, folder: str) -> DataFrame:
+    """The rows of one feed file of a known format, packed or not; ``folder`` takes unpacked copies."""
+    plain = unpacked(spark, path, folder)
+    if fmt == "xml":
+        return flatten_xml(read_xml(spark, plain))
+    if fmt in ("json", "json_lines"):
+        return (read_json_doc if fmt == "json" else read_json_lines)(spark, plain)
+    return read_delimited(spark, plain, fmt)
+
+
+def ingest_feeds(
+    spark: SparkSession, feeds: list[dict], mappings: dict[int, dict[str, str]], folder: str
+) -> tuple[DataFrame | None, list[tuple[int, str]]]:
+    """A10: every registered feed read, mapped and tagged with feed_id and feed_name. ``feeds``: a registry of tens of
+    records with feed_id, name, path and format.
+
+    Each feed is landed as Parquet below ``folder`` on its own, so one that can't be read, or breaks while it is
+    read, goes to the errors and the others go on.
     """
     from feedlake.operators.mapping import apply_mapping
 
-    readers = {"xml": lambda p: flatten_xml(read_xml(spark, p)), "json": lambda p: read_json_doc(spark, p), "json_lines": lambda p: read_json_lines(spark, p)}
     out, errors = None, []
     for feed in feeds:
+        landed = f"{folder}/{uuid.uuid4().hex}"
         try:
-            rows = readers.get(feed["format"], lambda p, f=feed["format"]: read_delimited(spark, p, f))(feed["path"])
+            rows = read_feed(spark, feed["path"], feed["format"], folder)
             mapped = apply_mapping(rows, mappings[feed["feed_id"]]).withColumn("feed_id", F.lit(feed["feed_id"])).withColumn("feed_name", F.lit(feed["name"]))
+            mapped.write.parquet(landed)
+            mapped = spark.read.parquet(landed)
             out = mapped if out is None else out.unionByName(mapped, allowMissingColumns=True)
         except Exception as error:  # one broken feed must not stop the others
             errors.append((feed["feed_id"], str(error).splitlines()[0]))

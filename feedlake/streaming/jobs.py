@@ -52,6 +52,18 @@ def stalled_runs(heartbeats: DataFrame, now: Column) -> DataFrame:
     return last.select("run_id", "mode", idle.alias("idle_seconds")).where(F.col("idle_seconds") > limit)
 
 
+def stream_stalled(heartbeats: DataFrame, watermark: str = "10 seconds") -> DataFrame:
+    """T4 on a stream: (run_id, mode, last, stalled_at), once for each silence longer than the run's mode allows.
+
+    A run's heartbeats are a session that ends when its gap has passed without one; the watermark, moved on by
+    the other runs, closes it, so state is kept for live runs only. Other modes have no limit and are left out.
+    """
+    gap = F.coalesce(*[F.when(F.col("mode") == m, f"{s} seconds") for m, s in STALL_SECONDS.items()])
+    known = heartbeats.where(F.col("mode").isin(*STALL_SECONDS)).withWatermark("ts", watermark)
+    silent = known.groupBy("run_id", "mode", F.session_window("ts", gap)).agg(F.max("ts").alias("last"))
+    return silent.select("run_id", "mode", "last", F.col("session_window.end").alias("stalled_at"))
+
+
 def throughput(heartbeats: DataFrame, width: str = "10 minutes", watermark: str = "30 minutes") -> DataFrame:
     """T5: rows per run and window; on a stream, windows close at the watermark."""
     per = heartbeats.withWatermark("ts", watermark).groupBy("run_id", F.window("ts", width)).agg(F.sum("processed_rows").alias("rows"))

@@ -59,7 +59,7 @@ def test_formats(spark, tmp_path):
 def test_ingest_isolates_a_broken_feed(spark, tmp_path):
     feeds = [{"feed_id": 1, "name": "one", "path": write(tmp_path / "a.csv", "id,title\n1,x\n2,y\n"), "format": "csv"}, {"feed_id": 2, "name": "two", "path": str(tmp_path / "no.csv"), "format": "csv"},
              {"feed_id": 3, "name": "three", "path": write(tmp_path / "b.json", '[{"pid":5,"info":{"t":"z"}}]'), "format": "json"}]
-    rows, errors = readers.ingest_feeds(spark, feeds, {1: {"id": "id", "title": "title"}, 2: {}, 3: {"id": "pid", "title": "info.t"}})
+    rows, errors = readers.ingest_feeds(spark, feeds, {1: {"id": "id", "title": "title"}, 2: {}, 3: {"id": "pid", "title": "info.t"}}, str(tmp_path / "work"))
     assert sorted((str(r["id"]), r["title"], r["feed_id"]) for r in rows.collect()) == [("1", "x", 1), ("2", "y", 1), ("5", "z", 3)]
     assert [e[0] for e in errors] == [2]
     assert sorted((r["feed"], r["items"]) for r in readers.count_items(rows, F.col("feed_id")).collect()) == [(1, 2), (3, 1)]
