@@ -106,10 +106,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     signature = None
     while True:
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # checkpointed, so that both sides of a join are plain exchanges and a hot node's side can be split
+        least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut_lineage(large.distinct())
+        least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u")
         small = (
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

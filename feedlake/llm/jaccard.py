@@ -310,13 +310,14 @@ def _classed(docs: DataFrame) -> DataFrame:
     tasks = tasks.join(signed.select("node", "signature"), "node")
     pairs = tasks.groupBy("task").applyInPandas(_candidate_forest, "a long, b long")
     clusters = connected_components(pairs)
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("members"))
+    sizes = cut_lineage(clusters.groupBy("component").agg(F.count("*").alias("members")))
     clustered = cut_lineage(clusters.join(sizes, "component"))
     tasks = in_tasks(clustered, "component", "members").select("task", "grp", "bi", "bj", "blk", "node").join(signed, "node")
     verified = cut_lineage(tasks.groupBy("task").applyInPandas(_verified, "a long, b long, n long"))
     counts = verified.where("n IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     linked = connected_components(verified.where("b IS NOT NULL").select("a", "b"))
     least = linked.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("class_id"))
+    least = cut_lineage(least)  # its join with a hot component can be split then
     named = (
         nodes.select("node", "rep", "copies")
         .join(linked.join(least, "component").select("node", "class_id", "component"), "node", "left")
