@@ -32,6 +32,13 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def set_aside(df: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with its columns other than ``used`` under names that no operator gives, and the columns to select to get back those of ``df``."""
+    hidden = {c: f"_kept_column_{i}" for i, c in enumerate(df.columns) if c not in used}
+    plain = df.select(*[F.col(f"`{c}`").alias(hidden.get(c, c)) for c in df.columns])
+    return plain, [F.col(hidden[c]).alias(c) if c in hidden else F.col(c) for c in df.columns]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` into the shared folder."""
     shared_folder(df.sparkSession)

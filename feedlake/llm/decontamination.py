@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import cut_lineage, read_table
+from feedlake.llm.common import cut_lineage, read_table, set_aside
 
 NGRAM = 10
 MAX_ANCHORS = 2_000_000
@@ -146,14 +146,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     Hits are found on (doc_id, hash of the text) alone and meet the documents again by these.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_h", F.xxhash64(text))
+    plain, back = set_aside(docs, "doc_id", "text")
+    keyed = plain.withColumn("_h", F.xxhash64(text))
     slim = keyed.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_g"), "text")
     found = find_hits(slim, benchmark, False).where(F.size("hit") > 0).groupBy("_id", "_g").agg(F.first("hit").alias("_hit"))
     same = keyed["doc_id"].eqNullSafe(found["_id"]) & (keyed["_h"] == found["_g"])
     if remove == "documents":
-        return keyed.join(found, same, "left_anti").select(*docs.columns)
+        return keyed.join(found, same, "left_anti").select(*back)
     spans = keyed.join(found, same, "left").select(
-        *docs.columns, "_hit",
+        *plain.columns, "_hit",
         _words(text, SEPARATORS_ANY_CASE).alias("_w"),
         F.regexp_extract_all(text, F.lit(SEPARATORS_ANY_CASE), F.lit(0)).alias("_gaps"),
         text.rlike(rf"^{SEPARATORS_ANY_CASE}").alias("_gap_first"),
@@ -163,7 +164,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
         f"array_join(transform(sequence(1, greatest(size(_w), 1)), i -> if(_gap_first, concat(coalesce(get(_gaps, i - 1), ''), {word}),"
         f" concat({word}, coalesce(get(_gaps, i - 1), '')))), '') || if(_gap_first and size(_gaps) > size(_w), coalesce(get(_gaps, size(_w)), ''), '')"
     )
-    return spans.withColumn("text", F.when(F.size("_hit") > 0, rebuilt).otherwise(F.col("text"))).select(*docs.columns)
+    return spans.withColumn("text", F.when(F.size("_hit") > 0, rebuilt).otherwise(F.col("text"))).select(*back)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

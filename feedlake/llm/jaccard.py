@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import connected_components, cut_lineage, join_hot, read_table
+from feedlake.llm.common import connected_components, cut_lineage, join_hot, read_table, set_aside
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -335,8 +335,9 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     firsts = heads.where("part IS NOT NULL").groupBy("part", "doc_id").agg(F.min("_text_key").alias("_text_key"))
     firsts = firsts.select("doc_id", "_text_key").unionByName(heads.where("part IS NULL").drop("part"))
     keys = ["doc_id", "_text_key"]
-    kept = docs.withColumn("_text_key", F.xxhash64("text")).join(firsts, keys, "left_semi").dropDuplicates(keys)
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    plain, back = set_aside(docs, "doc_id", "text")
+    kept = plain.withColumn("_text_key", F.xxhash64("text")).join(firsts, keys, "left_semi").dropDuplicates(keys)
+    return kept.select(*back).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

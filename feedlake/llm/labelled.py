@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def id_remainder(doc_id, divisor: int):
-    """crc32 of the doc_id as text, modulo ``divisor`` (null ids: 0)."""
-    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(divisor)), F.lit(0)).cast("int")
+    """crc32 of the doc_id as text, modulo ``divisor`` (null ids: -1, which is no remainder)."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(divisor)), F.lit(-1)).cast("int")
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, divisor: int, held_out: int, most: int) -> DataFrame:

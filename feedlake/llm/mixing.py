@@ -24,7 +24,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import WORD_SEPARATORS, bucket_count, cut_lineage, read_table, running_position
+from feedlake.llm.common import WORD_SEPARATORS, bucket_count, cut_lineage, read_table, running_position, set_aside
 
 GRID = 32
 ROUNDS = 7
@@ -112,9 +112,9 @@ def mix_sources(
     whole = sources.agg(F.sum("_total").alias("t"), F.sum("_docs").alias("n"), F.count("*").alias("k")).first()
     added = ["mix_tokens long", "mix_pass int", "mix_weight double", "mix_alpha double", "mix_block long"]
     names = [x.split()[0] for x in added]
-    kept_columns = [c for c in docs.columns if c not in names]
+    plain, back = set_aside(docs.drop(*names), "doc_id", "source", "text")
     if not whole["n"]:
-        return docs.select(*kept_columns, *[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in added])
+        return plain.select(*back, *[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in added])
     total = whole["t"]
     shares = sources.withColumn("share", F.col("_total") / F.lit(float(total)))
     best = solve_temperature(shares, entropy_share and entropy_share * _ln(whole["k"]), repetition, upsample_only, budget_ratio)
@@ -146,7 +146,7 @@ def mix_sources(
         )
     )
     same = (row_hash == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    return docs.drop(*names).join(kept, same).select(*kept_columns, *names)
+    return plain.join(kept, same).select(*back, *names)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
