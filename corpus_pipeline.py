@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a
 DataFrame; all but the last return the columns of documents. ``run`` writes each stage as Parquet
 into the shared checkpoint folder and rereads it as the next one's documents.
+
+Defined results: null and blank texts and null doc_ids stay throughout; of repeated rows the
+Jaccard stage keeps one, unless their doc_id is null; rows of one doc_id are judged by their texts;
+of ties the smallest doc_id stays; extra columns pass through under any name, up to the last stage;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import read_table, shared_folder
+from feedlake.llm.common import read_table, set_aside, shared_folder
 from feedlake.llm.decontamination import decontaminate
 from feedlake.llm.jaccard import keep_one_of_each
 from feedlake.llm.mixing import mix_sources
@@ -23,7 +28,8 @@ from feedlake.llm.toxicity import THRESHOLD, score_toxicity, train_toxicity
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the toxicity machine rejects."""
     machine = train_toxicity(docs, read_table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, machine, "_score").where(F.col("_score") < THRESHOLD).select(*docs.columns)
+    plain, back = set_aside(docs, "doc_id", "text")
+    return score_toxicity(plain, machine, "_score").where(F.col("_score") < THRESHOLD).select(*back)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +44,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at temperature weights; none is passed over less than once, so no document goes."""
-    return mix_sources(docs, entropy_share=0.97, repetition=2.0, upsample_only=True).select(*docs.columns)
+    plain, back = set_aside(docs, "doc_id", "source", "text")
+    return mix_sources(plain, entropy_share=0.97, repetition=2.0, upsample_only=True).select(*back)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
