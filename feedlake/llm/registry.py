@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from feedlake.llm import decontamination, embeddings, html, jaccard, mixing, quality, secrets, sharding, substrings, toxicity
+from feedlake.llm import decontamination, embeddings, html, jaccard, mixing, periods, quality, secrets, sharding, substrings, toxicity
 
-MODULES = (jaccard, sharding, quality, secrets, substrings, decontamination, html, toxicity, embeddings, mixing)
+MODULES = (jaccard, sharding, quality, secrets, substrings, decontamination, html, toxicity, embeddings, mixing, periods)
 
 
 def queries():
