@@ -19,8 +19,7 @@ def test_query_equals_sql(spark, name):
         con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{DATA}/{f}'")
     want = con.execute(registry.oracle_sql()[name]).df()
     got = registry.queries()[name](spark, DATA).toPandas()[list(want.columns)]
-    key = want.columns[0]
-    want, got = (x.sort_values(key).reset_index(drop=True) for x in (want, got))
+    want, got = (x.sort_values(list(want.columns)).reset_index(drop=True) for x in (want, got))
     assert (want.astype(str) == got.astype(str)).all().all() and len(want) == len(got)
 
 
