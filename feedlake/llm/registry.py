@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from feedlake.llm import decontamination, embeddings, html, jaccard, mixing, periods, phrases, quality, secrets, sharding, substrings, toxicity
+from feedlake.llm import decontamination, embeddings, html, jaccard, mixing, periods, phrases, private, quality, secrets, sharding, substrings, toxicity
 
-MODULES = (jaccard, sharding, quality, secrets, substrings, decontamination, html, toxicity, embeddings, mixing, phrases, periods)
+MODULES = (jaccard, sharding, quality, secrets, substrings, decontamination, html, toxicity, embeddings, mixing, private, phrases, periods)
 
 
 def queries():
