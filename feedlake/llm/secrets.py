@@ -10,7 +10,8 @@ the token lies in no base span. Values travel as SHA-256 only.
 The candidates of all rows are worked out once and checkpointed. Counting is partial before it
 shuffles, and the verdicts of very frequent values come back by broadcast, the others in a shuffle,
 so a value in a third of all rows is no hot task. The work on a text grows with its length: the
-places of its matches are running sums taken in two levels.
+places of its matches are running sums taken in two levels, and bare tokens meet the base spans around them in sorted
+order, by windows over the text's spans.
 
 Defined results: a null text is empty; a null owner is not counted as an owner (a value with
 none is neither copied nor live); repeated rows are reported each and count as one repository;
@@ -19,7 +20,7 @@ an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedlake.llm.common import cut_lineage, join_hot, read_table
@@ -127,18 +128,19 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
         )
     )
     joined = join_hot(rows, counted, "_hash", "_rows", "left")
+    is_base = F.col("kind_no") < len(BASE)
+    # a bare token inside a base span is that span's own value: it overlaps the furthest end of the base spans that
+    # start before it, or the next base span
+    onward = Window.partitionBy("_row").orderBy("start", "kind_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    backward = Window.partitionBy("_row").orderBy(F.desc("start"), F.desc("kind_no")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = joined.withColumn("_reach", F.max(F.when(is_base, F.col("end"))).over(onward))
+    marked = marked.withColumn("_next", F.last(F.when(is_base, F.col("start")), ignorenulls=True).over(backward))
+    covered = F.coalesce(F.col("_reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("_next") < F.col("end"), F.lit(False))
     span = F.when(
-        F.col("kind").isNotNull() & ((F.col("kind_no") < len(BASE)) | (F.col("verdict") == "live")),
+        F.col("kind").isNotNull() & (is_base | ((F.col("verdict") == "live") & ~covered)),
         F.struct("start", "kind_no", "end", "kind", F.col("_hash").alias("value_sha256"), "owners", "repositories", "verdict"),
     )
-    found = joined.groupBy("_row").agg(F.first("_doc").alias("doc_id"), F.array_sort(F.collect_list(span)).alias("_all"))
-    base = F.filter("_all", lambda s: s["kind_no"] < len(BASE))
-    # a bare token inside a base span is that span's own value
-    kept = F.filter(
-        "_all",
-        lambda s: (s["kind_no"] < len(BASE)) | ~F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
-    return found.withColumn("_base", base).select("doc_id", kept.alias("secrets"))
+    return marked.groupBy("_row").agg(F.first("_doc").alias("doc_id"), F.array_sort(F.collect_list(span)).alias("secrets")).drop("_row")
 
 
 def _listed(spans: Column) -> Column:

@@ -34,3 +34,33 @@ def test_repeated_rows_and_a_hot_value(spark, monkeypatch):
     assert len(out) == len(rows) and sorted(r["doc_id"] for r in out) == sorted(r[0] for r in rows)
     verdicts = {r["doc_id"]: [(s["verdict"], s["owners"], s["repositories"]) for s in r["secrets"]] for r in out}
     assert verdicts[1] == [("copied", 3, 20)] and verdicts[90] == [("live", 1, 1)] and verdicts[91] == []
+
+
+def test_many_base_spans_and_live_bare_tokens(spark):
+    """A text of very many credentials, once assigned and once bare, takes no time for each pair of them."""
+    import time
+
+    rng = random.Random(4)
+    values = ["".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(20)) + "7x" for _ in range(8_000)]
+    text = " ".join(f"token={v}" for v in values) + " " + " ".join(values)
+    rows = [(1, text, "a"), (2, "token=" + values[0] + " then " + values[0] + "=" + values[1], "a")]
+    began = time.time()
+    found = {r["doc_id"]: r["secrets"] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert time.time() - began < 30
+    kinds = [s["kind"] for s in found[1]]
+    assert kinds.count("assign") == 8_000 and kinds.count("reuse") == 8_000
+    base = [(s["start"], s["end"]) for s in found[1] if s["kind"] != "reuse"]
+    assert all(s["start"] >= base[-1][1] for s in found[1] if s["kind"] == "reuse")
+    assert [s["kind"] for s in found[2]] == ["assign"] and [(s["start"], s["end"]) for s in found[1]] == sorted((s["start"], s["end"]) for s in found[1])
+
+
+def test_bare_tokens_around_base_spans(spark):
+    """Overlap by definition, on texts where base spans begin before, inside and after bare tokens."""
+    live = "Qw3rTy7UiOp9AsDf2"
+    texts = [f"token={live}", f"{live} x", f"x={live} token={live}", f"{live}token={live}", f"token={live}.{live}", f"secret: {live} {live}", f"a{'0123456789abcdef' * 2} {live}"]
+    docs = spark.createDataFrame([(i, t, "o") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    for r in secrets.scan_secrets(docs).collect():
+        base = [(s["start"], s["end"]) for s in r["secrets"] if s["kind"] != "reuse"]
+        found = [(s["start"], s["end"]) for s in r["secrets"] if s["kind"] == "reuse"]
+        bare = [m.span() for m in re.finditer(secrets.BARE, texts[r["doc_id"]]) if m[0] == live]
+        assert found == [b for b in bare if not any(s < b[1] and b[0] < e for s, e in base)]
