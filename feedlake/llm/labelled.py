@@ -12,10 +12,11 @@ def id_remainder(doc_id, divisor: int):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, divisor: int, held_out: int, most: int) -> DataFrame:
-    """(text, label) of at most ``most`` labelled rows outside the held-out remainder.
+    """(doc_id, text, label) of at most ``most`` labelled rows outside the held-out remainder.
 
-    Labels are cut down first, by the hash of the id, so that ``most`` bounds what is broadcast
-    and what is read back; null labels are skipped and an id labelled twice counts once.
+    Labels are cut down first, by the hash of the id, so that what is broadcast is bounded; null labels are
+    skipped and an id labelled twice counts once. Of the rows that share a labelled id one is taken, by the
+    hash of its text, before anything leaves its task, so ``most`` bounds the rows as well.
     """
     chosen = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
@@ -25,4 +26,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, divisor: int,
         .limit(most)
     )
     rows = docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.join(F.broadcast(chosen), F.col("_id") == F.col("doc_id")).select("doc_id", "text", "label")
+    found = rows.join(F.broadcast(chosen), F.col("_id") == F.col("doc_id"))
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text")))
+    return found.groupBy("doc_id", "label").agg(one.alias("_one")).select("doc_id", F.col("_one.text").alias("text"), "label")

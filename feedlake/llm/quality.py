@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import read_table
+from feedlake.llm.common import cut_lineage, read_table
 from feedlake.llm.labelled import id_remainder, training_rows
 
 MAX_TRAIN = 8_000
@@ -121,13 +121,24 @@ def train_quality(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
     def spread(texts: pd.Series) -> pd.Series:
         return texts.map(spread_blocks)
 
-    read = rows.select("doc_id", spread("text").alias("samples"), "label").toPandas()
-    read = read.sort_values("doc_id", kind="stable")
-    ids, y = read["doc_id"].tolist(), read["label"].to_numpy(np.float64)
-    if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.5
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = pd.concat([pd.DataFrame(columns=["doc_id", "samples", "label"]), *batches], ignore_index=True).sort_values("doc_id", kind="stable")
+        y = read["label"].to_numpy(np.float64)
+        if len(y) and y.min() < y.max():
+            made = fit_dictionaries(read["doc_id"].tolist(), [list(s) for s in read["samples"]], y)
+            yield pd.DataFrame({"good": [made.good], "bad": [made.bad]})
+
+    rows = cut_lineage(rows.select("doc_id", "text", "label"))
+    sizes = rows.agg(F.count("*").alias("n"), F.sum("label").alias("positive")).first()
+    n, positive = sizes["n"], sizes["positive"] or 0
+    if positive in (0, n):
+        share = positive / n if n else 0.5
         return CompressionClassifier(b"", b"", 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    made = fit_dictionaries(ids, [list(s) for s in read["samples"]], y)
+    # blocks of ``most`` rows at most: one task builds the dictionaries, away from the driver
+    built = rows.select("doc_id", spread("text").alias("samples"), "label").coalesce(1).mapInPandas(fit, "good binary, bad binary").first()
+    made = CompressionClassifier(bytes(built["good"]), bytes(built["bad"]))
+    kinds = rows.select("doc_id", "label").toPandas()  # ids and labels of ``most`` rows at most
+    ids, y = kinds["doc_id"].tolist(), kinds["label"].to_numpy()
     odd = np.array([not builds_dictionary(i) for i in ids])
     every = len(set(y[odd])) < 2
     shared = docs.sparkSession.sparkContext.broadcast(made)
