@@ -1,23 +1,23 @@
 """Search as a batch relevance job (Q1-Q27): a table of queries against the product table.
 
 ``prepare`` turns the queries into one row each with its groups, short words, phrases and filters;
-matching explodes the product words once and meets the query parts by a four-character prefix, so
-the query side stays a table and is never looped over. Products need feed_id, external_id,
+matching enters every query by its rarest part through inverted lists, so the query side stays a table and
+is never looped over. Products need feed_id, external_id,
 product_name, brand, feed_name, category, colour, price, original_price, in_stock, status,
 last_updated; search text is taken from the ``search_text`` column or made from the others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlake.functions.values import non_empty
+from feedlake.functions.staging import staged
 from feedlake.operators.normalize import search_text, strip_size
+from feedlake.operators.postings import drive, holding, limited
 from feedlake.operators.reports import ACTIVE
+from feedlake.operators.spelling import near_words
 
 #: Words for men and boys, and for women and girls.
 MALE_TERMS = ("man", "men", "herren", "mann", "männer", "herr", "male", "gentleman", "gentlemen", "boys", "boy", "junge", "jungen")
@@ -160,8 +160,8 @@ def prepare(queries: DataFrame, synonyms: DataFrame, brands: DataFrame) -> DataF
     forms = lambda x: F.filter(F.array_distinct(F.transform(F.concat(F.array(x["token"]), x["synonyms"]), _bare)), lambda p: p != "")
     groups = F.transform(F.filter("scoring", long), lambda x: F.struct(x["pos"].alias("pos"), parts(x).alias("parts")))
     shorts = F.transform(F.filter("scoring", lambda x: ~long(x) & (_bare(x["token"]) != "")), lambda x: forms(x))
-    # a stated, small table that matching, scoring and facets all read
-    return parsed.join(roles, "query_id", "left").withColumn("groups", groups).withColumn("shorts", shorts).cache()
+    # matching, scoring and facets all read it
+    return staged(parsed.join(roles, "query_id", "left").withColumn("groups", groups).withColumn("shorts", shorts))
 
 
 def with_text(products: DataFrame) -> DataFrame:
@@ -178,39 +178,61 @@ def has_form(text: Column, form: Column) -> Column:
     return F.when(form.rlike(r"^\d+$"), F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), form, F.lit(" ")))).otherwise(text.contains(form))
 
 
+def _fulltext_keys(plan: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, key) of Q8-Q10. rows: products with ``search_text``."""
+    checks = plan.select("query_id", "groups", "shorts", "phrases")
+    text, words = F.col("search_text"), F.col("_words")
+    # words are looked up by the whole part they begin with, of the lengths that are asked for
+    grouped = plan.select("query_id", F.explode("groups").alias("g")).select("query_id", F.col("g.pos").alias("group"), F.explode("g.parts").alias("form"))
+    grouped = staged(grouped.withColumn("terms", F.array("form")))
+    terms = grouped.select(F.col("form").alias("term")).distinct()
+    lengths = F.array(*[F.lit(r[0]) for r in terms.select(F.length("term")).distinct().collect()]).cast("array<int>")
+    beginnings = lambda w: F.transform(F.filter(lengths, lambda n: F.length(w) >= n), lambda n: F.substring(w, F.lit(1), n))
+    long = F.filter(F.array_distinct(words_of(text)), lambda w: F.length(w) >= PREFIX)
+    postings = rows.select(*PKEY, F.explode(F.array_distinct(F.flatten(F.transform(long, beginnings)))).alias("term"))
+    found = drive(grouped, limited(postings, terms), PKEY)
+    # queries of short words and phrases alone are entered by their grams
+    bare = plan.where((F.size("groups") == 0) & ((F.size("shorts") > 0) | (F.size("phrases") > 0)))
+    parts = F.concat(F.col("shorts"), F.transform("phrases", lambda p: F.array(p)))
+    forms = bare.select("query_id", F.posexplode(parts).alias("group", "f")).select("query_id", "group", F.explode("f").alias("form"))
+    found = found.unionByName(holding(forms, rows, PKEY, "search_text"))
+    whole = F.forall("groups", lambda g: F.exists(g["parts"], lambda p: F.exists(words, lambda w: w.startswith(p))))
+    fits = whole & F.forall("shorts", lambda fs: F.exists(fs, lambda f: has_form(text, f))) & F.forall("phrases", lambda p: text.contains(p))
+    texts = rows.select(*PKEY, "search_text", words_of(text).alias("_words"))
+    return found.join(texts, PKEY).join(checks, "query_id").where(fits).select("query_id", *PKEY).distinct()
+
+
 def match_fulltext(plan: DataFrame, products: DataFrame) -> DataFrame:
     """Q8-Q10: (query_id, product columns) where every group has a word with one of its prefixes,
-    every short token one of its forms, and every phrase occurs. Queries without groups are a
-    stated set against all rows.
+    every short token one of its forms, and every phrase occurs. A query is entered by its rarest group.
     """
     rows = with_text(products)
-    wanted = plan.select("query_id", F.size("groups").alias("_n"), F.explode("groups").alias("g")).select("query_id", "_n", "g.pos", F.explode("g.parts").alias("part"))
-    wanted = wanted.withColumn("_p", F.substring("part", 1, PREFIX))
-    words = rows.select(*PKEY, F.explode(F.array_distinct(words_of(F.col("search_text")))).alias("word")).where(F.length("word") >= PREFIX)
-    hits = words.withColumn("_p", F.substring("word", 1, PREFIX)).join(wanted, "_p").where(F.col("word").startswith(F.col("part")))
-    whole = hits.groupBy("query_id", *PKEY).agg(F.countDistinct("pos").alias("_m"), F.first("_n").alias("_n")).where("_m = _n").drop("_m", "_n")
-    checks = plan.select("query_id", "shorts", "phrases", F.size("groups").alias("_n"))
-    grouped = whole.join(rows, PKEY).join(checks, "query_id")
-    loose = rows.join(checks.where("_n = 0 and (size(shorts) > 0 or size(phrases) > 0)"), F.lit(True))
-    text = F.col("search_text")
-    fits = F.forall("shorts", lambda fs: F.exists(fs, lambda f: has_form(text, f))) & F.forall("phrases", lambda p: text.contains(p))
-    every = grouped.unionByName(loose.select(*grouped.columns)).where(fits)
-    return every.drop("shorts", "phrases", "_n")
+    return _fulltext_keys(plan, rows).join(rows, PKEY)
 
 
-def match_like(plan: DataFrame, products: DataFrame, matched: DataFrame) -> DataFrame:
-    """Q12: for queries without a match, rows whose text holds a form of every token as a substring."""
-    lost = plan.join(matched.select("query_id").distinct(), "query_id", "left_anti").where(F.size("scoring") > 0).select("query_id", "scoring")
+def _like_keys(plan: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(query_id, key) of Q12 for queries that ``found`` has no rows of."""
+    lost = plan.join(found.select("query_id").distinct(), "query_id", "left_anti").where(F.size("scoring") > 0).select("query_id", "scoring")
+    forms = lambda x: F.array_distinct(F.concat(F.array(x["token"], x["stemmed"]), x["synonyms"]))
+    groups = F.transform("scoring", forms)
+    lost = staged(lost.select("query_id", groups.alias("_groups")))
+    asked = lost.select("query_id", F.posexplode("_groups").alias("group", "f")).select("query_id", "group", F.explode("f").alias("form"))
     text = F.col("search_text")
-    forms = lambda x: F.concat(F.array(x["token"], x["stemmed"]), x["synonyms"])
-    fits = F.forall("scoring", lambda x: F.exists(forms(x), lambda f: text.contains(f)))
-    return with_text(products).join(lost, F.lit(True)).where(fits).drop("scoring")
+    fits = F.forall("_groups", lambda g: F.exists(g, lambda f: text.contains(f)))
+    near = holding(asked, rows, PKEY, "search_text").join(rows.select(*PKEY, "search_text"), PKEY)
+    return near.join(lost, "query_id").where(fits).select("query_id", *PKEY).distinct()
 
 
-def filter_products(rows: DataFrame) -> DataFrame:
-    """Q11: rows that pass their query's filters (columns q_brand, q_colour, q_category as arrays of
-    lower-case values or null; min_price, max_price, on_sale, q_in_stock) and are active.
+def match_like(plan: DataFrame, products: DataFrame, matched: DataFrame) -> DataFrame:
+    """Q12: for queries without a match, rows whose text holds a form of every token as a substring. The forms' grams
+    lead to the rows; a query is entered by its rarest token.
     """
+    rows = with_text(products)
+    return _like_keys(plan, rows, matched).join(rows, PKEY)
+
+
+def _tests(listed_by: tuple[str, ...] = ("brand", "colour", "category")) -> tuple[dict[str, Column], Column]:
+    """Whether a row passes the filter of each listed dimension, and all other filters and being active."""
     listed = lambda name, wanted: F.coalesce(F.size(wanted) <= 0, F.lit(True)) | F.array_contains(wanted, F.lower(F.coalesce(F.col(name), F.lit(""))))
     path = F.lower(F.coalesce(F.col("category"), F.lit("")))
     subtree = F.coalesce(F.size("q_category") <= 0, F.lit(True)) | F.exists("q_category", lambda c: (path == c) | path.startswith(F.concat(c, F.lit(" > "))))
@@ -218,7 +240,16 @@ def filter_products(rows: DataFrame) -> DataFrame:
     high = ~(F.coalesce("max_price", F.lit(0.0)) > 0) | (F.col("price") <= F.col("max_price"))
     sale = ~F.coalesce("on_sale", F.lit(False)) | ((F.col("original_price") > F.col("price")) & (F.col("price") > 0))
     stock = ~F.coalesce("q_in_stock", F.lit(False)) | (F.col("in_stock") == 1)
-    return rows.where((F.col("status") == ACTIVE) & listed("brand", F.col("q_brand")) & listed("colour", F.col("q_colour")) & subtree & low & high & sale & stock)
+    by = {"brand": listed("brand", F.col("q_brand")), "colour": listed("colour", F.col("q_colour")), "category": subtree}
+    return {n: by[n] for n in listed_by}, (F.col("status") == ACTIVE) & low & high & sale & stock
+
+
+def filter_products(rows: DataFrame) -> DataFrame:
+    """Q11: rows that pass their query's filters (columns q_brand, q_colour, q_category as arrays of
+    lower-case values or null; min_price, max_price, on_sale, q_in_stock) and are active.
+    """
+    by, rest = _tests()
+    return rows.where(rest & by["brand"] & by["colour"] & by["category"])
 
 
 def _wrong_gender() -> Column:
@@ -289,7 +320,7 @@ def score(cands: DataFrame) -> DataFrame:
 
 def rank(cands: DataFrame) -> DataFrame:
     """Q17: ``place`` in each query by its sort (relevance, price_asc, price_desc, discount, newest),
-    then score, external_id and feed_id.
+    then score, external_id and feed_id. No task holds more of a query than a range of its rows.
     """
     sort = F.coalesce(F.col("sort"), F.lit("relevance"))
     off = F.when((F.col("original_price") > F.col("price")) & (F.col("price") > 0), (F.col("original_price") - F.col("price")) / F.col("original_price")).otherwise(0.0)
@@ -297,8 +328,14 @@ def rank(cands: DataFrame) -> DataFrame:
         F.when(sort == "price_asc", F.col("price")).asc_nulls_last(), F.when(sort == "price_desc", F.col("price")).desc_nulls_last(),
         F.when(sort == "discount", off).desc_nulls_last(), F.when(sort == "newest", F.col("last_updated")).desc_nulls_last(),
     ]
-    window = Window.partitionBy("query_id").orderBy(*keys, F.desc("score"), "external_id", "feed_id")
-    return cands.withColumn("place", F.row_number().over(window))
+    order = [*keys, F.desc("score"), F.asc("external_id"), F.asc("feed_id")]
+    # sampled split points deal the rows into ranges of the whole order; a place is the rows in ranges before it, and those in its own
+    dealt = staged(cands.repartitionByRange(F.asc("query_id"), *order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("query_id", "_range").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy("query_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("query_id", "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("query_id", "_range").orderBy(*order))
+    return dealt.withColumn("_own", own).join(starts, ["query_id", "_range"]).withColumn("place", (F.col("_start") + F.col("_own")).cast("int")).drop("_start", "_own", "_range")
 
 
 def variant_key() -> list[Column]:
@@ -307,14 +344,18 @@ def variant_key() -> list[Column]:
 
 def dedup_variants(ranked: DataFrame) -> DataFrame:
     """Q18: the first of each (size-stripped name, colour) in rank order; no colour is one key."""
-    first = Window.partitionBy("query_id", *variant_key()).orderBy("place")
-    return ranked.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    name, colour = variant_key()
+    row = F.struct(*[F.col(f"`{c}`") for c in ranked.columns])
+    best = ranked.groupBy("query_id", name.alias("_name"), colour.alias("_colour")).agg(F.min_by(row, "place").alias("_row"))
+    return best.select("_row.*")
 
 
 def page(ranked: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Q19: places offset + 1 to offset + limit of each query, counted anew."""
+    """Q19: places offset + 1 to offset + limit of each query, counted anew. The first of parts are taken before those of the whole."""
+    part = F.pmod("place", F.lit(64))
+    few = ranked.withColumn("_k", F.row_number().over(Window.partitionBy("query_id", part).orderBy("place"))).where(F.col("_k") <= offset + limit).drop("_k")
     window = Window.partitionBy("query_id").orderBy("place")
-    return ranked.withColumn("place", F.row_number().over(window)).where((F.col("place") > offset) & (F.col("place") <= offset + limit))
+    return few.withColumn("place", F.row_number().over(window)).where((F.col("place") > offset) & (F.col("place") <= offset + limit))
 
 
 def totals(matches: DataFrame) -> DataFrame:
@@ -327,35 +368,25 @@ def facets(rows: DataFrame, top: int = FACET_SIZE) -> DataFrame:
     """Q21, Q22: values of brand, colour and category with their variant counts, each without its
     own filter, the ``top`` of each; and the price range with all filters (dimension price).
     """
-    none = F.lit(None).cast("array<string>")
-    parts = []
-    for name in ("brand", "colour", "category"):
-        open_rows = filter_products(rows.withColumn(f"q_{name}", none)).where(non_empty(F.col(name)).isNotNull())
-        value, (base, colour) = F.lower(F.col(name)), variant_key()
-        counted = open_rows.select("query_id", value.alias("value"), base.alias("b"), colour.alias("c")).distinct().groupBy("query_id", "value").agg(F.count("*").alias("n"))
-        window = Window.partitionBy("query_id").orderBy(F.desc("n"), "value")
-        parts.append(counted.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= top).select("query_id", F.lit(name).alias("dimension"), "value", "n"))
-    span = filter_products(rows).where("price > 0").groupBy("query_id").agg(F.min("price").alias("lo"), F.max("price").alias("hi"))
-    bounds = span.select("query_id", F.explode(F.array(F.struct(F.lit("min").alias("value"), F.col("lo").alias("n")), F.struct(F.lit("max").alias("value"), F.col("hi").alias("n")))).alias("x"))
-    parts.append(bounds.select("query_id", F.lit("price").alias("dimension"), "x.value", F.col("x.n").cast("long").alias("n")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def edit_distance(a: str, b: str) -> int:
-    """Edits between two words, a swap of neighbours counting as one."""
-    before, last = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            best = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, before[j - 2] + 1)
-            row.append(best)
-        before, last = last, row
-    return last[-1]
+    names = ("brand", "colour", "category")
+    passes, rest = _tests(names)
+    base, colour = variant_key()
+    entry = lambda n, value, b, c, price: F.struct(F.lit(n).alias("dimension"), value.alias("value"), b.alias("b"), c.alias("c"), price.cast("double").alias("price"))
+    none = F.lit(None).cast("string")
+    made = []
+    for name in names:
+        others = [passes[n] for n in names if n != name]
+        made.append(F.when(others[0] & others[1] & non_empty(F.col(name)).isNotNull(), entry(name, F.lower(F.col(name)), base, colour, F.lit(None))))
+    made.append(F.when(passes["brand"] & passes["colour"] & passes["category"] & (F.col("price") > 0), entry("price", none, none, none, F.col("price"))))
+    # one scan: each row says to which dimensions it counts, each without its own filter
+    entries = rows.where(rest).select("query_id", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("x")).select("query_id", "x.*")
+    variants = entries.groupBy("query_id", "dimension", "value", "b", "c").agg(F.min("price").alias("lo"), F.max("price").alias("hi"))
+    counted = variants.groupBy("query_id", "dimension", "value").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    window = Window.partitionBy("query_id", "dimension").orderBy(F.desc("n"), "value")
+    best = counted.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= top)
+    value = lambda v, n: F.struct(v.alias("value"), n.cast("long").alias("n"))
+    listed = F.when(F.col("dimension") == "price", F.array(value(F.lit("min"), F.col("lo")), value(F.lit("max"), F.col("hi")))).otherwise(F.array(value(F.col("value"), F.col("n"))))
+    return best.select("query_id", "dimension", F.explode(listed).alias("x")).select("query_id", "dimension", "x.value", "x.n")
 
 
 def did_you_mean(q: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -365,16 +396,7 @@ def did_you_mean(q: DataFrame, vocab: DataFrame) -> DataFrame:
     tokens = q.select("query_id", F.posexplode("tokens").alias("pos", "token"))
     unknown = tokens.where(F.length("token") >= 4).join(vocab.select("token"), "token", "left_anti").select("token").distinct()
     unknown = unknown.withColumn("most", F.least(F.lit(2), F.floor(F.length("token") / 4)).cast("int"))
-    blocked = unknown.withColumn("len", F.explode(F.sequence(F.length("token") - F.col("most"), F.length("token") + F.col("most"))))
-    words = vocab.select(F.col("token").alias("word"), "freq", F.length("token").alias("len"))
-    close = blocked.join(words, "len").where((F.levenshtein("token", "word", 4) >= 0) & (F.levenshtein("token", "word") <= F.col("most") * 2))
-
-    @F.pandas_udf("int")
-    def distance(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in parts:
-            yield pd.Series([edit_distance(x, y) for x, y in zip(a, b)], dtype="int32")
-
-    close = close.withColumn("d", distance("token", "word")).where("d <= most")
+    close = near_words(unknown, vocab.select(F.col("token").alias("word"), "freq"))
     best = close.groupBy("token").agg(F.min(F.struct("d", (-F.col("freq")).alias("f"), "word"))["word"].alias("word"))
     fixed = tokens.join(best, "token", "left").withColumn("changed", F.col("word").isNotNull())
     row = F.struct("pos", F.coalesce("word", "token").alias("w"))
@@ -384,9 +406,12 @@ def did_you_mean(q: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def candidates(plan: DataFrame, products: DataFrame, fallback: bool = True) -> DataFrame:
     """Matches with their query's columns, filtered (Q8-Q12)."""
-    matched = match_fulltext(plan, products.where(F.col("status") == ACTIVE))
+    rows = with_text(products.where(F.col("status") == ACTIVE))
+    keys = _fulltext_keys(plan, rows)
     if fallback:
-        matched = matched.unionByName(match_like(plan, products.where(F.col("status") == ACTIVE), matched).select(*matched.columns))
+        keys = staged(keys)
+        keys = keys.unionByName(_like_keys(plan, rows, keys))
+    matched = keys.join(rows, PKEY)
     wanted = plan.select("query_id", "scoring", "phrases", "male", "female", "gendered", "min_price", "max_price", "on_sale", *[c for c in plan.columns if c.startswith("q_") or c == "sort"])
     for name, kind in (("q_brand", "array<string>"), ("q_colour", "array<string>"), ("q_category", "array<string>"), ("q_in_stock", "boolean"), ("sort", "string")):
         if name not in wanted.columns:
@@ -405,12 +430,20 @@ def search_simple(q: DataFrame, products: DataFrame) -> DataFrame:
     """Q25: substring in name, brand, category or feed name; of each (name, colour) the smallest
     (external_id, feed_id), rows without colour all kept.
     """
-    has = [F.lower(F.coalesce(F.col(c), F.lit(""))).contains(F.lower("text")) for c in ("product_name", "brand", "category", "feed_name")]
-    hit = products.where(F.col("status") == ACTIVE).join(q.select("query_id", "text"), has[0] | has[1] | has[2] | has[3])
-    plain = hit.where(non_empty(F.col("colour")).isNull())
-    window = Window.partitionBy("query_id", "product_name", "colour").orderBy("external_id", "feed_id")
-    one = hit.where(non_empty(F.col("colour")).isNotNull()).withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
-    return plain.unionByName(one)
+    fields = ("product_name", "brand", "category", "feed_name")
+    low = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in fields]
+    rows = products.where(F.col("status") == ACTIVE).withColumn("_text", F.concat_ws("\n", *low))
+    asked = q.where(F.col("text").isNotNull()).select("query_id", F.lit(0).alias("group"), F.lower("text").alias("form"))
+    near = holding(asked, rows, PKEY, "_text").join(asked.select("query_id", "form"), "query_id").join(rows, PKEY)
+    hit = near.where(F.exists(F.array(*low), lambda t: t.contains(F.col("form")))).drop("_text").withColumnRenamed("form", "text")
+    plain = non_empty(F.col("colour")).isNull()
+    # the first of a (name, colour) is an aggregate; rows without colour are groups of their own
+    own = F.when(plain, F.struct(*PKEY))
+    row = F.struct(*[F.col(f"`{c}`") for c in hit.columns])
+    best = hit.groupBy("query_id", F.when(~plain, F.col("product_name")).alias("_name"), F.when(~plain, F.col("colour")).alias("_colour"), own.alias("_own")).agg(
+        F.min_by(row, F.struct("external_id", "feed_id")).alias("_row")
+    )
+    return best.select("_row.*")
 
 
 #: Points of Q26 by where all tokens are found, and for each token.

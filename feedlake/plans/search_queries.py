@@ -67,11 +67,44 @@ def _phrases(s, d):
     return q.extract_phrases(e).withColumn("phrases", F.array_join("phrases", "|"))
 
 
+def _parts(s, d):
+    """Rows of parts whose id is divisible by 20, with the two words of their names."""
+    word = lambda k: F.split("p_name", " ")[k]
+    return s.read.parquet(f"{d}/part.parquet").where(F.col("p_partkey") % 20 == 0).select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("name"), word(0).alias("a"), word(1).alias("b"))
+
+
+def _plan_of(s, d, text):
+    return q.prepare(_parts(s, d).select("query_id", F.expr(text).alias("text")), q.default_synonyms(s), known_brands(products(s, d)))
+
+
+#: Names, names with a gender word for two in three, and pieces from inside the words of names.
+_NAMES = "name"
+_GENDERED = "name || CASE query_id % 60 WHEN 0 THEN ' damen' WHEN 20 THEN ' herren' ELSE '' END"
+_PIECES = "substring(a, 2, 5) || ' ' || substring(b, 2, 5)"
+
+
+def _lost(s, d):
+    plan = _plan_of(s, d, _PIECES)
+    return q.match_like(plan, products(s, d), q.match_fulltext(plan, products(s, d)))
+
+
+def _expanded(s, d):
+    asked_for = _parts(s, d).select("query_id", F.expr(_GENDERED).alias("text"))
+    found = q.expand(q.tokenize(q.extract_phrases(q.parse_queries(asked_for))), q.default_synonyms(s), known_brands(products(s, d)))
+    return found.select("query_id", "pos", "token", "stemmed", F.array_join(F.array_sort("forms"), "|").alias("forms"), F.array_join("synonyms", "|").alias("synonyms"))
+
+
+def _roles(s, d):
+    return _plan_of(s, d, _GENDERED).select("query_id", *[F.col(c).cast("int").alias(c) for c in ("male", "female", "gendered")], F.size("scoring").alias("scoring"))
+
+
 def _typos(s, d):
-    words = products(s, d).select(F.split("product_name", " ")[1].alias("w"), "feed_id").distinct()
-    wrong = F.concat(F.substring("w", 1, 2), F.substring("w", 4, 1), F.substring("w", 3, 1), F.substring("w", 5, 20))
-    asked_for = words.select(F.xxhash64("w", "feed_id").alias("query_id"), F.array(wrong).alias("tokens"))
-    return q.did_you_mean(asked_for, build_vocab(products(s, d), stops(s)))
+    """Every part's name with a slip in each word: two letters swapped, one left out, or one put in."""
+    i = F.col("p_partkey") % 3
+    slip = lambda w: F.when(i == 0, F.concat(F.substring(w, 1, 2), F.substring(w, 4, 1), F.substring(w, 3, 1), F.substring(w, 5, 99))).when(
+        i == 1, F.concat(F.substring(w, 1, 3), F.substring(w, 5, 99))).otherwise(F.concat(F.substring(w, 1, 2), F.lit("x"), F.substring(w, 3, 99)))
+    parts = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("query_id"), F.transform(F.split("p_name", " "), slip).alias("tokens"))
+    return q.did_you_mean(parts, build_vocab(products(s, d), stops(s)))
 
 
 QUERIES = {
@@ -80,11 +113,12 @@ QUERIES = {
     "q3_tokenize": lambda s, d: _tokens(s, d).groupBy("query_id", "token").agg(F.count("*").alias("n")),
     "q4_stem": lambda s, d: _tokens(s, d).select("token", q.stem(F.col("token")).alias("stemmed")).distinct(),
     "q5_umlauts": lambda s, d: _tokens(s, d).select("token", q.fold_umlauts(F.col("token")).alias("folded"), q.unfold_umlauts(F.col("token")).alias("unfolded")).distinct(),
-    "q6_expand": lambda s, d: q.expand(q.tokenize(q.extract_phrases(q.parse_queries(asked(s)))), q.default_synonyms(s), known_brands(products(s, d))),
-    "q7_split_gender": lambda s, d: plan(s, d).select("query_id", "male", "female", "gendered", F.size("scoring").alias("scoring")),
+    "q6_expand": _expanded,
+    "q7_split_gender": _roles,
+    "q8_match_names": lambda s, d: q.match_fulltext(_plan_of(s, d, _NAMES), products(s, d)).select("query_id", "feed_id", "external_id"),
     "q8_match_fulltext": lambda s, d: _matched(s, d).select("query_id", "feed_id", "external_id"),
     "q11_filter_products": lambda s, d: q.filter_products(_candidates(s, d)).select("query_id", "feed_id", "external_id"),
-    "q12_match_like": lambda s, d: q.match_like(plan(s, d), products(s, d), _matched(s, d)).select("query_id", "feed_id", "external_id"),
+    "q12_match_like": lambda s, d: _lost(s, d).select("query_id", "feed_id", "external_id"),
     "q13_filter_gender": lambda s, d: q.filter_gender(_candidates(s, d).withColumn("search_text", F.concat("search_text", F.when(F.col("feed_id") % 3 == 0, " herren").otherwise(" x")))).select("query_id", "feed_id", "external_id"),
     "q15_score": lambda s, d: _scored(s, d).select("query_id", "feed_id", "external_id", "score"),
     "q17_rank": lambda s, d: q.rank(_scored(s, d)).select("query_id", "feed_id", "external_id", "place"),
@@ -96,6 +130,7 @@ QUERIES = {
     "q24_search": lambda s, d: _searched(s, d).select("query_id", "place", "feed_id", "external_id", "score", "tier"),
     "q26_search_weighted": lambda s, d: q.search_weighted(plan(s, d), products(s, d)),
     "q25_search_simple": lambda s, d: q.search_simple(asked(s), products(s, d)).select("query_id", "feed_id", "external_id"),
+    "q25_search_pieces": lambda s, d: q.search_simple(_parts(s, d).select("query_id", F.substring("name", 2, 7).alias("text")), products(s, d)).select("query_id", "feed_id", "external_id"),
 }
 
 #: The same queries taken apart by hand: groups of prefixes, short forms, phrases, filters.
@@ -186,6 +221,22 @@ def _replaced(pairs):
     return out
 
 
+#: Queries of parts: tokens with their stems, forms (token, stem, synonyms) and whether they are long.
+_PAIRS = "syn(token, synonym) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for g in q.SYNONYM_SETS for a in g for b in g if a != b) + ")"
+_ASKED = f"""asked AS (SELECT p_partkey AS query_id, %s AS text FROM part WHERE p_partkey % 20 = 0),
+  split AS (SELECT query_id, unnest(string_split(text, ' ')) AS token, unnest(generate_series(0, len(string_split(text, ' ')) - 1))::INT AS pos FROM asked),
+  tok AS (SELECT query_id, pos, token, {_STEM} AS stemmed FROM split)"""
+_ASKED = _ASKED.replace("p_partkey % 20", "p_partkey %% 20").replace("LIKE '%", "LIKE '%%")
+_SQL_GENDERED = "p_name || CASE p_partkey % 60 WHEN 0 THEN ' damen' WHEN 20 THEN ' herren' ELSE '' END"
+_SQL_PIECES = "substr(split_part(p_name, ' ', 1), 2, 5) || ' ' || substr(split_part(p_name, ' ', 2), 2, 5)"
+#: Rows where every token is met: a long one by a word's beginning, a short one as a substring. Queries of one text share its rows.
+_MET = f"""{_PAIRS}, rows AS (SELECT feed_id, external_id, {_TEXT} AS t FROM products), texts AS (SELECT text, min(query_id) AS one FROM asked GROUP BY text),
+  form AS (SELECT query_id, pos, length(token) >= 4 AS long, token AS form FROM tok UNION SELECT query_id, pos, length(token) >= 4, stemmed FROM tok
+    UNION SELECT query_id, pos, length(tok.token) >= 4, synonym FROM tok JOIN syn ON syn.token IN (tok.token, tok.stemmed)),
+  near AS (SELECT DISTINCT one, pos, long, form FROM form JOIN texts ON one = query_id WHERE NOT long OR length(form) >= 4),
+  hit AS (SELECT one, feed_id, external_id, pos FROM near JOIN rows ON CASE WHEN long THEN regexp_matches(t, '(^|[^a-z0-9])' || form) ELSE contains(t, form) END GROUP BY ALL),
+  met AS (SELECT one, feed_id, external_id FROM hit GROUP BY ALL HAVING count(DISTINCT pos) = 2)"""
+
 ORACLE_SQL = {
     "q1_parse_queries": """SELECT event_id AS query_id, CASE event_id % 4 WHEN 0 THEN 'red shoe' WHEN 1 THEN 'hat' WHEN 2 THEN 'coat now' ELSE 'plain words' END AS query,
       CASE event_id % 4 WHEN 0 THEN least(10, event_id % 90 + 1) WHEN 2 THEN event_id % 60 END AS min_price,
@@ -194,6 +245,33 @@ ORACLE_SQL = {
     "q3_tokenize": f"WITH {_SQL_TOKENS} SELECT query_id, token, count(*) AS n FROM tokens GROUP BY ALL",
     "q4_stem": f"WITH {_SQL_TOKENS} SELECT DISTINCT token, {_STEM} AS stemmed FROM tokens",
     "q5_umlauts": f"WITH {_SQL_TOKENS} SELECT DISTINCT token, {_replaced(q.UMLAUTS)} AS folded, {_replaced((b, a) for a, b in q.UMLAUTS)} AS unfolded FROM tokens",
+    "q6_expand": f"""WITH {_ASKED % _SQL_GENDERED}, {_PAIRS},
+      forms AS (SELECT *, list_sort(list_distinct([token, stemmed, {_replaced(q.UMLAUTS)}, {_replaced(q.UMLAUTS).replace("token", "stemmed")}, {_replaced((b, a) for a, b in q.UMLAUTS)}, {_replaced((b, a) for a, b in q.UMLAUTS).replace("token", "stemmed")}])) AS forms FROM tok),
+      found AS (SELECT query_id, pos, list_sort(list(DISTINCT synonym)) AS l FROM forms f JOIN syn ON list_contains(f.forms, syn.token) AND synonym <> f.token GROUP BY ALL)
+      SELECT f.query_id, f.pos, token, stemmed, array_to_string(forms, '|') AS forms, coalesce(array_to_string(l, '|'), '') AS synonyms FROM forms f LEFT JOIN found USING (query_id, pos)""",
+    "q7_split_gender": """SELECT p_partkey AS query_id, (p_partkey % 60 = 20)::INT AS male, (p_partkey % 60 = 0)::INT AS female, (p_partkey % 60 IN (0, 20))::INT AS gendered, 2 AS scoring
+      FROM part WHERE p_partkey % 20 = 0""",
+    "q8_match_names": with_views(f"WITH {_ASKED % 'p_name'}, {_MET} SELECT query_id, feed_id, external_id FROM asked JOIN texts USING (text) JOIN met USING (one)", "products"),
+    "q12_match_like": with_views(
+        f"""WITH {_ASKED % _SQL_PIECES}, {_MET}, lost AS (SELECT * FROM texts WHERE one NOT IN (SELECT one FROM met)),
+        sub AS (SELECT one, feed_id, external_id, pos FROM (SELECT DISTINCT one, pos, form FROM form JOIN lost ON one = query_id) JOIN rows ON contains(t, form) GROUP BY ALL)
+        SELECT query_id, feed_id, external_id FROM asked JOIN lost USING (text) JOIN (SELECT one, feed_id, external_id FROM sub GROUP BY ALL HAVING count(DISTINCT pos) = 2) USING (one)""", "products"),
+    "q23_did_you_mean": with_views(
+        """WITH a AS (SELECT * FROM products WHERE status = 'active'), b AS (SELECT DISTINCT lower(trim(brand)) AS token FROM a WHERE length(lower(trim(brand))) >= 3),
+        w AS (SELECT unnest(regexp_split_to_array(lower(product_name), '[^\\p{L}\\p{N}]+')) AS token FROM a),
+        e AS (SELECT token, 100 AS freq FROM b UNION ALL SELECT token, count(*) FROM w WHERE length(token) >= 4 AND token NOT IN ('with', 'from') GROUP BY token),
+        vocab AS (SELECT token AS word, sum(freq)::BIGINT AS freq FROM e GROUP BY token HAVING sum(freq) >= 3),
+        s AS (SELECT p_partkey, unnest([1, 2]) AS pos, split_part(p_name, ' ', unnest([1, 2])) AS w FROM part),
+        t AS (SELECT p_partkey, pos, CASE p_partkey % 3 WHEN 0 THEN substr(w, 1, 2) || substr(w, 4, 1) || substr(w, 3, 1) || substr(w, 5) WHEN 1 THEN substr(w, 1, 3) || substr(w, 5) ELSE substr(w, 1, 2) || 'x' || substr(w, 3) END AS token FROM s),
+        u AS (SELECT DISTINCT token FROM t WHERE length(token) >= 4 AND token NOT IN (SELECT word FROM vocab)),
+        n AS (SELECT token, word FROM (SELECT token, word, freq, damerau_levenshtein(token, word) AS d FROM u JOIN vocab ON abs(length(token) - length(word)) <= 2)
+          WHERE d <= least(2, length(token) // 4) QUALIFY row_number() OVER (PARTITION BY token ORDER BY d, freq DESC, word) = 1)
+        SELECT p_partkey AS query_id, CASE WHEN count(word) > 0 THEN string_agg(coalesce(word, t.token), ' ' ORDER BY pos) END AS suggestion FROM t LEFT JOIN n ON n.token = t.token GROUP BY p_partkey""", "products"),
+    "q25_search_pieces": with_views(
+        """WITH a AS (SELECT p_partkey AS query_id, substr(p_name, 2, 7) AS text FROM part WHERE p_partkey % 20 = 0), d AS (SELECT DISTINCT text FROM a),
+        h AS (SELECT d.text, p.* FROM products p JOIN d ON p.status = 'active' AND (contains(lower(coalesce(product_name, '')), text) OR contains(lower(coalesce(brand, '')), text) OR contains(lower(coalesce(category, '')), text) OR contains(lower(coalesce(feed_name, '')), text))),
+        k AS (SELECT text, feed_id, external_id FROM h WHERE colour = '' UNION ALL SELECT text, feed_id, external_id FROM (SELECT * FROM h WHERE colour <> '' QUALIFY row_number() OVER (PARTITION BY text, product_name, colour ORDER BY external_id, feed_id) = 1))
+        SELECT query_id, feed_id, external_id FROM a JOIN k USING (text)""", "products"),
     "q8_match_fulltext": with_views(f"WITH {_MATCH} SELECT query_id, feed_id, external_id FROM m", "products"),
     "q11_filter_products": with_views(f"WITH {_FILTERED} SELECT query_id, feed_id, external_id FROM f", "products"),
     "q13_filter_gender": with_views(f"WITH {_OPEN} SELECT query_id, feed_id, external_id FROM c WHERE query_id <> 6 OR feed_id % 3 <> 0", "products"),
