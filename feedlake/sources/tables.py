@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedlake.functions.values import non_empty
 from feedlake.operators.normalize import from_product_rows
-
-POINTER = "_current"
+from feedlake.sources import manifest
 
 
 def write_products(df: DataFrame, path: str) -> None:
@@ -22,35 +20,38 @@ def write_products(df: DataFrame, path: str) -> None:
 
 
 def current_version(spark: SparkSession, base: str) -> int | None:
-    """None only if there is no pointer yet; any other failure to read it is an error."""
-    try:
-        pointer = spark.read.text(f"{base}/{POINTER}")
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    return pointer.agg(F.max(F.col("value").cast("int"))).first()[0]
+    """None only if nothing is published yet; any failure to look is an error."""
+    return manifest.current(spark, base).number or None
 
 
-def publish_snapshot(df: DataFrame, base: str, on_complete: Callable[[DataFrame], object] | None = None) -> int:
-    """Write the next version beside the current one, refuse an empty one, then move the pointer.
+def publish_snapshot(
+    df: DataFrame, base: str, on_complete: Callable[[DataFrame], object] | None = None, based_on: int | None = None
+) -> int:
+    """The whole table as the next version; an empty one is refused. A reader sees the old or the new version, and of
+    two writers the second gets the number after the first's. ``based_on``: the version that ``df`` was made
+    from; Conflict if another one came between. Changes of what is there go through ``publish_change``.
 
-    The pointer file is written last and only added to, so a reader sees the old or the new version.
     ``on_complete`` (X3) takes the published table once readers see it.
     """
     spark = df.sparkSession
-    version = (current_version(spark, base) or 0) + 1
-    df.write.mode("overwrite").parquet(f"{base}/v={version}")
-    if spark.read.parquet(f"{base}/v={version}").isEmpty():
-        raise ValueError("an empty snapshot is not published")
-    spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("append").text(f"{base}/{POINTER}")
+    version = manifest.commit(spark, base, lambda _: df, based_on=based_on, allow_empty=False)
     if on_complete is not None:
-        on_complete(spark.read.parquet(f"{base}/v={version}"))
+        on_complete(read_snapshot(spark, base, version))
     return version
 
 
-def read_snapshot(spark: SparkSession, base: str) -> DataFrame:
-    return spark.read.parquet(f"{base}/v={current_version(spark, base)}")
+def publish_change(spark: SparkSession, base: str, make: Callable[[DataFrame | None], DataFrame], feed_ids: list | None = None) -> int:
+    """The next version, with the rows of ``feed_ids`` (None: of all feeds) replaced by what ``make`` gives for them. Only
+    these feeds are read and written; ``make`` is called again where another writer changed them.
+    """
+    return manifest.commit(spark, base, make, None if feed_ids is None else manifest.feed_names(feed_ids))
+
+
+def read_snapshot(spark: SparkSession, base: str, version: int | None = None) -> DataFrame:
+    found = manifest.read_feeds(spark, base, manifest.current(spark, base, version))
+    if found is None:
+        raise ValueError(f"nothing is published at {base}")
+    return found
 
 
 def compact_log(log: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
