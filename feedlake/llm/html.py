@@ -8,11 +8,14 @@ two pages or more, and beside it runs of whole blocks below that length are coun
 
 - PROTECTED, inside a marked-up article (or main element): stays. Quoted and copied articles are
   repeats too, and a suffix array alone would cut them.
-- SUSPECT, inside an article under a class or id that only begins like boilerplate ("share-price",
-  "comment-form"): goes if a repeat covers it, stays if it is the page's own.
+- SUSPECT, inside an article under a class or id that only begins like boilerplate ("share-price"): goes if a
+  repeat covers it, stays if it is the page's own. Where the name speaks of comments, adverts or consent
+  ("comment-list", "reader-comments", "google-ad"), its container is a token of the page's structure, which goes
+  into a second array: a container that another page of the host has in the same place goes with whatever
+  text it holds, one that only this page has stays. On a host of one page the name alone decides.
 - OPEN, on a page without such markup: what repeats cover goes, the unique runs stay.
-- DROPPED, in a menu, footer, sidebar, form, advert or comments by element, role or whole class
-  name, or outside the article of a page that has one: goes, but its text counts as a repeat for others.
+- DROPPED, in a menu, footer, sidebar, advert or comments by element, role or whole class name, in a form
+  whose fields outweigh its text, or outside the article of a page that has one: goes, but its text counts as a repeat for others.
 
 A host of more than GROUP_CHARS characters of html doesn't fit a task. There the same windows are
 compared in Spark by 64-bit key: every window has an anchor, the ANCHOR tokens in it with the
@@ -54,19 +57,30 @@ PIECE = re.compile(
     r"|<[a-zA-Z][^>]*\Z",
     re.S | re.I,
 )
+HIDDEN_FIELD = re.compile(r"""\btype\s*=\s*["']?hidden\b""", re.I)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
-NOT_TEXT = frozenset("nav footer aside form menu button select dialog head".split())
+NOT_TEXT = frozenset("nav footer aside menu button select dialog head".split())
+FIELDS = frozenset("input select button".split())
+#: A form of fewer words a field is one; a form around a page's text isn't.
+FIELD_WORDS = 12
 WITHIN_P = INLINE | {"br"}
 MARKED = frozenset(
     "ad ads advert advertisement advertising adverts banner sponsor sponsored promo promotion cookie cookies consent gdpr notice sidebar"
     " menu navbar nav navigation breadcrumb breadcrumbs header masthead footer comment comments respond disqus share sharing social"
     " related newsletter subscribe signup popup modal overlay widget login pagination pager toolbar".split()
 )
+#: Marks that a paragraph or heading can bear for what it tells.
+OF_CONTENT = frozenset("banner promo promotion notice header related social share sharing overlay widget menu navigation signup popup".split())
+TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote figcaption dt dd".split())
+#: What a container's name says of comments, adverts and consent wherever it stands in it, unless a word before denies it.
+SPEAKING = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored comment comments disqus respond newsletter consent gdpr".split())
+COOKIE_WORDS = frozenset("notice banner bar consent popup message policy warning info".split())
+DENIED = frozenset("no not without has is".split())
 #: "site-header" is marked as "header" is; "comments-open" tells how a page is set, not what an element holds.
 WHOLE_SITE = frozenset("site main primary secondary top bottom global".split())
 FLAGS = frozenset("open opened closed on off none free enabled disabled active inactive allowed".split())
@@ -89,28 +103,52 @@ def is_mark(name: str) -> bool:
     return bool(parts) and (parts[0] in MARKED or (len(parts) == 2 and parts[0] in WHOLE_SITE and parts[1] in MARKED))
 
 
-def marked_as(attributes: dict[str, str], main: bool = False, inside: bool = False) -> int:
-    """DROPPED, SUSPECT (``inside`` an article, by a name that only begins like a mark) or OPEN; class and
-    id don't count for a main element.
+def speaks(name: str) -> bool:
+    """Whether a class name or id of several words speaks of comments, adverts or consent."""
+    parts = [p.lower() for p in PARTS.findall(name)]
+    if len(parts) < 2 or parts[-1] in FLAGS or parts[0] in DENIED:
+        return False
+    return any(p in SPEAKING for p in parts) or (any(p in ("cookie", "cookies") for p in parts) and any(p in COOKIE_WORDS for p in parts))
+
+
+def marked_as(attributes: dict[str, str], main: bool = False, inside: bool = False, element: str = "div") -> int:
+    """DROPPED, SUSPECT (by a name that only begins like a mark, ``inside`` an article, or that speaks of
+    boilerplate) or OPEN; class and id don't count for a main element.
     """
     hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
     if hidden or attributes.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
         return DROPPED
     names = [] if main else f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    if element in TEXT_LEVEL:
+        names = [n for n in names if not OF_CONTENT & {p.lower() for p in PARTS.findall(n)[:1]}]
     if any(n.lower() in MARKED for n in names):
         return DROPPED
     if any(map(is_mark, names)):
         return SUSPECT if inside else DROPPED
-    return OPEN
+    return SUSPECT if any(map(speaks, names)) else OPEN
+
+
+def signature(name: str, attributes: dict[str, str]) -> str:
+    """An element as a token of a page's structure: its name, class and id without numbers."""
+    return f"{name}.{re.sub('[0-9]+', '', attributes.get('class', ''))}#{re.sub('[0-9]+', '', attributes.get('id', ''))}"
 
 
 def read_page(html: str) -> tuple[list[str], list[int]]:
     """All blocks of text in page order and what each of them is."""
+    blocks, kinds, _ = read_structure(html)
+    return blocks, kinds
+
+
+def read_structure(html: str) -> tuple[list[str], list[int], list[str]]:
+    """``read_page``, and for each SUSPECT block the outermost container that speaks of boilerplate, as the
+    signatures of what it stands in and of itself ("" for others).
+    """
     blocks: list[str] = []
     kinds: list[int] = []
     zones: list[str] = []
-    stack: list[tuple[str, str, int]] = []  # element, zone inside it, what its text is
-    zone, state, text, begun = "open", OPEN, [], set()
+    holders: list[str] = []
+    stack: list[tuple] = []  # element, zone inside it, what its text is, the container it is in, signature, blocks and fields before it
+    zone, state, holder, text, fields = "open", OPEN, "", [], 0
 
     def end_block() -> None:
         if text:
@@ -119,16 +157,24 @@ def read_page(html: str) -> tuple[list[str], list[int]]:
                 blocks.append(" ".join(words))
                 kinds.append(state)
                 zones.append(zone)
-                begun.add(zone if state else "")
+                holders.append(holder)
             text.clear()
 
+    def end_form(begun: int, before: int) -> None:
+        words = sum(b.count(" ") + 1 for b in blocks[begun:])
+        if words < FIELD_WORDS * (fields - before):
+            kinds[begun:] = [DROPPED] * (len(kinds) - begun)
+
     def close(depth: int) -> None:
-        nonlocal zone, state
-        below = stack[depth - 1] if depth else ("", "open", OPEN)
-        if below[1:] != (zone, state) or any(s[0] not in INLINE for s in stack[depth:]):
+        nonlocal zone, state, holder
+        below = stack[depth - 1][1:4] if depth else ("open", OPEN, "")
+        if below != (zone, state, holder) or any(s[0] not in INLINE for s in stack[depth:]):
             end_block()
+        for s in stack[depth:]:
+            if s[0] == "form":
+                end_form(*s[5:])
         del stack[depth:]
-        _, zone, state = below
+        zone, state, holder = below
 
     at = 0
     for m in PIECE.finditer(html):
@@ -139,6 +185,7 @@ def read_page(html: str) -> tuple[list[str], list[int]]:
         if name is None:
             if m[1]:
                 end_block()
+                fields += m[1].lower() == "textarea"
             continue
         name = name.lower()
         if m[2]:
@@ -146,6 +193,7 @@ def read_page(html: str) -> tuple[list[str], list[int]]:
             if depth is not None and (name not in INLINE or all(s[0] in INLINE for s in stack[depth:])):
                 close(depth)
             continue
+        fields += name in FIELDS and not HIDDEN_FIELD.search(m[4])
         if name in VOID:
             if name not in INLINE:
                 end_block()
@@ -161,9 +209,11 @@ def read_page(html: str) -> tuple[list[str], list[int]]:
             end_block()
         attributes = attributes_of(m[4]) if m[4].strip(" /") else {}
         main = name in ("article", "main") or attributes.get("role", "").lower() == "main"
-        mark = OPEN if name in ("html", "body") else marked_as(attributes, main, zone != "open")
+        mark = OPEN if name in ("html", "body") else marked_as(attributes, main, zone != "open", name)
+        begun, before = len(blocks), fields
         if main and mark == OPEN:
             end_block()
+            begun = len(blocks)
             zone, state = ("article" if name == "article" else "main" if zone == "open" else zone), OPEN
         else:
             if name in NOT_TEXT or (name == "header" and zone == "open"):
@@ -171,17 +221,26 @@ def read_page(html: str) -> tuple[list[str], list[int]]:
             if mark < state:
                 end_block()
                 state = mark
+                if mark == SUSPECT and any(map(speaks, f"{attributes.get('class', '')} {attributes.get('id', '')}".split())):
+                    holder = f"{stack[-1][4] if stack else ''}\n{signature(name, attributes)}"
+            begun = len(blocks)
         if m[4].endswith("/") and name not in INLINE:
-            _, zone, state = stack[-1] if stack else ("", "open", OPEN)
+            zone, state, holder = stack[-1][1:4] if stack else ("open", OPEN, "")
             continue
-        stack.append((name, zone, state))
+        stack.append((name, zone, state, holder, signature(name, attributes) if attributes else name, begun, before))
     if at < len(html):
         text.append(html[at:])
     end_block()
-    own = next((kind for kind in ("article", "main") if kind in begun), None)
+    for s in stack:
+        if s[0] == "form":
+            end_form(*s[5:])
+    there = {z for z, k in zip(zones, kinds) if k}
+    own = next((kind for kind in ("article", "main") if kind in there), None)
     if own is None:
-        return blocks, [max(k, OPEN) if k else DROPPED for k in kinds]
-    return blocks, [(PROTECTED if k == OPEN else k) if z == own else DROPPED for k, z in zip(kinds, zones)]
+        kinds = [OPEN if k == SUSPECT and not h else k for k, h in zip(kinds, holders)]
+    else:
+        kinds = [(PROTECTED if k == OPEN else k) if z == own else DROPPED for k, z in zip(kinds, zones)]
+    return blocks, kinds, [h if k == SUSPECT else "" for h, k in zip(holders, kinds)]
 
 
 def page_blocks(html: str) -> tuple[list[str], bool]:
@@ -248,10 +307,13 @@ def least_pages(tokens: int, pages: int) -> int:
 
 
 class Page:
-    """A page's streams: ``kept`` of what may stay, ``rest`` of what goes; ``open`` tells which tokens of ``kept`` may go."""
+    """A page's streams: ``kept`` of what may stay, ``rest`` of what goes; ``open`` tells which tokens of ``kept`` may go.
+    holders: the containers of the SUSPECT blocks.
+    """
 
-    def __init__(self, blocks: Iterable[str], kinds: str) -> None:
+    def __init__(self, blocks: Iterable[str], kinds: str, holders: Iterable[str] = ()) -> None:
         self.blocks = [(b, int(k)) for b, k in zip(blocks, kinds)]
+        self.holders = list(holders)
         own = [(b, k) for b, k in self.blocks if k != DROPPED]
         self.kept, self.rest = _words(b for b, _ in own), _words(b for b, k in self.blocks if k == DROPPED)
         sizes = [b.count(" ") + 1 for b, _ in own]
@@ -271,6 +333,16 @@ class Page:
             if kind == PROTECTED:
                 begin = at
 
+    def held(self) -> Iterator[tuple[int, int, str]]:
+        """First token in ``kept`` and end of each block in a container that speaks of boilerplate, and the container."""
+        at, holders = 0, iter(self.holders)
+        for block, kind in self.blocks:
+            if kind != DROPPED:
+                end = at + block.count(" ") + 1
+                if kind == SUSPECT and (holder := next(holders, "")):
+                    yield at, end, holder
+                at = end
+
     def run_texts(self) -> set[str]:
         """The runs that count for others: those of unprotected blocks and those of dropped ones."""
         return {run for _, _, run, _ in self.runs()} | {run for _, _, run in block_runs([b for b, k in self.blocks if k == DROPPED])}
@@ -282,9 +354,11 @@ class Page:
 
 def _page_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        read = [read_page(h) for h in batch["html"]]
-        blocks, kinds = pd.Series([b for b, _ in read], batch.index, object), ["".join(map(str, k)) for _, k in read]
-        yield batch.assign(page_id=batch["page_id"].astype("Int64"), blocks=blocks, kinds=kinds).drop(columns="html")
+        read = [read_structure(h) for h in batch["html"]]
+        lists = lambda rows: pd.Series(rows, batch.index, object)
+        blocks, kinds = lists([b for b, _, _ in read]), ["".join(map(str, k)) for _, k, _ in read]
+        holders = lists([[x for x, kind in zip(h, k) if kind == SUSPECT] for _, k, h in read])
+        yield batch.assign(page_id=batch["page_id"].astype("Int64"), blocks=blocks, kinds=kinds, holders=holders).drop(columns="html")
 
 
 def _words(blocks: Iterable[str]) -> list[str]:
@@ -295,10 +369,24 @@ def _texts(rows: pd.DataFrame, texts: list[str]) -> pd.DataFrame:
     return pd.DataFrame({"page_id": rows["page_id"].astype("Int64"), "url": rows["url"], "text": pd.array(texts, "object")})
 
 
+def repeated_containers(pages: list[tuple[int, Page]], many: int) -> set[str]:
+    """Of the containers that speak of boilerplate those that two pages have, by the suffix array of the pages' structure
+    tokens (what a container stands in, then itself); all of them on a host of one page.
+    """
+    found = [(number, holder) for number, page in pages for holder in dict.fromkeys(h for _, _, h in page.held())]
+    if many < 2 or not found:
+        return {h for _, h in found}
+    names: dict[str, int] = {}
+    outer, inner = ([names.setdefault(part, len(names)) for part in (h.split("\n")[k] for _, h in found)] for k in (0, 1))
+    tokens = np.stack([outer, inner, -1 - np.arange(len(found))], 1).ravel()  # the last ends a container, unlike any other token
+    again = repeated_tokens(tokens, np.repeat([n for n, _ in found], 3), 2)
+    return {h for (_, h), repeated in zip(found, again[::3]) if repeated}
+
+
 def _host_text(rows: pd.DataFrame) -> pd.DataFrame:
     """Texts of one host's pages, without what their streams repeat."""
     known: dict[str, int] = {}
-    read, ids, sizes = [Page(b, k) for b, k in zip(rows["blocks"], rows["kinds"])], [], []
+    read, ids, sizes = [Page(b, k, h) for b, k, h in zip(rows["blocks"], rows["kinds"], rows["holders"])], [], []
     number = {page: k for k, page in enumerate(dict.fromkeys(rows["page"]))}
     for k, page in enumerate(read):
         for stream in (page.kept, page.rest):
@@ -312,9 +400,13 @@ def _host_text(rows: pd.DataFrame) -> pd.DataFrame:
     for name, page in zip(rows["page"], read):
         for run in page.run_texts():
             on.setdefault(run, set()).add(name)
+    everywhere = repeated_containers([(number[name], page) for name, page in zip(rows["page"], read)], len(number))
     texts, at = [], 0
     for page, size in zip(read, sizes):
         own = gone[at : at + len(page.kept)]
+        for start, end, holder in page.held():
+            if holder in everywhere:
+                own[start:end] = True
         for start, end, run, kind in page.runs():
             if len(on[run]) >= (2 if kind == SUSPECT else least_pages(end - start, len(number))):
                 own[start:end] = True
@@ -366,8 +458,8 @@ def run_keys(runs: Iterable[str], host: int) -> np.ndarray:
 
 
 def _pages(batch: pd.DataFrame) -> Iterator[tuple[int, int, Page]]:
-    for page, host, blocks, kinds in zip(batch["page"], batch["host"], batch["blocks"], batch["kinds"]):
-        yield page, _host_number(host), Page(blocks, kinds)
+    for page, host, blocks, kinds, holders in zip(batch["page"], batch["host"], batch["blocks"], batch["kinds"], batch["holders"]):
+        yield page, _host_number(host), Page(blocks, kinds, holders)
 
 
 def _distinct(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -387,6 +479,7 @@ def _page_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             (_, a, wa), (_, b, wb) = windows_of(page, host)
             least = {run: 2 if kind == SUSPECT else least_pages(end - start, pages) for start, end, run, kind in page.runs()}
             more = sorted(page.run_texts() - set(least))
+            least |= {holder: min(2, pages) for _, _, holder in page.held()}
             out.append((name, *_distinct(np.concatenate([a, b]), np.concatenate([wa, wb])), run_keys(least, host), np.array([*least.values()], np.int64), run_keys(more, host)))
         yield pd.DataFrame(out, columns=["page", "wanted", "others", "runs", "least", "more"])
 
@@ -411,7 +504,7 @@ def _without_repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             starts = np.flatnonzero(np.isin(keys, np.asarray([] if windows is None else windows, np.int64)))
             steps[starts] += 1
             np.add.at(steps, starts + LONG, -1)
-            own = list(page.runs())
+            own = [*page.runs(), *page.held()]
             for k in np.flatnonzero(np.isin(run_keys([r[2] for r in own], host), np.asarray([] if runs is None else runs, np.int64))):
                 steps[own[k][0]] += 1
                 steps[own[k][1]] -= 1
@@ -454,7 +547,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     large = cut_lineage(hosts.where(F.col("chars") > GROUP_CHARS).select("host", "rows"))
     n_large = large.count()
     schema = "page_id long, url string, text string"
-    parsed = "page_id long, url string, host string, page long, blocks array<string>, kinds string"
+    parsed = "page_id long, url string, host string, page long, blocks array<string>, kinds string, holders array<string>"
     listed = F.broadcast(large) if n_large <= MAX_LISTED else large
     small = rows.join(listed, "host", "left_anti").mapInPandas(_page_blocks, parsed).groupBy("host").applyInPandas(_host_text, schema)
     if not n_large:

@@ -144,3 +144,79 @@ def test_null_urls_and_clashing_columns(spark):
     rows = [(i, None, f"<p>page {i}</p><div>{'the same words on all pages here ' * 6}</div>", "x", "y") for i in range(3)] + [(None, "http://h/", None, "x", "y")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, blocks string, kinds string")
     assert sorted(r["text"] for r in html.extract_text(df).collect()) == ["", "page 0", "page 1", "page 2"]
+
+
+def test_comments_and_adverts_with_own_text_go_by_their_containers(spark, monkeypatch):
+    """Unlike text in containers that other pages have in the same place; one that a single page has is its own."""
+    bodies = {
+        "comment-list": "<ul class='comment-list'><li id='comment-{i}'>I disagree, says Bob number {i}</li></ul>", "ad-slot": "<div class='ad-slot'>Buy the thing {i} now</div>",
+        "cookie-notice": "<div class='cookie-notice'>We set {i} cookies</div>", "reader-comments": "<section class='reader-comments'><p>Nice read {i}</p><p>Not mine {i}</p></section>",
+        "user-comments": "<div id='user-comments-{i}'>User {i} wrote this</div>", "google-ad": "<div class='box google-ad'>Offer number {i}</div>",
+    }
+    for shape in ("<article><p>own{i} text{i}</p>{body}</article>", "<div><p>own{i} text{i}</p>{body}</div>"):
+        for name, body in bodies.items():
+            page = lambda i, body=body: shape.format(i=i, body=body.format(i=i))
+            rows = [(i, f"http://h-{name}/{i}", page(i)) for i in range(3)] + [(9, f"http://alone-{name}/", page(9))]
+            rows.append((7, "http://h-other/7", page(7)))
+            rows += [(k, f"http://h-other/{k}", f"<article><p>own{k} text{k}</p></article>") for k in (20, 21)]
+            for limit in (html.GROUP_CHARS, 0):
+                monkeypatch.setattr(html, "GROUP_CHARS", limit)
+                found = texts(spark, rows)
+                assert {i: found[i] for i in (0, 1, 2, 9, 20)} == {i: f"own{i} text{i}" for i in (0, 1, 2, 9, 20)}, (shape, name)
+                if "<article>" in shape:
+                    assert found[7] != "own7 text7" and found[7].startswith("own7 text7")
+            monkeypatch.undo()
+
+
+def test_paragraphs_and_headings_keep_names_of_content():
+    page = "<article><p class='related'>A related finding</p><p class='social'>Social history of X</p><h2 class='banner'>Banner year for wheat</h2><div class='related'>More to read</div><p class='ad'>buy</p></article>"
+    assert kept(page) == "A related finding Social history of X Banner year for wheat"
+    for name in ("no-ads", "ad-free", "comments-open", "cookie-recipe", "commentary", "has-comments", "without-comments-here"):
+        assert kept(f"<article><p>a</p><div class='{name}'>b</div></article>") == ("a b" if name != "cookie-recipe" else "a"), name
+
+
+def test_forms_go_by_their_fields():
+    words = "a page of many words " * 20
+    assert kept(f"<form action='/x'><input type=hidden name=s><p>{words}</p><input name=q><button>Go</button></form>") == words.strip()
+    assert kept("<p>x</p><form>Your name <input> your mail <input><textarea>t</textarea><button>Send it</button></form><p>y</p>") == "x y"
+    assert kept(f"<form><article><p>{words}</p><form>Mail <input></form></article></form>") == words.strip()
+    assert kept("<article><form>Ask us <select><option>a</select></form></article><p>text</p>") == "text"
+
+
+def test_pages_against_a_tree():
+    """``read_page`` on random well-formed pages against a tree walk."""
+    rng = random.Random(9)
+    inline, block, gone = ("b", "span", "a"), ("div", "p", "ul", "section", "h2"), ("nav", "footer", "aside")
+
+    def tree(depth):
+        kind = rng.choice(("text", "text", "inline", "block", "gone")) if depth else "text"
+        if kind == "text":
+            return " ".join(f"w{rng.randrange(999)}" for _ in range(rng.randrange(1, 4)))
+        names = {"inline": inline, "block": block, "gone": gone}[kind]
+        return rng.choice(names), [tree(depth - 1) for _ in range(rng.randrange(1, 4))]
+
+    def source(node):
+        return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(source, node[1]))}</{node[0]}>"
+
+    def inner(node):
+        """All elements below a node."""
+        return [] if isinstance(node, str) else [x for c in node[1] if not isinstance(c, str) for x in (c, *inner(c))]
+
+    def walk(node):
+        """Text with line ends around blocks; nothing of what goes."""
+        if isinstance(node, str):
+            return node
+        text = "" if node[0] in gone else "".join(map(walk, node[1]))
+        return text if node[0] in inline else f"\n{text}\n"
+
+    # inside a phrase or paragraph a block would end it, which is tested on its own
+    plain = lambda node: not any(x[0] in (*inline, "p", "h2") and any(y[0] not in inline for y in inner(x)) for x in (node, *inner(node)) if not isinstance(x, str))
+    tried = 0
+    for _ in range(2_000):
+        nodes = [tree(4) for _ in range(3)]
+        if not all(map(plain, nodes)):
+            continue
+        tried += 1
+        want = [" ".join(b.split()) for b in "".join(map(walk, nodes)).split("\n") if b.split()]
+        assert [b for b, k in zip(*html.read_page("".join(map(source, nodes)))) if k] == want
+    assert tried > 300
