@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedlake.sources.records import delimited_records
+
 SEPARATORS = {"csv": ",", "tsv": "\t", "ssv": ";", "psv": "|"}
 #: Item tags in order of preference, and keys of a JSON document that hold the items.
 ITEM_TAGS = ("item", "entry", "offer", "product")
@@ -33,13 +35,23 @@ def clean_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.replace("\ufeff", "").strip(" \t\r\n\"'") or f"column_{i}" for i, c in enumerate(df.columns)])
 
 
-def read_delimited(spark: SparkSession, paths: str | list[str], fmt: str = "csv") -> DataFrame:
-    """A1: quoted and multi-line fields; rows whose number of fields differs from the header's are dropped."""
+def read_delimited(spark: SparkSession, paths: str | list[str], fmt: str = "csv", split: bool = False) -> DataFrame:
+    """A1: quoted and multi-line fields; rows whose number of fields differs from the header's are dropped.
+
+    ``split``: large files are read by many tasks, with the rows of the read in one (``feedlake.sources.records``).
+    """
     options = {"header": True, "sep": SEPARATORS[fmt], "quote": '"', "escape": '"', "multiLine": True}
     names = spark.read.options(**options).csv(paths).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
-    rows = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True).schema(schema).csv(paths)
-    return clean_names(sound_rows(rows))
+    if not split:
+        rows = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True).schema(schema).csv(paths)
+        return clean_names(sound_rows(rows))
+    records = delimited_records(spark, paths, SEPARATORS[fmt]).where(F.trim("record") != "")
+    heads = records.groupBy("path").agg(F.min(F.struct("block", "line")).alias("_head"))
+    body = records.join(heads, "path").where(F.struct("block", "line") != F.col("_head"))
+    plain = {k: str(v) for k, v in options.items() if k in ("sep", "quote", "escape")} | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    read = body.select(F.from_csv("record", schema.toDDL(), plain).alias("r")).select("r.*")
+    return clean_names(read.where(F.col(CORRUPT).isNull()).drop(CORRUPT))
 
 
 def _xml(spark: SparkSession, paths, tag: str) -> DataFrame:
@@ -128,8 +140,7 @@ def recover_xml(spark: SparkSession, paths: str | list[str], row_tag: str, schem
     """A4: the whole items of files that no parser takes: they are cut out of the text by their tags and
     parsed one by one; those that still don't parse are dropped. Without a schema, the first items tell it.
     """
-    texts = spark.read.text(paths, wholetext=True)
-    items = texts.select(F.explode(F.regexp_extract_all("value", F.lit(rf"(?s)<{row_tag}(?:\s[^>]*)?>.*?</{row_tag}\s*>"), F.lit(0))).alias("item"))
+    items = _items(spark, paths, row_tag)
     if schema is None:
         seen = [r["item"] for r in items.limit(20).collect()]
         if not seen:
@@ -160,12 +171,14 @@ def gunzip_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(opened, "path string, text string")
 
 
-def unpacked(spark: SparkSession, path: str, folder: str) -> str:
-    """The path itself, or, for gzip by its magic bytes under another suffix, a copy of the lines below ``folder``."""
+def unpacked(spark: SparkSession, path: str, folder: str) -> list[str]:
+    """The path itself, or, if files are gzip by their magic bytes under another suffix, the other files and
+    a copy of the lines of each of these below ``folder``.
+    """
     files = spark.read.format("binaryFile").load(path)
-    packed = files.where((F.hex(F.substring("content", 1, 2)) == "1F8B") & ~F.col("path").endswith(".gz"))
-    if packed.isEmpty():
-        return path
+    names = files.select("path", ((F.hex(F.substring("content", 1, 2)) == "1F8B") & ~F.col("path").endswith(".gz")).alias("packed")).collect()
+    if not any(n["packed"] for n in names):
+        return [path]
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -174,19 +187,50 @@ def unpacked(spark: SparkSession, path: str, folder: str) -> str:
                     while some := text.readlines(1 << 20):
                         yield pd.DataFrame({"value": [x.removesuffix("\n") for x in some]})
 
-    staged = f"{folder}/{uuid.uuid4().hex}"
-    packed.select("content").mapInPandas(lines, "value string").write.text(staged)
-    return staged
+    out = [n["path"] for n in names if not n["packed"]]
+    for name in (n["path"] for n in names if n["packed"]):  # a copy of its own for each, as each has a header
+        staged = f"{folder}/{uuid.uuid4().hex}"
+        spark.read.format("binaryFile").load(name).select("content").mapInPandas(lines, "value string").write.text(staged)
+        out.append(staged)
+    return out
+
+
+def _items(spark: SparkSession, paths: str | list[str], tag: str) -> DataFrame:
+    """The texts of the whole items of files, cut out by their tags."""
+    texts = spark.read.text(paths, wholetext=True)
+    return texts.select(F.explode(F.regexp_extract_all("value", F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>"), F.lit(0))).alias("item"))
+
+
+def read_items(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A2, A4: the items of XML files. Where the parser fails or gives fewer rows than there are items between
+    tags (it can stop at what stands between two), the items are cut out and parsed one by one, and the larger result counts.
+    """
+    for tag in ITEM_TAGS:
+        there = _items(spark, paths, tag).count()
+        try:
+            df = read_xml(spark, paths, tag)
+            rows = df.count() if df.columns != ["item"] else 0
+        except Exception:  # whatever the parser stumbles over, the items may be whole
+            df, rows = None, 0
+        if there > rows:
+            found = recover_xml(spark, paths, tag)
+            if found.count() > rows:
+                return found
+        if rows:
+            return df
+    return spark.createDataFrame([], "item string")
 
 
 def read_feed(spark: SparkSession, path: str, fmt: str, folder: str) -> DataFrame:
-    """The rows of one feed file of a known format, packed or not; ``folder`` takes unpacked copies."""
+    """The rows of a feed of a known format, a file or a folder of them, packed or not; ``folder`` takes unpacked
+    copies. Delimited files are read by many tasks.
+    """
     plain = unpacked(spark, path, folder)
     if fmt == "xml":
-        return flatten_xml(read_xml(spark, plain))
+        return flatten_xml(read_items(spark, plain))
     if fmt in ("json", "json_lines"):
         return (read_json_doc if fmt == "json" else read_json_lines)(spark, plain)
-    return read_delimited(spark, plain, fmt)
+    return read_delimited(spark, plain, fmt, split=True)
 
 
 def ingest_feeds(
