@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from feedlake.plans import lookup_queries, normalize_queries, report_queries, search_queries, source_queries, upsert_queries
+from feedlake.plans import file_queries, lookup_queries, normalize_queries, report_queries, search_queries, source_queries, upsert_queries
 
-GROUPS = (report_queries, lookup_queries, normalize_queries, upsert_queries, search_queries, source_queries)
+GROUPS = (report_queries, lookup_queries, normalize_queries, upsert_queries, search_queries, source_queries, file_queries)
 
 
 def queries():
