@@ -143,10 +143,12 @@ def dead_products(refs: DataFrame, products: DataFrame) -> DataFrame:
 
 def reference_integrity(refs: DataFrame, products: DataFrame) -> DataFrame:
     """For each referenced id whether it is found (an active row first) and what it has."""
-    order = Window.partitionBy("external_id").orderBy(F.when(F.col("status") == ACTIVE, 0).otherwise(1), "feed_id")
-    best = products.withColumn("_n", F.row_number().over(order)).where("_n = 1")
     has = {"has_price": ~zero(F.col("price")), "has_image": ~blank(F.col("image_url")), "has_brand": ~blank(F.col("brand")), "has_link": ~blank(F.col("affiliate_link"))}
-    flags = best.select(F.col("external_id").alias("product_id"), *[c.cast("int").alias(n) for n, c in has.items()], F.lit(1).alias("found"))
+    # only rows that are asked for, and of each id the first by an aggregate
+    asked = products.join(refs.select(F.col("product_id").alias("external_id")).distinct(), "external_id", "left_semi")
+    row = F.struct(*[c.cast("int").alias(n) for n, c in has.items()], F.lit(1).alias("found"))
+    first = F.struct((F.col("status") != ACTIVE).alias("other"), F.col("feed_id"))
+    flags = asked.groupBy(F.col("external_id").alias("product_id")).agg(F.min_by(row, first).alias("r")).select("product_id", "r.*")
     return refs.select("product_id").distinct().join(flags, "product_id", "left").fillna(0, ["found", *has])
 
 

@@ -78,23 +78,45 @@ def _stalled(s, d):
 
 
 def _latest(s, d):
-    e = s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("id"), (F.unix_timestamp("ts") * 0 + F.col("event_id")).alias("v"), "ts")
-    return jobs.stream_latest(e).select("id", F.unix_timestamp("ts").alias("at"))
+    e = s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("id"), F.col("event_id").alias("v"), "ts")
+    return jobs.stream_latest(e).select("id", "v", F.unix_timestamp("ts").alias("at"))
+
+
+_PROFILED = ("aw_product_id", "product_name", "price", "sale_price", "colour", "large_image", "availability")
+#: What the products fill of the feeds' columns.
+_FILLED = {"aw_product_id": "external_id", "product_name": "product_name", "old_price": "original_price", "price": "price", "deep_link": "''", "brand_name": "brand", "image_url": "image_url", "category": "category", "x_currency": "''"}
+
+
+def _repaired(s, d):
+    best = _scored(s, d).groupBy("feed_id", "standard").agg(F.max_by("column", F.struct("score", -F.col("position"))).alias("column"))
+    rates = mapping.fill_rates(frame(s, d, "products").selectExpr(*[f"{e} AS {c}" for c, e in _FILLED.items()]))
+    return mapping.repair_mapping(best, rates, _scored(s, d)).select("feed_id", "standard", "column")
+
+
+def _post_lists(s, d):
+    """The documents of the posts, taken apart again."""
+    refs = frame(s, d, "refs").select("post_id", "product_id")
+    docs = tables.to_jsonld(tables.post_products(refs, frame(s, d, "products")), "post_id", ["external_id"])
+    items = F.from_json("jsonld", "itemListElement array<struct<position:int,item:struct<name:string,sku:string,offers:struct<price:string>>>>")["itemListElement"]
+    listed = lambda f: F.array_join(F.transform("i", f), "|")
+    return docs.select("post_id", items.alias("i")).select(
+        "post_id", F.size("i").alias("items"), listed(lambda x: x["item"]["sku"]).alias("skus"), listed(lambda x: x["item"]["name"]).alias("names"), listed(lambda x: x["item"]["offers"]["price"]).alias("prices"))
 
 
 QUERIES = {
     "a7_classify": _heads,
     "a8_format_from_url": _urls,
     "a12_count_items": lambda s, d: readers.count_items(frame(s, d, "products"), F.col("feed_id")),
-    "a13_profile_feed": lambda s, d: readers.profile_feed(frame(s, d, "raw_feed"), 5),
+    "a13_profile_feed": lambda s, d: readers.profile_feeds(frame(s, d, "raw_feed").select((F.col("k") % 40).alias("feed_id"), *_PROFILED), "feed_id"),
     "s3_compact_log": lambda s, d: tables.compact_log(s.read.parquet(f"{d}/events.parquet").select((F.col("event_id") % 300).cast("string").alias("id"), F.col("event_id").alias("seq"))),
     "s4_listed_nodes": lambda s, d: tables.listed_nodes(frame(s, d, "products"), "feed_id", ["external_id"]).select("feed_id", "external_id", "position", F.col("shown").cast("long").alias("shown")),
-    "s4_jsonld": lambda s, d: tables.to_jsonld(frame(s, d, "products"), "feed_id", ["external_id"]),
+    "s4_jsonld": _post_lists,
     "m1_detect_network": _networks,
     "m2_network_from_url": lambda s, d: frame(s, d, "links").select("page_id", mapping.network_from_url(F.col("url"), [("blog.", "b"), (".com", "c"), ("example", "e")]).alias("network")),
     "m3_score_candidates": _scored,
     "m4_learn_mapping": lambda s, d: mapping.learn_mapping(_scored(s, d)),
     "m5_fill_rates": lambda s, d: mapping.fill_rates(frame(s, d, "raw_feed").select("aw_product_id", "price", "sale_price", "colour")),
+    "m5_repair_mapping": _repaired,
     "m6_validate_mapping": lambda s, d: mapping.validate_mapping(_best(s, d)).withColumn("valid", F.col("valid").cast("int")),
     "m7_mapping_confidence": lambda s, d: mapping.mapping_confidence(_best(s, d), s.createDataFrame(list(WEIGHTS), "standard string, weight int")),
     "m8_apply_mapping": lambda s, d: mapping.apply_mapping(frame(s, d, "raw_feed"), {"id": "product_id", "title": "title", "none": "x.y"}).select("raw_k", "id", "title", "none"),
@@ -114,6 +136,13 @@ _SCORED = f"""{_COLS}, {_PATTERNS}, hits AS (SELECT DISTINCT feed_id, "column",
   WHEN 'prefix' THEN starts_with("column", pattern) WHEN 'suffix' THEN ends_with("column", pattern) AND instr("column", pattern) = length("column") - length(pattern) + 1 ELSE contains("column", pattern) END),
   scored AS (SELECT feed_id, standard, rank, "column", position, round(sum(CASE kind WHEN 'exact' THEN 100 WHEN 'contains' THEN 80 WHEN 'exclude' THEN -50 ELSE 75 END) + (columns - position) / columns::DOUBLE * 10, 6) AS score
   FROM hits GROUP BY feed_id, standard, rank, "column", position, columns HAVING score > 30)"""
+#: M4 step by step: the best unused column of each standard field, in rank order.
+_RANKS = sorted({rank for _, rank, _, _ in PATTERNS})
+_LEARNED = _SCORED + "".join(
+    f""",\n  a{r} AS (SELECT feed_id, standard, "column", score FROM scored s WHERE rank = {r}"""
+    + "".join(f' AND NOT EXISTS (SELECT 1 FROM a{q} WHERE a{q}.feed_id = s.feed_id AND a{q}."column" = s."column")' for q in _RANKS if q < r)
+    + " QUALIFY row_number() OVER (PARTITION BY feed_id ORDER BY score DESC, position) = 1)" for r in _RANKS
+) + ", learned AS (" + " UNION ALL ".join(f"SELECT * FROM a{r}" for r in _RANKS) + ")"
 _SIG = "sig(network, kind, value, boost) AS (VALUES " + ", ".join(str(p) for p in SIGNATURES) + ")"
 ORACLE_SQL = {
     "a7_classify": "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'xml' WHEN 1 THEN 'json_lines' WHEN 2 THEN 'json' WHEN 3 THEN 'ssv' WHEN 4 THEN 'tsv' WHEN 5 THEN 'json' ELSE 'csv' END AS format FROM events",
@@ -131,6 +160,21 @@ ORACLE_SQL = {
       SELECT t.feed_id, CASE WHEN s.feed_id IS NOT NULL AND linked = 0 THEN 'google_shopping' ELSE network END AS network, round(score, 6) AS score FROM t LEFT JOIN s USING (feed_id)""",
     "m2_network_from_url": "SELECT page_id, CASE WHEN contains(lower(url), 'blog.') THEN 'b' WHEN contains(lower(url), '.com') THEN 'c' WHEN contains(lower(url), 'example') THEN 'e' END AS network FROM pages",
     "m3_score_candidates": f"WITH {_SCORED} SELECT * FROM scored",
+    "a13_profile_feed": with_views(" UNION ALL ".join(
+        f"SELECT k % 40 AS feed, '{c}' AS \"column\", {i} AS position, {len(_PROFILED)} AS columns, min(nullif(trim({c}), '')) AS sample, count(nullif(trim({c}), '')) AS filled FROM raw_feed GROUP BY k % 40" for i, c in enumerate(_PROFILED)), "raw_feed"),
+    "s4_jsonld": with_views(
+        """WITH a AS (SELECT DISTINCT post_id, product_id AS external_id FROM refs), b AS (SELECT * FROM products QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY (status <> 'active')::INT, feed_id) = 1),
+        n AS (SELECT post_id, external_id, product_name, price FROM a JOIN b USING (external_id) WHERE trim(product_name) <> '' AND trim(image_url) <> '' AND trim(affiliate_link) <> '' AND trim(currency) <> '' AND price > 0)
+        SELECT post_id, count(*)::INT AS items, string_agg(external_id, '|' ORDER BY external_id) AS skus, string_agg(trim(product_name), '|' ORDER BY external_id) AS names,
+          string_agg(printf('%.2f', price::DOUBLE), '|' ORDER BY external_id) AS prices FROM n GROUP BY post_id""", "products", "refs"),
+    "m4_learn_mapping": f"WITH {_LEARNED} SELECT * FROM learned",
+    "m14_relearn_all": f"""WITH {_LEARNED}, p AS (SELECT feed_id, count(*) FILTER (standard IN ('id', 'title', 'price', 'affiliate_link')) AS n FROM learned GROUP BY feed_id)
+      SELECT count(*) AS feeds, count(*) FILTER (coalesce(n, 0) < 4) AS errors FROM (SELECT DISTINCT feed_id FROM cols) LEFT JOIN p USING (feed_id)""",
+    "m5_repair_mapping": with_views(
+        f"""WITH {_SCORED}, best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY feed_id, standard ORDER BY score DESC, position) = 1), filled(c) AS (SELECT unnest(list_value({', '.join(f"CASE WHEN (SELECT count(*) FROM products WHERE length(trim(cast({e} AS VARCHAR))) > 0) > 0 THEN '{c}' END" for c, e in _FILLED.items())}))),
+        spare AS (SELECT feed_id, standard, "column" FROM scored s WHERE "column" IN (SELECT c FROM filled WHERE c IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM best b WHERE b.feed_id = s.feed_id AND b."column" = s."column")
+          QUALIFY row_number() OVER (PARTITION BY feed_id, standard ORDER BY score DESC, position) = 1)
+        SELECT b.feed_id, b.standard, CASE WHEN b."column" IN (SELECT c FROM filled WHERE c IS NOT NULL) THEN b."column" ELSE coalesce(s."column", b."column") END AS "column" FROM best b LEFT JOIN spare s USING (feed_id, standard)""", "products"),
     "m5_fill_rates": with_views(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (length(trim({c})) > 0) AS filled, count(*) AS rows FROM raw_feed" for c in ("aw_product_id", "price", "sale_price", "colour")), "raw_feed"),
     "m6_validate_mapping": f"""WITH {_SCORED}, s AS (SELECT feed_id, list(DISTINCT standard) AS l FROM scored GROUP BY feed_id)
       SELECT feed_id, array_to_string(list_filter(['id', 'title', 'price', 'affiliate_link'], lambda x: NOT list_contains(l, x)), '|') AS missing, (len(list_filter(['id', 'title', 'price', 'affiliate_link'], lambda x: NOT list_contains(l, x))) = 0)::INT AS valid FROM s""",
@@ -141,7 +185,7 @@ ORACLE_SQL = {
       x AS (SELECT feed_id, (len(list_filter(n, lambda c: NOT list_contains(o, c))) + len(list_filter(o, lambda c: NOT list_contains(n, c)))) / greatest(len(n), len(o))::DOUBLE AS share FROM n JOIN o USING (feed_id))
       SELECT feed_id, round(share, 6) AS share, (share > 0.1)::INT AS drifted FROM x""",
     "m12_product_id": with_views("SELECT k, coalesce(nullif(aw_product_id, ''), product_id) AS id FROM raw_feed", "raw_feed"),
-    "t2_latest": "SELECT user_id AS id, floor(epoch(max(ts)))::BIGINT AS at FROM events GROUP BY user_id",
+    "t2_latest": "SELECT user_id AS id, event_id AS v, floor(epoch(ts))::BIGINT AS at FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "t4_stalled_runs": """WITH b AS (SELECT event_id % 40 AS run_id, CASE WHEN event_id % 40 % 2 = 0 THEN 'full' ELSE 'active_only' END AS mode, max(ts) AS last FROM events GROUP BY ALL),
       i AS (SELECT run_id, mode, (floor(epoch((SELECT max(ts) FROM events)) + 60) - floor(epoch(last)))::BIGINT AS idle_seconds FROM b)
       SELECT * FROM i WHERE idle_seconds > CASE mode WHEN 'full' THEN 90 ELSE 300 END""",

@@ -73,6 +73,18 @@ def listed_nodes(products: DataFrame, by: str, order: list[str]) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
 
 
+def post_products(refs: DataFrame, products: DataFrame) -> DataFrame:
+    """The products that each post refers to (post_id, product_id, in any order), an active row of an id before others,
+    then the smallest feed_id. A post's list is bounded by its references.
+    """
+    asked = refs.where(F.col("product_id").isNotNull()).select("post_id", F.col("product_id").alias("external_id")).distinct()
+    rows = products.join(asked.select("external_id").distinct(), "external_id", "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in products.columns])
+    first = F.struct((F.col("status") != "active").alias("other"), F.col("feed_id"))
+    best = rows.groupBy("external_id").agg(F.min_by(row, first).alias("_row")).select("_row.*")
+    return asked.join(best, "external_id")
+
+
 def to_jsonld(products: DataFrame, by: str, order: list[str], transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(by, jsonld): an ItemList of the listed products; ``transform`` may change the nodes."""
     nodes = listed_nodes(products, by, order)

@@ -39,9 +39,10 @@ def stream_ingest(spark: SparkSession, folder: str, schema: str, target: str, ch
 
 
 def stream_latest(updates: DataFrame, key: str = "id", time: str = "ts", watermark: str = "1 hour") -> DataFrame:
-    """The last delivery of each id within the watermark (update mode); works on batches as well."""
-    rest = F.struct(*[c for c in updates.columns if c != key])
-    return updates.withWatermark(time, watermark).groupBy(key).agg(F.max_by(rest, time).alias("last")).select(key, "last.*")
+    """The last delivery of each id within the watermark (update mode), of several at one time the largest; works on batches as well."""
+    others = [c for c in updates.columns if c not in (key, time)]
+    last = F.max(F.struct(F.col(time), *others)).alias("last")
+    return updates.withWatermark(time, watermark).groupBy(key).agg(last).select(key, *[F.col(f"last.{c}").alias(c) for c in updates.columns if c != key])
 
 
 def stream_quick_sync(updates: DataFrame, ids: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
