@@ -57,6 +57,7 @@ PIECE = re.compile(
     r"|<[a-zA-Z][^>]*\Z",
     re.S | re.I,
 )
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 HIDDEN_FIELD = re.compile(r"""\btype\s*=\s*["']?hidden\b""", re.I)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -116,9 +117,11 @@ def marked_as(attributes: dict[str, str], main: bool = False, inside: bool = Fal
     boilerplate) or OPEN; class and id don't count for a main element.
     """
     hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
-    if hidden or attributes.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
+    if hidden or attributes.get("role", "").lower() in ROLES or ("style" in attributes and NOT_SHOWN.search(attributes["style"])):
         return DROPPED
     names = [] if main else f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    if not names:
+        return OPEN
     if element in TEXT_LEVEL:
         names = [n for n in names if not OF_CONTENT & {p.lower() for p in PARTS.findall(n)[:1]}]
     if any(n.lower() in MARKED for n in names):
@@ -147,7 +150,7 @@ def read_structure(html: str) -> tuple[list[str], list[int], list[str]]:
     kinds: list[int] = []
     zones: list[str] = []
     holders: list[str] = []
-    stack: list[tuple] = []  # element, zone inside it, what its text is, the container it is in, signature, blocks and fields before it
+    stack: list[tuple] = []  # element, zone inside it, what its text is, the container it is in, name and attributes, blocks and fields before it
     zone, state, holder, text, fields = "open", OPEN, "", [], 0
 
     def end_block() -> None:
@@ -209,7 +212,7 @@ def read_structure(html: str) -> tuple[list[str], list[int], list[str]]:
             end_block()
         attributes = attributes_of(m[4]) if m[4].strip(" /") else {}
         main = name in ("article", "main") or attributes.get("role", "").lower() == "main"
-        mark = OPEN if name in ("html", "body") else marked_as(attributes, main, zone != "open", name)
+        mark = OPEN if not attributes or name in ("html", "body") else marked_as(attributes, main, zone != "open", name)
         begun, before = len(blocks), fields
         if main and mark == OPEN:
             end_block()
@@ -222,12 +225,12 @@ def read_structure(html: str) -> tuple[list[str], list[int], list[str]]:
                 end_block()
                 state = mark
                 if mark == SUSPECT and any(map(speaks, f"{attributes.get('class', '')} {attributes.get('id', '')}".split())):
-                    holder = f"{stack[-1][4] if stack else ''}\n{signature(name, attributes)}"
+                    holder = f"{signature(*stack[-1][4]) if stack else ''}\n{signature(name, attributes)}"
             begun = len(blocks)
         if m[4].endswith("/") and name not in INLINE:
             zone, state, holder = stack[-1][1:4] if stack else ("open", OPEN, "")
             continue
-        stack.append((name, zone, state, holder, signature(name, attributes) if attributes else name, begun, before))
+        stack.append((name, zone, state, holder, (name, attributes), begun, before))
     if at < len(html):
         text.append(html[at:])
     end_block()
