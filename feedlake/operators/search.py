@@ -178,8 +178,13 @@ def has_form(text: Column, form: Column) -> Column:
     return F.when(form.rlike(r"^\d+$"), F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), form, F.lit(" ")))).otherwise(text.contains(form))
 
 
+def _texts(rows: DataFrame) -> DataFrame:
+    """Keys and search texts, staged: matching reads them several times, and the other columns once."""
+    return staged(rows.select(*PKEY, "search_text"))
+
+
 def _fulltext_keys(plan: DataFrame, rows: DataFrame) -> DataFrame:
-    """(query_id, key) of Q8-Q10. rows: products with ``search_text``."""
+    """(query_id, key) of Q8-Q10. rows: ``_texts`` of the products."""
     checks = plan.select("query_id", "groups", "shorts", "phrases")
     text, words = F.col("search_text"), F.col("_words")
     # words are looked up by the whole part they begin with, of the lengths that are asked for
@@ -207,7 +212,7 @@ def match_fulltext(plan: DataFrame, products: DataFrame) -> DataFrame:
     every short token one of its forms, and every phrase occurs. A query is entered by its rarest group.
     """
     rows = with_text(products)
-    return _fulltext_keys(plan, rows).join(rows, PKEY)
+    return _fulltext_keys(plan, _texts(rows)).join(rows, PKEY)
 
 
 def _like_keys(plan: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -228,7 +233,7 @@ def match_like(plan: DataFrame, products: DataFrame, matched: DataFrame) -> Data
     lead to the rows; a query is entered by its rarest token.
     """
     rows = with_text(products)
-    return _like_keys(plan, rows, matched).join(rows, PKEY)
+    return _like_keys(plan, _texts(rows), matched).join(rows, PKEY)
 
 
 def _tests(listed_by: tuple[str, ...] = ("brand", "colour", "category")) -> tuple[dict[str, Column], Column]:
@@ -407,10 +412,11 @@ def did_you_mean(q: DataFrame, vocab: DataFrame) -> DataFrame:
 def candidates(plan: DataFrame, products: DataFrame, fallback: bool = True) -> DataFrame:
     """Matches with their query's columns, filtered (Q8-Q12)."""
     rows = with_text(products.where(F.col("status") == ACTIVE))
-    keys = _fulltext_keys(plan, rows)
+    texts = _texts(rows)
+    keys = _fulltext_keys(plan, texts)
     if fallback:
         keys = staged(keys)
-        keys = keys.unionByName(_like_keys(plan, rows, keys))
+        keys = keys.unionByName(_like_keys(plan, texts, keys))
     matched = keys.join(rows, PKEY)
     wanted = plan.select("query_id", "scoring", "phrases", "male", "female", "gendered", "min_price", "max_price", "on_sale", *[c for c in plan.columns if c.startswith("q_") or c == "sort"])
     for name, kind in (("q_brand", "array<string>"), ("q_colour", "array<string>"), ("q_category", "array<string>"), ("q_in_stock", "boolean"), ("sort", "string")):
