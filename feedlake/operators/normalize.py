@@ -56,6 +56,7 @@ COLOUR_PHRASES = (
     "braun", "grau", "rosa", "lila", "türkis", "tuerkis",
 )
 COLOUR_PATTERN = r"(?i)(?U)\b(" + "|".join(p.replace(" ", r"\s+") for p in sorted(COLOUR_PHRASES, key=len, reverse=True)) + r")\b"
+#: How sizes are written.
 SIZES = r"XXXL|XXL|XL|XS|S|M|L|EU\s*\d+|US\s*\d+|UK\s*\d+|\d{2,3}"
 #: Symbols of the display price.
 CURRENCY_SIGNS = {"EUR": "€", "USD": "$", "GBP": "£", "JPY": "¥", "INR": "₹"}

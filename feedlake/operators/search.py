@@ -36,7 +36,8 @@ STOP_WORDS = tuple(
     " here where when what which who how can could would should will shall may might must need more most much many few less only own other"
     " another such like get got make made".split()
 )
-#: Synonym sets that come with the package; more are passed as a table (token, synonym).
+#: Fixed values in the first four sets (words for women, men, girls and boys): synonym sets that come with the package; more are
+#: passed as a table (token, synonym).
 SYNONYM_SETS = (
     ("women", "woman", "damen", "frau", "frauen", "dame", "female", "lady", "ladies"),
     ("men", "man", "herren", "mann", "männer", "herr", "male", "gentleman", "gentlemen"),
