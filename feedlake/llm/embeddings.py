@@ -51,6 +51,7 @@ MERGED = 0.95
 OVERLAP = 2
 BLOCK = 2_048
 CHUNK = 20_000
+BROADCAST_CELLS = 100_000
 DEGREE, ALPHA = 16, 1.2
 BATCH, BEAM, SEARCH_BEAM = 256, 24, 8
 WIDE = 8
@@ -323,7 +324,7 @@ def _compared(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _split(placed: DataFrame, cells: DataFrame, overlap: int) -> DataFrame:
     """The members of ``cells`` (cell, size) in the cells below; ``whole``: of a dense cell, which stays."""
-    inside = placed.where("NOT whole").join(F.broadcast(cells) if cells.count() <= 100_000 else cells, "cell")
+    inside = placed.where("NOT whole").join(F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells, "cell")
     rate = F.least(F.lit(1.0), F.lit(0.75 * SAMPLE) / F.col("size"))
     sample = inside.where(F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(1 << 30)) < rate * F.lit(1 << 30))
 
@@ -367,10 +368,12 @@ def place(members: DataFrame, overlap: int) -> DataFrame:
     for _ in range(LEVELS):
         cells = placed.where("NOT whole").groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > SHARD_MOST)
         cells = cut_lineage(cells)
-        if cells.isEmpty():
+        n_cells = cells.count()
+        if not n_cells:
             break
-        rest = placed.join(cells.select("cell"), "cell", "left_anti") if cells.count() > 100_000 else placed.join(F.broadcast(cells.select("cell")), "cell", "left_anti")
-        dense = placed.where("whole").join(F.broadcast(cells.select("cell")), "cell", "left_semi")
+        names = cells.select("cell") if n_cells > BROADCAST_CELLS else F.broadcast(cells.select("cell"))
+        rest = placed.join(names, "cell", "left_anti")
+        dense = placed.where("whole").join(names, "cell", "left_semi")
         placed = cut_lineage(rest.unionByName(dense).unionByName(_split(placed, cells, overlap)))
     lists = placed.groupBy("node").agg(F.sort_array(F.collect_set("cell")).alias("shards"))
     return placed.withColumnRenamed("cell", "shard").drop("whole").join(lists, "node")
@@ -395,6 +398,7 @@ def _linked(members: DataFrame, overlap: int) -> DataFrame:
 
 
 def _linked_exactly(members: DataFrame) -> DataFrame:
+    """All pairs of blocks of each length; n vectors cost n * n / 2 comparisons, each row is copied n / BLOCK times."""
     shard = F.xxhash64(F.size("embedding"))
     rows = _blocked(members.withColumn("shard", shard).withColumn("shards", F.array(shard)))
     return cut_lineage(rows.groupBy("shard", "bi", "bj").applyInPandas(_compared, "a long, b long, n long, m long"))
