@@ -7,9 +7,10 @@ sizes up to 2**40). A class is packed as groups of its largest size if the capac
 no shard exceeds it, and of its mean size if the number of shards is, so their sums come out
 right. That table alone goes to the driver, where best fit decreasing
 runs over it through a balanced tree of remaining capacities; its answer, runs of "the next k
-groups of this class enter this bin", is bounded the same way and is broadcast. Groups find
-their run by their rank within the class, which is counted in buckets, so neither a hot class
-nor a hot group meets in one task.
+groups of this class enter this bin", is bounded the same way for a number of shards, and by the number of
+bins for a fixed capacity; it is broadcast up to a size. Groups find their run by their rank within
+the class, which is counted in buckets, and the rows of a hot group meet it by broadcast, so neither
+a hot class nor a hot group meets in one task.
 
 Defined results: a null text counts as empty (size 1); equal texts are one group and share a
 shard; ties in size are broken by the group's hash; null doc_ids are rows like others, first among
@@ -24,10 +25,13 @@ import random
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import bucket_count, cut_lineage, read_table, running_position
+from feedlake.llm.common import bucket_count, cut_lineage, join_hot, read_table, running_position
 
 MANTISSA_BITS = 15
 SHARDS = 8
+#: Runs up to which the answer is broadcast; with a fixed capacity it grows with the bins, and beyond this many it is joined
+#: by spans of so many ranks.
+BROADCAST_RUNS, RANK_SPAN = 200_000, 64
 
 
 class CapacityTree:
@@ -167,7 +171,14 @@ def assign_bins(
         & (F.col("rank_in_class") >= F.col("run_from"))
         & (F.col("rank_in_class") < F.col("run_to"))
     )
-    return ranked.join(F.broadcast(runs_df), fits).drop("run_class", "run_from", "run_to", "rank_in_class", "size_class")
+    if len(rows) <= BROADCAST_RUNS:
+        found = ranked.join(F.broadcast(runs_df), fits)
+    else:  # a run meets its ranks by the spans that it touches
+        span = lambda c: F.expr(f"{c} div {RANK_SPAN}")
+        runs_df = runs_df.withColumn("run_span", F.explode(F.sequence(span("run_from"), span("(run_to - 1)"))))
+        found = ranked.withColumn("rank_span", span("rank_in_class")).join(runs_df, fits & (F.col("rank_span") == F.col("run_span")))
+        found = found.drop("rank_span", "run_span")
+    return found.drop("run_class", "run_from", "run_to", "rank_in_class", "size_class")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = SHARDS, capacity: int | None = None) -> DataFrame:
@@ -183,9 +194,9 @@ def shard_documents(docs: DataFrame, n_shards: int = SHARDS, capacity: int | Non
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.sha2(text, 256).alias("group_key"),
     )
-    groups = rows.groupBy("group_key").agg(F.sum("size").alias("group_size"))
-    bins = assign_bins(groups, None if capacity else n_shards, capacity).select("group_key", F.col("bin").alias("shard"))
-    placed = cut_lineage(rows.join(bins, "group_key").drop("group_key"))
+    groups = rows.groupBy("group_key").agg(F.sum("size").alias("group_size"), F.count("*").alias("copies"))
+    bins = assign_bins(groups, None if capacity else n_shards, capacity).select("group_key", "copies", F.col("bin").alias("shard"))
+    placed = cut_lineage(join_hot(rows, bins, "group_key", "copies").drop("group_key", "copies"))
     buckets = bucket_count(placed.count() // max(1, n_shards))
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
     return running_position(placed, ["shard"], spread, ["doc_id", "text_crc32"], buckets, None, "slot").select(

@@ -19,6 +19,32 @@ def test_no_shard_exceeds_a_fixed_capacity(spark):
     assert len(out) <= math.ceil(sum(len(t or "") + 1 for _, t in rows) / 1_000_000) * 1.25
 
 
+def test_runs_too_many_to_broadcast_are_joined(spark, monkeypatch):
+    """Spans of ranks give the bins that the broadcast gives; classes of many groups run over several spans."""
+    rng = random.Random(8)
+    rows = [(f"g{i}", rng.choice([40, 41, 70, rng.randrange(1, 900)])) for i in range(1_500)]
+    groups = spark.createDataFrame(rows, "group_key string, group_size long")
+    for how in ({"capacity": 1_000}, {"n_bins": 7}):
+        want = sorted(map(tuple, sharding.assign_bins(groups, **how).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(sharding, "BROADCAST_RUNS", 0)
+            joined = sharding.assign_bins(groups, **how)
+            assert joined.columns == ["group_key", "group_size", "bin"]
+            assert sorted(map(tuple, joined.collect())) == want and len(want) == len(rows)
+
+
+def test_a_text_of_a_third_of_all_rows(spark, monkeypatch):
+    """The hot text's rows meet their shard by broadcast, with the shard that the shuffle gives."""
+    from feedlake.llm import common
+
+    rows = [(i, "copied text" if i % 3 == 0 else f"text {i % 50}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, sharding.shard_documents(docs).collect()))
+    monkeypatch.setattr(common, "HOT_ROWS", 100)
+    monkeypatch.setattr(common, "HOT_KEYS", 10)
+    assert sorted(map(str, sharding.shard_documents(docs).collect())) == want and len(want) == 900
+
+
 def test_size_classes_hold_their_sizes(spark):
     sizes = [1, 2, 32_767, 32_768, 65_537, 10**6 + 7, 10**12 + 3]
     out = {r["s"]: r["c"] for r in spark.createDataFrame([(s,) for s in sizes], "s long").select("s", sharding._size_class(F.col("s")).alias("c")).collect()}
