@@ -13,7 +13,7 @@ from feedlake.functions.staging import shared_folder
 from feedlake.operators import catalog, mapping
 from feedlake.plans.views import frame, with_views
 from feedlake.sources import manifest, readers, tables
-from feedlake.streaming import jobs
+from feedlake.streaming import jobs, resume
 
 _KEEP = ("external_id", "feed_id", "product_name", "price", "original_price", "in_stock", "status", "affiliate_link")
 _COLS = ", ".join(_KEEP)
@@ -152,6 +152,19 @@ def _sync(s, files, schema, target, state):
     return jobs.stream_quick_sync(stream, tables.read_snapshot(s, target).select("external_id"), target, state)
 
 
+def _resumed(s, d):
+    """Updates as one delimited feed, stopped after the first third of its records and then taken up again."""
+    target, new = _published(s, d), _updates(s, d)
+    fields = [f for f in _products(s, d).schema.fields]
+    files = _folder(s)
+    _csv(new.select(*[F.col(f.name).cast("string") for f in fields]), files)
+    rows_of = lambda raw: raw.select(resume.NUMBER, *[F.col(f.name).cast(f.dataType) for f in fields])
+    third = new.count() // 3 + 1
+    for most in (1, None):
+        resume.ingest_records(s, files, "csv", target, rows_of, third, most)
+    return tables.read_snapshot(s, target).select(*_KEEP)
+
+
 def _product_lines(s, d):
     rows = _products(s, d).select("external_id", F.col("feed_id").cast("int").alias("feed_id"), "product_name", F.col("price").cast("double").alias("price"), "raw_data")
     folder = _folder(s)
@@ -185,6 +198,7 @@ QUERIES = {
     "s5_write_product_json": _product_lines,
     "m11_apply_template": _templates,
     "t1_stream_ingest": lambda s, d: _streamed(s, d, _ingest),
+    "t1_resumed_ingest": _resumed,
     "t3_stream_quick_sync": lambda s, d: _streamed(s, d, _sync),
 }
 
@@ -199,6 +213,7 @@ ORACLE_SQL = {
     "s1_write_products": with_views("SELECT external_id, feed_id, CASE WHEN feed_id % 5 = 0 THEN 'again' ELSE status END AS status FROM products", "products"),
     "s2_publish_change": _UPSERT,
     "t1_stream_ingest": _UPSERT,
+    "t1_resumed_ingest": _UPSERT,
     "t3_stream_quick_sync": with_views(
         f"""SELECT p.external_id, p.feed_id, p.product_name, coalesce(u.price, p.price) AS price, coalesce(u.original_price, p.original_price) AS original_price, coalesce(u.in_stock, p.in_stock) AS in_stock,
         p.status, coalesce(u.affiliate_link, p.affiliate_link) AS affiliate_link FROM products p LEFT JOIN updates u ON {_KEY}""", "products", "updates"),

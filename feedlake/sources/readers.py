@@ -40,18 +40,31 @@ def read_delimited(spark: SparkSession, paths: str | list[str], fmt: str = "csv"
 
     ``split``: large files are read by many tasks, with the rows of the read in one (``feedlake.sources.records``).
     """
-    options = {"header": True, "sep": SEPARATORS[fmt], "quote": '"', "escape": '"', "multiLine": True}
-    names = spark.read.options(**options).csv(paths).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+    schema, options = delimited_schema(spark, paths, fmt), delimited_options(fmt)
     if not split:
         rows = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True).schema(schema).csv(paths)
         return clean_names(sound_rows(rows))
     records = delimited_records(spark, paths, SEPARATORS[fmt]).where(F.trim("record") != "")
     heads = records.groupBy("path").agg(F.min(F.struct("block", "line")).alias("_head"))
     body = records.join(heads, "path").where(F.struct("block", "line") != F.col("_head"))
-    plain = {k: str(v) for k, v in options.items() if k in ("sep", "quote", "escape")} | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    read = body.select(F.from_csv("record", schema.toDDL(), plain).alias("r")).select("r.*")
-    return clean_names(read.where(F.col(CORRUPT).isNull()).drop(CORRUPT))
+    return clean_names(parsed_records(body, schema, fmt))
+
+
+def delimited_options(fmt: str) -> dict:
+    return {"header": True, "sep": SEPARATORS[fmt], "quote": '"', "escape": '"', "multiLine": True}
+
+
+def delimited_schema(spark: SparkSession, paths: str | list[str], fmt: str) -> T.StructType:
+    """The header's fields as text, and one for records that don't fit them."""
+    names = spark.read.options(**delimited_options(fmt)).csv(paths).columns
+    return T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+
+
+def parsed_records(records: DataFrame, schema: T.StructType, fmt: str, *keep: str) -> DataFrame:
+    """The fields of the text in ``record``, after the columns ``keep``; records that don't fit the schema are dropped."""
+    plain = {k: str(v) for k, v in delimited_options(fmt).items() if k in ("sep", "quote", "escape")} | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    read = records.select(*keep, F.from_csv("record", schema.toDDL(), plain).alias("r")).select(*keep, "r.*")
+    return read.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
 def _xml(spark: SparkSession, paths, tag: str) -> DataFrame:

@@ -73,3 +73,20 @@ def delimited_records(spark: SparkSession, paths: str | list[str], sep: str) ->
     joined = parts.groupBy("path", "_first").agg(F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("all"))
     long = joined.select("path", "_first.block", "_first.line", F.array_join(F.transform("all", lambda x: x["value"]), "\n").alias("record"))
     return whole.unionByName(long)
+
+
+def numbered_records(records: DataFrame) -> DataFrame:
+    """(number, record): records numbered from 0 in the order of path, block and line; blank ones and each file's first, its header, are left out.
+
+    Records are numbered in their block; blocks, a row each, are added up in one task over all files.
+    """
+    rows = records.where(F.trim("record") != "")
+    here = Window.partitionBy("path", "block").orderBy("line")
+    rows = staged(rows.withColumn("_in_block", F.row_number().over(here) - 1))
+    whole = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("path", "block").agg(F.count("*").alias("_n")).withColumns({
+        "_before": F.coalesce(F.sum("_n").over(whole), F.lit(0)), "_file": F.dense_rank().over(Window.orderBy("path")),
+        "_opens": F.row_number().over(Window.partitionBy("path").orderBy("block")) == 1,
+    }).drop("_n")
+    number = F.col("_before") + F.col("_in_block") - F.col("_file")
+    return rows.join(blocks, ["path", "block"]).where(~(F.col("_opens") & (F.col("_in_block") == 0))).select(number.cast("long").alias("number"), "record")

@@ -40,11 +40,11 @@ def publish_snapshot(
     return version
 
 
-def publish_change(spark: SparkSession, base: str, make: Callable[[DataFrame | None], DataFrame], feed_ids: list | None = None) -> int:
+def publish_change(spark: SparkSession, base: str, make: Callable[[DataFrame | None], DataFrame], feed_ids: list | None = None, progress: manifest.Progress | None = None) -> int:
     """The next version, with the rows of ``feed_ids`` (None: of all feeds) replaced by what ``make`` gives for them. Only
     these feeds are read and written; ``make`` is called again where another writer changed them.
     """
-    return manifest.commit(spark, base, make, None if feed_ids is None else manifest.feed_names(feed_ids))
+    return manifest.commit(spark, base, make, None if feed_ids is None else manifest.feed_names(feed_ids), progress=progress)
 
 
 def read_snapshot(spark: SparkSession, base: str, version: int | None = None) -> DataFrame:

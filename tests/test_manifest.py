@@ -78,7 +78,7 @@ def test_many_writers(spark, tmp_path):
 
 
 def test_a_version_is_created_once(spark, tmp_path):
-    folder = manifest._Folder(spark, str(tmp_path))
+    folder = manifest.Folder(spark, str(tmp_path))
     made = []
     threads = [threading.Thread(target=lambda k=k: made.append((folder.create("versions/1", f"writer {k}"), k))) for k in range(8)]
     for t in threads:
