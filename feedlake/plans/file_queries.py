@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from feedlake.functions.staging import shared_folder
 from feedlake.operators import catalog, mapping
 from feedlake.plans.views import frame, with_views
-from feedlake.sources import manifest, readers, tables
+from feedlake.sources import bucketed, manifest, readers, tables
 from feedlake.streaming import jobs, resume
 
 _KEEP = ("external_id", "feed_id", "product_name", "price", "original_price", "in_stock", "status", "affiliate_link")
@@ -165,6 +165,13 @@ def _resumed(s, d):
     return tables.read_snapshot(s, target).select(*_KEEP)
 
 
+def _bucketed(s, d):
+    """The catalog laid out in buckets and updated where it lies."""
+    name = f"products_{uuid.uuid4().hex}"
+    first = bucketed.lay_out(_products(s, d), name, int(s.conf.get("spark.sql.shuffle.partitions")), _folder(s))
+    return bucketed.read_buckets(s, bucketed.upsert_buckets(s, first, _updates(s, d), f"{name}_2")).select(*_KEEP)
+
+
 def _product_lines(s, d):
     rows = _products(s, d).select("external_id", F.col("feed_id").cast("int").alias("feed_id"), "product_name", F.col("price").cast("double").alias("price"), "raw_data")
     folder = _folder(s)
@@ -195,6 +202,7 @@ QUERIES = {
     "a11_read_snapshot_json": _snapshot_json,
     "s1_write_products": _replaced,
     "s2_publish_change": _changed,
+    "u3_bucketed_upsert": _bucketed,
     "s5_write_product_json": _product_lines,
     "m11_apply_template": _templates,
     "t1_stream_ingest": lambda s, d: _streamed(s, d, _ingest),
@@ -212,6 +220,7 @@ ORACLE_SQL = {
     "a10_ingest_feeds": with_views("SELECT k % 3 + 1 AS feed_id, ['a', 'b', 'c'][k % 3 + 1] AS feed_name, cast(k AS VARCHAR) AS key, title AS name FROM raw_feed", "raw_feed"),
     "s1_write_products": with_views("SELECT external_id, feed_id, CASE WHEN feed_id % 5 = 0 THEN 'again' ELSE status END AS status FROM products", "products"),
     "s2_publish_change": _UPSERT,
+    "u3_bucketed_upsert": _UPSERT,
     "t1_stream_ingest": _UPSERT,
     "t1_resumed_ingest": _UPSERT,
     "t3_stream_quick_sync": with_views(
