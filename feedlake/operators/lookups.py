@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedlake.functions.staging import staged
 from feedlake.functions.values import blank, non_empty, zero
 from feedlake.operators.reports import ACTIVE
 
@@ -94,7 +95,8 @@ def colour_siblings(products: DataFrame, ids: DataFrame) -> DataFrame:
     colours. A colour shows an in-stock row first, then the smallest id; the product's own colour
     comes first, the others by name.
     """
-    rows = _colour_rows(products)
+    # names are taken apart once; the three groupings and the products asked for read the result
+    rows = staged(_colour_rows(products))
     mine = rows.join(ids.select("feed_id", "external_id").distinct(), ["feed_id", "external_id"], "left_semi").select(
         "feed_id", F.col("external_id").alias("for_id"), "product_name", "grp", "base", "own", "shade"
     )

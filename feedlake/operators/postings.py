@@ -16,6 +16,8 @@ from feedlake.functions.staging import staged
 GRAM = 3
 #: Terms that are broadcast to the scan of the rows; more meet it in a shuffle.
 MAX_BROADCAST = 200_000
+#: Up to so many terms are looked for in each text as they are; with more, the texts are taken apart into terms.
+FEW = 64
 
 
 def grams(text: Column, size: int) -> Column:
@@ -40,8 +42,22 @@ def gram_index(rows: DataFrame, key: list[str], text: str, sizes: tuple[int, ...
 def limited(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """The postings of the given terms (one row a term), staged. The terms are counted before they are broadcast."""
     terms = staged(terms)
-    few = terms.count() <= MAX_BROADCAST
-    return staged(postings.join(F.broadcast(terms) if few else terms, "term", "left_semi"))
+    fits = terms.count() <= MAX_BROADCAST
+    return staged(postings.join(F.broadcast(terms) if fits else terms, "term", "left_semi"))
+
+
+def scanned(rows: DataFrame, key: list[str], text: Column, terms: list[str]) -> DataFrame:
+    """The postings of a few terms: one test of each text a term, and no terms made that nobody asks for."""
+    if not terms:
+        return rows.select(*key, F.lit("").alias("term")).where(F.lit(False))
+    hits = F.array_compact(F.array(*[F.when(text.contains(F.lit(t)), F.lit(t)) for t in terms]))
+    return staged(rows.select(*key, F.explode(hits).alias("term")))
+
+
+def few(terms: DataFrame) -> list[str] | None:
+    """The terms if there are at most FEW, else none."""
+    first = [r[0] for r in terms.limit(FEW + 1).collect()]
+    return first if len(first) <= FEW else None
 
 
 def drive(asked: DataFrame, postings: DataFrame, key: list[str]) -> DataFrame:
@@ -67,6 +83,9 @@ def holding(asked: DataFrame, rows: DataFrame, key: list[str], text: str, index:
     asked = staged(asked.withColumn("terms", form_grams(F.col("form"))))
     terms = asked.select(F.explode("terms").alias("term")).distinct()
     if index is None:
+        listed = few(terms)
+        if listed is not None:
+            return drive(asked, scanned(rows, key, F.col(text), listed), key)
         sizes = tuple(sorted(r[0] for r in terms.select(F.length("term")).distinct().collect()))  # of 0 to GRAM
         index = gram_index(rows, key, text, sizes or (GRAM,))
     return drive(asked, limited(index, terms), key)

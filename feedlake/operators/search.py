@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from feedlake.functions.values import non_empty
 from feedlake.functions.staging import staged
 from feedlake.operators.normalize import search_text, strip_size
-from feedlake.operators.postings import drive, holding, limited
+from feedlake.operators.postings import drive, few, holding, limited, scanned
 from feedlake.operators.reports import ACTIVE
 from feedlake.operators.spelling import near_words
 
@@ -95,13 +95,9 @@ def tokenize(q: DataFrame) -> DataFrame:
 
 def stem(token: Column) -> Column:
     """Q4: one suffix off; at least 4 characters stay (3 for 'e')."""
-    out = None
-    for suffix in SUFFIXES:
-        least = 3 if suffix == "e" else 4
-        fits = token.endswith(suffix) & (F.length(token) - len(suffix) >= least)
-        made = F.substring(token, F.lit(1), F.length(token) - len(suffix))
-        out = F.when(fits, made) if out is None else out.when(fits, made)
-    return out.otherwise(token)
+    longer = "|".join(s for s in SUFFIXES if s != "e")
+    # the shortest beginning of 4 characters is the longest suffix; one pattern keeps the plan small where stems are used often
+    return F.regexp_replace(token, rf"(?s)^(?:(.{{4,}}?)(?:{longer})|(.{{3,}})e)\z", "$1$2")
 
 
 def fold_umlauts(token: Column) -> Column:
@@ -192,11 +188,18 @@ def _fulltext_keys(plan: DataFrame, rows: DataFrame) -> DataFrame:
     grouped = plan.select("query_id", F.explode("groups").alias("g")).select("query_id", F.col("g.pos").alias("group"), F.explode("g.parts").alias("form"))
     grouped = staged(grouped.withColumn("terms", F.array("form")))
     terms = grouped.select(F.col("form").alias("term")).distinct()
-    lengths = F.array(*[F.lit(r[0]) for r in terms.select(F.length("term")).distinct().collect()]).cast("array<int>")
-    beginnings = lambda w: F.transform(F.filter(lengths, lambda n: F.length(w) >= n), lambda n: F.substring(w, F.lit(1), n))
-    long = F.filter(F.array_distinct(words_of(text)), lambda w: F.length(w) >= PREFIX)
-    postings = rows.select(*PKEY, F.explode(F.array_distinct(F.flatten(F.transform(long, beginnings)))).alias("term"))
-    found = drive(grouped, limited(postings, terms), PKEY)
+    listed = few(terms)
+    if listed is not None:
+        # a few beginnings are looked for behind the spaces of the words
+        spaced = F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
+        begun = scanned(rows.withColumn("_spaced", spaced), PKEY, F.col("_spaced"), [f" {t}" for t in listed])
+        found = drive(grouped, begun.withColumn("term", F.substring("term", F.lit(2), F.length("term"))), PKEY)
+    else:
+        lengths = F.array(*[F.lit(r[0]) for r in terms.select(F.length("term")).distinct().collect()]).cast("array<int>")
+        beginnings = lambda w: F.transform(F.filter(lengths, lambda n: F.length(w) >= n), lambda n: F.substring(w, F.lit(1), n))
+        long = F.filter(F.array_distinct(words_of(text)), lambda w: F.length(w) >= PREFIX)
+        postings = rows.select(*PKEY, F.explode(F.array_distinct(F.flatten(F.transform(long, beginnings)))).alias("term"))
+        found = drive(grouped, limited(postings, terms), PKEY)
     # queries of short words and phrases alone are entered by their grams
     bare = plan.where((F.size("groups") == 0) & ((F.size("shorts") > 0) | (F.size("phrases") > 0)))
     parts = F.concat(F.col("shorts"), F.transform("phrases", lambda p: F.array(p)))
@@ -324,12 +327,26 @@ def score(cands: DataFrame) -> DataFrame:
     return scored.withColumn("score", F.when(n > 0, base + total + bonus).otherwise(0) + phrased).drop(*drop)
 
 
+def _discount_share() -> Column:
+    return F.when((F.col("original_price") > F.col("price")) & (F.col("price") > 0), (F.col("original_price") - F.col("price")) / F.col("original_price")).otherwise(0.0)
+
+
+def sort_key() -> Column:
+    """The order of ``rank`` as one value, smallest first; a missing price or date comes last."""
+    sort = F.coalesce(F.col("sort"), F.lit("relevance"))
+    down = lambda c: F.nanvl(-c.cast("double"), F.lit(float("-inf")))
+    keys = {"price_asc": F.col("price").cast("double"), "price_desc": down(F.col("price")), "discount": down(_discount_share())}
+    by = [F.when(sort == name, value) for name, value in keys.items()] + [F.when(sort == "newest", -F.unix_micros(F.col("last_updated").cast("timestamp")))]
+    parts = [x for i, value in enumerate(by) for x in (value.isNull().alias(f"none_{i}"), value.alias(f"by_{i}"))]
+    return F.struct(*parts, (-F.col("score")).alias("score"), F.col("external_id"), F.col("feed_id"))
+
+
 def rank(cands: DataFrame) -> DataFrame:
     """Q17: ``place`` in each query by its sort (relevance, price_asc, price_desc, discount, newest),
     then score, external_id and feed_id. No task holds more of a query than a range of its rows.
     """
     sort = F.coalesce(F.col("sort"), F.lit("relevance"))
-    off = F.when((F.col("original_price") > F.col("price")) & (F.col("price") > 0), (F.col("original_price") - F.col("price")) / F.col("original_price")).otherwise(0.0)
+    off = _discount_share()
     keys = [
         F.when(sort == "price_asc", F.col("price")).asc_nulls_last(), F.when(sort == "price_desc", F.col("price")).desc_nulls_last(),
         F.when(sort == "discount", off).desc_nulls_last(), F.when(sort == "newest", F.col("last_updated")).desc_nulls_last(),
@@ -350,9 +367,13 @@ def variant_key() -> list[Column]:
 
 def dedup_variants(ranked: DataFrame) -> DataFrame:
     """Q18: the first of each (size-stripped name, colour) in rank order; no colour is one key."""
+    return first_variants(ranked, "place")
+
+
+def first_variants(rows: DataFrame, by: str) -> DataFrame:
     name, colour = variant_key()
-    row = F.struct(*[F.col(f"`{c}`") for c in ranked.columns])
-    best = ranked.groupBy("query_id", name.alias("_name"), colour.alias("_colour")).agg(F.min_by(row, "place").alias("_row"))
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    best = rows.groupBy("query_id", name.alias("_name"), colour.alias("_colour")).agg(F.min_by(row, by).alias("_row"))
     return best.select("_row.*")
 
 
@@ -428,9 +449,16 @@ def candidates(plan: DataFrame, products: DataFrame, fallback: bool = True) -> D
 
 def search(queries: DataFrame, products: DataFrame, synonyms: DataFrame, brands: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     """Q24: query_id, place, product columns, score and tier, exact (no candidate cap)."""
-    found = filter_products(candidates(prepare(queries, synonyms, brands), products))
-    ranked = rank(score(filter_gender(found)))
-    return page(dedup_variants(ranked), limit, offset).withColumn("tier", tier(F.col("score")))
+    # read twice by the gender filter
+    found = staged(filter_products(candidates(prepare(queries, synonyms, brands), products)))
+    scored = score(filter_gender(found)).withColumn("_key", sort_key())
+    # the first of each variant, then the first of each query: places of rows that no page shows are never counted
+    best = first_variants(scored, "_key")
+    part = F.pmod(F.xxhash64(*PKEY), F.lit(64))
+    few_rows = best.withColumn("_k", F.row_number().over(Window.partitionBy("query_id", part).orderBy("_key"))).where(F.col("_k") <= offset + limit).drop("_k")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("_key"))
+    shown = few_rows.withColumn("place", place).where((F.col("place") > offset) & (F.col("place") <= offset + limit)).drop("_key")
+    return shown.withColumn("tier", tier(F.col("score")))
 
 
 def search_simple(q: DataFrame, products: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """The product-feed tables as views over the driver's tables, in SQL that Spark and DuckDB share.
 
 Spark runs a template with DataFrames in its braces; ``sql`` fills in the plain table names.
-Money is in whole cents.
+Money is in whole cents. Products are aggregated by their keys, on numbers alone, before they meet parts and suppliers.
 """
 
 from __future__ import annotations
@@ -19,14 +19,17 @@ SELECT cast(l.l_partkey AS string) AS external_id, l.l_suppkey + 1 AS feed_id, s
   CASE WHEN l.l_partkey % 11 = 0 THEN '' ELSE 'http://img.example.com/' || cast(l.l_partkey AS string) || '.jpg' END AS image_url,
   CASE WHEN l.l_partkey % 23 = 0 THEN '' ELSE 'http://shop' || cast(l.l_suppkey AS string) || '.example.com/p/' || cast(l.l_partkey AS string) END AS affiliate_link,
   CASE WHEN l.l_partkey % 29 = 0 THEN '' ELSE 'EUR' END AS currency,
-  CASE WHEN l.l_partkey % 19 = 0 THEN 0 ELSE cast(floor(p.p_retailprice * 100 * (1 - max(l.l_discount)) + 0.5) AS bigint) END AS price,
+  CASE WHEN l.l_partkey % 19 = 0 THEN 0 ELSE cast(floor(p.p_retailprice * 100 * (1 - l.discount) + 0.5) AS bigint) END AS price,
   CASE WHEN l.l_partkey % 3 = 0 THEN 0 ELSE cast(floor(p.p_retailprice * 100 + 0.5) AS bigint) END AS original_price,
-  max(CASE WHEN l.l_returnflag <> 'R' THEN 1 ELSE 0 END) AS in_stock,
-  CASE WHEN l.l_partkey % 10 = 3 THEN 'unavailable' WHEN max(l.l_linestatus) = 'O' THEN 'active' ELSE 'unavailable' END AS status,
-  max(l.l_shipdate) AS last_updated,
+  l.in_stock,
+  CASE WHEN l.l_partkey % 10 = 3 THEN 'unavailable' WHEN l.listed = 1 THEN 'active' ELSE 'unavailable' END AS status,
+  l.shipped AS last_updated,
   '{{"size":"' || cast(p.p_size AS string) || '"' || CASE WHEN l.l_partkey % 2 = 0 THEN ',"item_group_id":"g' || cast(l.l_partkey % 40 AS string) || '"' ELSE '' END || '}}' AS raw_data
-FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey JOIN {supplier} s ON l.l_suppkey = s.s_suppkey
-GROUP BY l.l_partkey, l.l_suppkey, s.s_name, p.p_name, p.p_brand, p.p_type, p.p_size, p.p_retailprice
+FROM (
+  SELECT l_partkey, l_suppkey, max(l_discount) AS discount, max(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END) AS in_stock,
+    max(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS listed, max(l_shipdate) AS shipped
+  FROM {lineitem} GROUP BY l_partkey, l_suppkey
+) l JOIN {part} p ON l.l_partkey = p.p_partkey JOIN {supplier} s ON l.l_suppkey = s.s_suppkey
 """
 FEEDS = "SELECT s_suppkey + 1 AS feed_id, s_name AS feed_name, CASE WHEN s_suppkey % 2 = 0 THEN 'EUR' ELSE 'x' END AS default_currency FROM {supplier} WHERE s_suppkey % 7 <> 0"
 REFS = """
