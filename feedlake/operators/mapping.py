@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,27 +77,33 @@ def learn_mapping(candidates: DataFrame, fixed: DataFrame | None = None) -> Data
     the best unused candidate of each standard field in rank order; a column is used once.
     """
 
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        used, taken = set(), {}
-        given = rows[rows["given"]].sort_values(["rank", "position"])
-        for r in given.itertuples():
-            if r.standard not in taken:
-                taken[r.standard] = (r.column, 100.0)
-                used.add(r.column)
-        for _, group in rows[~rows["given"]].sort_values(["rank", "score", "position"], ascending=[True, False, True]).groupby("rank", sort=True):
-            for r in group.itertuples():
-                if r.standard not in taken and r.column not in used:
-                    taken[r.standard] = (r.column, r.score)
-                    used.add(r.column)
-                    break
-        feed = rows["feed_id"].iloc[0]
-        return pd.DataFrame([(feed, s, c, float(x)) for s, (c, x) in taken.items()], columns=["feed_id", "standard", "column", "score"])
-
-    rows = candidates.withColumn("given", F.lit(False))
+    rows = candidates.select("feed_id", "standard", "rank", "column", "position", "score", F.lit(False).alias("given"))
     if fixed is not None:
-        rows = rows.unionByName(fixed.select("feed_id", "standard", "rank", "column", F.lit(0).alias("position"), F.lit(100.0).alias("score"), F.lit(True).alias("given")), allowMissingColumns=True)
-    rows = rows.withColumn("feed_id", F.col("feed_id").cast("long")).withColumn("position", F.col("position").cast("long")).withColumn("rank", F.col("rank").cast("long"))
-    return rows.groupBy("feed_id").applyInPandas(assign, "feed_id long, standard string, column string, score double")
+        rows = rows.unionByName(fixed.select("feed_id", "standard", "rank", "column", F.lit(0).alias("position"), F.lit(100.0).alias("score"), F.lit(True).alias("given")))
+    rank, score = F.col("rank").cast("long"), F.col("score").cast("double")
+    # fixed ones first, in rank order; the others by rank, best first; what is missing comes last
+    down = F.when(F.col("given"), 0.0).otherwise(F.coalesce(-score, F.lit(float("nan"))))
+    row = F.struct(
+        (~F.col("given")).alias("free"), rank.isNull().alias("unranked"), rank.alias("rank"), down.alias("down"), F.col("position").cast("long").alias("position"),
+        F.col("column").cast("string").alias("column"), F.col("standard").cast("string").alias("standard"), score.alias("score"),
+    )
+    per = rows.groupBy(F.col("feed_id").cast("long").alias("feed_id")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    none = F.struct(
+        F.array().cast("array<struct<standard:string,column:string,score:double>>").alias("taken"), F.lit(None).cast("long").alias("rank"),
+    )
+
+    def assign(state: Column, x: Column) -> Column:
+        has = lambda name: F.exists(state["taken"], lambda s: s[name].eqNullSafe(x[name]))
+        # a rank gives one field at most, a column serves one field at most; fixed columns may serve several
+        open_ = ~x["free"] | (~x["unranked"] & ~state["rank"].eqNullSafe(x["rank"]) & ~has("column"))
+        new = F.struct(x["standard"].alias("standard"), x["column"].alias("column"), F.when(x["free"], x["score"]).otherwise(100.0).alias("score"))
+        take = open_ & ~has("standard")
+        return F.struct(
+            F.when(take, F.array_append(state["taken"], new)).otherwise(state["taken"]).alias("taken"), F.when(take & x["free"], x["rank"]).otherwise(state["rank"]).alias("rank"),
+        )
+
+    taken = F.aggregate("rows", none, assign, lambda state: state["taken"])
+    return per.select("feed_id", F.explode(taken).alias("x")).select("feed_id", "x.standard", "x.column", "x.score")
 
 
 def fill_rates(feed: DataFrame) -> DataFrame:
