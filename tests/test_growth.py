@@ -1,5 +1,9 @@
 """What a task holds, and how often a text is taken apart, does not grow with the tables."""
 
+from pyspark.sql import functions as F
+
+from feedlake.functions.values import price_number
+from feedlake.operators import catalog
 from feedlake.plans import views
 
 PRODUCTS = "/root/testdata/sf0.001"
@@ -19,3 +23,17 @@ def test_products_are_aggregated_by_as_many_tasks_as_their_rows_ask_for(spark, m
     # aggregated behind the shuffle alone: nothing is held of a split before it
     assert "partial_max" not in plan.split("REPARTITION_BY_NUM")[1]
     assert sorted(dealt.collect()) == whole
+
+
+def test_a_price_text_is_stripped_once_for_each_use(spark):
+    rows = spark.createDataFrame(
+        [("1,50 EUR", "$2.00", "", 9, 8, 1), ("", None, "0", 9, 8, 1), ("12,34\n", "1,234.56", "2", 9, 8, 1), ("x", "3", None, 9, 8, 1), ("1,5", "12,345", "a", 9, 8, 1)],
+        "raw_price string, raw_old_price string, raw_in_stock string, price long, original_price long, in_stock int",
+    )
+    out = catalog.force_raw_fields(rows)
+    # two uses of each of two prices: whether it is positive, and its value
+    assert plan_of(out).count("EUR|USD") <= 4
+    assert [(r.price, r.original_price, r.in_stock, r.discount_percentage) for r in out.collect()] == [
+        (1.5, 2.0, 1, 25), (9.0, 8.0, 0, None), (12.34, 1.0, 2, None), (9.0, 3.0, 1, None), (1.0, 12.0, 0, 92),
+    ]
+    assert spark.range(1).select(price_number(F.lit("USD 12,34 "))).first()[0] == 12.34
