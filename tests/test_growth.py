@@ -1,9 +1,9 @@
-"""What a task holds, and how often a text is taken apart, does not grow with the tables."""
+"""What a task holds, and how often a text is taken apart, doesn't grow with the tables."""
 
 from pyspark.sql import functions as F
 
 from feedlake.functions.values import price_number
-from feedlake.operators import catalog
+from feedlake.operators import catalog, lookups
 from feedlake.plans import views
 
 PRODUCTS = "/root/testdata/sf0.001"
@@ -37,3 +37,20 @@ def test_a_price_text_is_stripped_once_for_each_use(spark):
         (1.5, 2.0, 1, 25), (9.0, 8.0, 0, None), (12.34, 1.0, 2, None), (9.0, 3.0, 1, None), (1.0, 12.0, 0, 92),
     ]
     assert spark.range(1).select(price_number(F.lit("USD 12,34 "))).first()[0] == 12.34
+
+
+def test_a_name_is_taken_apart_once_whoever_lists_it(spark, monkeypatch):
+    names = ("Shoe red", "Shoe blue", None)
+    rows = [(f % 5, str(f), names[f % 3], "", 1, "active", "{}") for f in range(60)]
+    products = spark.createDataFrame(rows, "feed_id int, external_id string, product_name string, colour string, in_stock int, status string, raw_data string")
+    laid = []
+    monkeypatch.setattr(lookups, "staged", lambda df: laid.append(df) or df)
+    found = lookups.colour_siblings(products, products.select("feed_id", "external_id")).collect()
+    assert [df.count() for df in laid if "base" in df.columns] == [len(names)]
+    assert len(found) == 80 and {(r.strategy, r.colour) for r in found} == {(2, "red"), (2, "blue")}
+
+
+def test_group_keys_behind_escapes_are_found(spark):
+    texts = [r'{"item_group_id":"a"}', '{"group_id":"","parent_id":"p"}', '{"x":"item_group_id"}', '{"parent_sku":7,"parent_id":"p"}', None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(lookups.group_key(F.col("t"))).collect()]
+    assert got == ["item_group_id=a", "parent_id=p", None, "parent_sku=7", None]
