@@ -41,3 +41,15 @@ def test_matched_rows_are_made_once_and_again_for_the_queries_without_any(spark,
     assert seen.value == 2 * ROWS
     want = [(1, i) for i in range(ROWS) if i % 3 == 0] + [(2, i) for i in range(ROWS) if i % 3 == 1] + [(3, i) for i in range(ROWS) if i % 3 == 2]
     assert sorted((r.query_id, int(r.external_id)) for r in found) == want
+
+
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(q, "ROWS_A_RANGE", 50)
+    rows = spark.range(1000).selectExpr("id % 3 AS query_id", "id AS feed_id", "cast(id AS string) AS external_id", "double(id % 7) AS price", "double(9) AS original_price", "timestamp'2024-01-01' AS last_updated", "'price_asc' AS sort", "1 AS score")
+    ranked = q.rank(rows)
+    # before, all of so few bytes were put into one task
+    held = [r[0] for r in ranked.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(held) > 8 and max(held) <= 6 * 50
+    for k in range(3):
+        own = sorted((r for r in ranked.where(F.col("query_id") == k).collect()), key=lambda r: (r.price, r.external_id, r.feed_id))
+        assert [r.place for r in own] == list(range(1, len(own) + 1))
