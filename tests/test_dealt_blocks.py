@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from feedlake.operators import postings
+from feedlake.operators import postings, search
 
 KEY = ["feed_id", "external_id"]
 
@@ -44,3 +44,23 @@ def test_members_are_cut_by_eights(spark):
     for r in sizes.collect():
         assert [x for b in r.b for x in b] == list(range(1, r.n + 1))
         assert all(0 < len(b) <= postings.BLOCK for b in r.b) and all(len(b) % 8 == 0 or b is r.b[-1] for b in r.b)
+
+
+def _changes(rows):
+    return sum((a.task, a.text) != (b.task, b.text) for a, b in zip(rows, rows[1:]))
+
+
+def _products(spark, n):
+    name = "array('red plate', 'small ring', 'cold rod', 'red ring')[id % 4]"
+    return spark.range(n).selectExpr("cast(id AS string) AS external_id", "id % 7 AS feed_id", f"{name} AS product_name", "'b' AS brand", "'f' AS feed_name", "'k' AS category", "'' AS colour", "'active' AS status")
+
+
+def test_rows_found_by_substrings_lie_together(spark):
+    texts = ("ed ing", "old", "mall ing", "ate")
+    asked = spark.createDataFrame([(i, texts[i % 4]) for i in range(200)], "query_id int, text string")
+    plan = search.prepare(asked, search.default_synonyms(spark), spark.createDataFrame([("b",)], "brand string"))
+    found = search.match_like(plan, _products(spark, 400), spark.createDataFrame([], "query_id int"))
+    rows = found.select("query_id", "external_id", (F.col("query_id") % 4).alias("text"), F.spark_partition_id().alias("task")).collect()
+    holds = {0: (3,), 1: (2,), 2: (1,), 3: (0,)}
+    assert sorted((r.query_id, int(r.external_id)) for r in rows) == sorted((i, k) for i in range(200) for k in range(400) if k % 4 in holds[i % 4])
+    assert _changes(rows) < 4 * postings.PARTS
