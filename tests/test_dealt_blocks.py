@@ -64,3 +64,13 @@ def test_rows_found_by_substrings_lie_together(spark):
     holds = {0: (3,), 1: (2,), 2: (1,), 3: (0,)}
     assert sorted((r.query_id, int(r.external_id)) for r in rows) == sorted((i, k) for i in range(200) for k in range(400) if k % 4 in holds[i % 4])
     assert _changes(rows) < 4 * postings.PARTS
+
+
+def test_simple_search_deals_rows_in_blocks(spark):
+    texts = ("red", "ring", "e", "l")
+    asked = spark.createDataFrame([(i, texts[i % 4]) for i in range(200)], "query_id int, text string")
+    rows = search.search_simple(asked, _products(spark, 400)).select("query_id", "external_id", "product_name", (F.col("query_id") % 4).alias("text"), F.spark_partition_id().alias("task")).collect()
+    names = ("red plate", "small ring", "cold rod", "red ring")
+    assert sorted((r.query_id, int(r.external_id)) for r in rows) == sorted((i, k) for i in range(200) for k in range(400) if texts[i % 4] in names[k % 4])
+    # as many tasks as the members of a text ask for, each with all rows of a part
+    assert len({r.task for r in rows}) > 4 and _changes(rows) < 4 * postings.PARTS
