@@ -87,6 +87,9 @@ class Folder:
         path = self.path(self.name, folder)
         return [s.getPath().getName() for s in self.fs.listStatus(path)] if self.fs.exists(path) else []
 
+    def children(self) -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self.base)] if self.fs.exists(self.base) else []
+
     def read(self, name: str) -> str:
         stream = self.fs.open(self.path(self.name, name))
         try:
@@ -192,13 +195,18 @@ def _of_packs(rows: DataFrame, feeds: dict[str, list[str]], keep: bool) -> DataF
     pairs = rows.sparkSession.createDataFrame([(at, f) for at, own in feeds.items() for f in own], "_at string, _feed string")
     at = F.regexp_extract(F.col("_metadata.file_path"), r"(data/[^/]+/[^/]+)/[^/]+$", 1)
     # the feeds of the manifest, which went through the driver
-    return rows.withColumns({"_at": at, "_feed": _feed_text()}).join(F.broadcast(pairs), ["_at", "_feed"], "left_semi" if keep else "left_anti").select(*rows.columns)
+    return rows.withColumns({"_at": at, "_feed": feed_text()}).join(F.broadcast(pairs), ["_at", "_feed"], "left_semi" if keep else "left_anti").select(*rows.columns)
 
 
-def _feed_text() -> Column:
+def feed_text() -> Column:
     return F.coalesce(F.nullif(F.col("feed_id").cast("string"), F.lit("")), F.lit(NO_FEED))
 
 
+def with_pack(df: DataFrame) -> DataFrame:
+    """With the pack of each row's feed."""
+    return df.withColumn("_pack", F.pmod(F.xxhash64(feed_text()), F.lit(MOST_FOLDERS)))
+
+
 def _merged(old: T.StructType | None, new: T.StructType) -> T.StructType:
     """The new fields after the old ones; a field keeps its type."""
     if old is None:
@@ -214,10 +222,10 @@ def _write(folder: Folder, df: DataFrame, feeds: set[str] | None) -> tuple[str,
     """The name of a new write and its entries. Rebalancing splits a large feed or pack over several files. feeds: that may be in it."""
     name = f"data/{uuid.uuid4().hex}"
     if "feed_id" in df.columns and (feeds is None or len(feeds) > MOST_FOLDERS):
-        packs = df.withColumn("_pack", F.pmod(F.xxhash64(_feed_text()), F.lit(MOST_FOLDERS))).hint("rebalance", "_pack")
+        packs = with_pack(df).hint("rebalance", "_pack")
         packs.sortWithinPartitions("_pack", "feed_id").write.partitionBy("_pack").parquet(f"{folder.name}/{name}")
         kinds = T.StructType([T.StructField("feed_id", df.schema["feed_id"].dataType), T.StructField("_pack", T.LongType())])
-        written = df.sparkSession.read.schema(kinds).parquet(f"{folder.name}/{name}").distinct().withColumn("feed", _feed_text())
+        written = df.sparkSession.read.schema(kinds).parquet(f"{folder.name}/{name}").distinct().withColumn("feed", feed_text())
         return name, {r["feed"]: f"{name}/_pack={r['_pack']}" for r in written.collect()}
     feed = F.col("feed_id") if "feed_id" in df.columns else F.lit(None)
     df.withColumn("_feed", feed.cast("string")).hint("rebalance", "_feed").write.partitionBy("_feed").parquet(f"{folder.name}/{name}")

@@ -2,21 +2,46 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from feedlake.functions.staging import shared_folder
 from feedlake.functions.values import non_empty
 from feedlake.operators.normalize import from_product_rows
 from feedlake.sources import manifest
 
 
 def write_products(df: DataFrame, path: str) -> None:
-    """Partitioned by feed; a feed in ``df`` replaces its partition, others stay. Feeds of any
-    size: rebalancing splits a large one over several files.
+    """A feed in ``df`` replaces its rows, other feeds stay. A folder a feed (feed_id=...) if the first write has up to
+    MOST_FOLDERS feeds; with more, feeds share as many packs (_pack=..., a column when it is read), ordered by feed, and a pack
+    that has one of the feeds is written anew, by one writer at a time. The first write settles which. Feeds of any size:
+    rebalancing splits a large one over several files.
     """
-    df.hint("rebalance", "feed_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("feed_id").parquet(path)
+    spark, folder = df.sparkSession, manifest.Folder(df.sparkSession, path)
+    laid = {n.split("=")[0] for n in folder.children() if "=" in n}
+    if not laid and df.select("feed_id").distinct().limit(manifest.MOST_FOLDERS + 1).count() > manifest.MOST_FOLDERS:
+        _replace_folders(manifest.with_pack(df), path, "_pack", "feed_id")
+    elif "_pack" not in laid:
+        _replace_folders(df, path, "feed_id")
+    else:
+        # the new rows are made once, and laid down before the others of their packs are read; names of feeds fit into the driver
+        beside = manifest.Folder(spark, f"{shared_folder(spark)}/products-{uuid.uuid4().hex}")
+        manifest.with_pack(df).write.parquet(beside.name)
+        new = spark.read.parquet(beside.name)
+        feeds, packs = new.select(manifest.feed_text().alias("_feed")).distinct(), [r[0] for r in new.select("_pack").distinct().collect()]
+        old = spark.read.parquet(path)
+        kept = old.where(F.col("_pack").isin(packs)).withColumn("_feed", manifest.feed_text()).join(F.broadcast(feeds), "_feed", "left_anti").drop("_feed")
+        _replace_folders(new.unionByName(kept, allowMissingColumns=True), path, "_pack", "feed_id")
+        beside.drop()
+
+
+def _replace_folders(rows: DataFrame, path: str, by: str, *within: str) -> None:
+    dealt = rows.hint("rebalance", by)
+    dealt = dealt.sortWithinPartitions(by, *within) if within else dealt
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 def current_version(spark: SparkSession, base: str) -> int | None:
